@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import q01_url
+from corpusloom.llm import q01_url, q07_packing, q10_sharding
 
-QUERIES = {"op1_url_filters": q01_url.op1_url_filters}
+QUERIES = {
+    "op1_url_filters": q01_url.op1_url_filters,
+    "op7_packing": q07_packing.op7_packing,
+    "op10_sharding": q10_sharding.op10_sharding,
+}
 SQL = {"op1_url_filters": q01_url.SQL}
