@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ END_ID = 1
 GROUP_TOKENS = 1 << 20
 #: Cost of a token, and of a pair of tokens; equal at 4096 tokens.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Words whose ids a worker remembers; then it begins anew.
-WORDS = 400_000
+#: Most words whose ids a worker remembers; beyond that it forgets the later half.
+WORDS = 600_000
 #: Documents that are tokenised together.
 ROWS = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, cost double"
@@ -49,27 +50,48 @@ class WordTokenizer:
 
         self._one = Tokenizer.from_file(path)
         self._one.encode_special_tokens = True
+        vocabulary = self._one.get_vocab()
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self._last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        known = self._known
-        if len(known) > WORDS:
-            known.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words if w not in known})
-        if new:
-            known |= zip(new, self._learn(new), strict=True)
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in cut]
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """ids of each word, by one call over all: the words' places in the joined text tell whose an id is."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(lengths + 1) - lengths - 1
-        found = self._one.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        at = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-        edges = np.searchsorted(np.searchsorted(starts, at, "right") - 1, np.arange(len(words) + 1))
-        return [ids[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        flat = [w for words in cut for w in words]
+        found = list(map(self._known.get, flat))
+        if None in found:
+            absent = [i for i, x in enumerate(found) if x is None]
+            new = self._learn(list(dict.fromkeys(flat[i] for i in absent)))
+            for i in absent:
+                found[i] = new[flat[i]]
+            self._known |= new
+            if len(self._known) > WORDS:  # common words come early: they stay
+                self._known = dict(islice(self._known.items(), WORDS // 2))
+        out, at = [], 0
+        for words in cut:
+            out.append(np.frombuffer(b"".join(found[at : at + len(words)]), "<u4"))
+            at += len(words)
+        return out
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """ids of each word. Those of plain shape are encoded by one call over all, and cut at the ids that end words."""
+        plain: dict[str, int] = {}
+        out: dict[str, bytes] = {}
+        for w in words:
+            if w and max(w) <= "\xff":  # so that normalising keeps letters letters
+                if w.isalpha():
+                    plain[w] = 1
+                    continue
+                if w[-1] in ".,;:!?|" and w[:-1].isalpha():
+                    plain[w] = 2
+                    continue
+            out[w] = np.array(self._one.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        if plain:
+            ids = np.array(self._one.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._last[ids])[np.cumsum(list(plain.values())) - 1] + 1
+            edges = [0, *ends.tolist()]
+            out |= {w: ids[a:b].tobytes() for w, a, b in zip(plain, edges[:-1], edges[1:], strict=True)}
+        return out
 
 
 def cost(n: int) -> float:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import q01_url, q07_packing, q10_sharding
+from corpusloom.llm import q01_url, q06_language, q07_packing, q10_sharding
 
 QUERIES = {
     "op1_url_filters": q01_url.op1_url_filters,
+    "op6_language_id": q06_language.op6_language_id,
     "op7_packing": q07_packing.op7_packing,
     "op10_sharding": q10_sharding.op10_sharding,
 }
