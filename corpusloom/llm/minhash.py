@@ -9,11 +9,12 @@ result as without it.
 
 Texts with the same words are one class from the start. One signature for each such class is cut into
 `BANDS` bands of `ROWS` registers; at similarity 0.8 a pair is missed with probability
-(1 - 0.8**ROWS)**BANDS, 3e-6. A bucket of equal bands is searched in blocks. Within a block every pair
-that isn't yet connected is compared by signature, and what may reach the threshold becomes a candidate:
-a member first with the members that came before it until one is likely enough. So a bucket of g
-near copies gives about g candidates, not g * g. Blocks of a large bucket share the same first members
-(`HUBS` of least key), and other bands deal the same documents differently.
+(1 - 0.8**ROWS)**BANDS, 3e-6. A bucket of equal bands is searched in blocks. In rounds every
+member proposes the few earlier members that its signature is most alike to and that aren't yet connected
+with it; the proposals are verified, what is verified connects, and the last round proposes all pairs of
+different components that may reach the threshold. So a bucket of g near copies gives about 2 g
+candidates, not g * g, and no link between components is left out. Blocks of a large bucket share some
+members (`HUBS`), and other bands deal the same documents differently.
 
 Candidates are verified by the exact similarity of their whole shingle sets. Verified links make classes
 by connected components: labels spread by the least neighbour and jump, each round a written table.
@@ -41,8 +42,10 @@ THRESHOLD = 0.8
 REGISTERS, BANDS, ROWS = 96, 24, 4
 #: Members of a bucket that are searched together; first members that all blocks of a bucket share.
 BLOCK, HUBS = 2048, 16
-#: Least share of equal registers at which a pair is verified; 0.8 less about five standard deviations.
-LIKELY = 0.58
+#: Least share of equal registers at which a pair is verified; 0.8 less about 4.4 standard deviations.
+LIKELY = 0.62
+#: Rounds of verification: partners that a member may propose in each; in the last, all that are left.
+ROUNDS = (2, 16, None)
 IS_WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 SEED = np.uint64(0xD1B54A32D192ED03)
 
@@ -72,39 +75,56 @@ def shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         yield a, borders, h, counts
 
 
-def arrivals(h: np.ndarray, weight: np.ndarray, horizon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index, time, register) of every arrival of the shingles' processes up to the horizon."""
-    index, out = np.arange(len(h)), []
-    state, time = h, np.zeros(len(h))
-    while len(index):
-        state = mixed(state + SEED)
-        u = ((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        time = time - np.log(u) / weight[index]
-        on = time <= horizon
-        index, state, time = index[on], state[on], time[on]
-        register = (mixed(state ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(REGISTERS)).astype(np.int64)
-        out.append((index, time, register))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (index, time, index)
-
-
-def signature(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The winning shingle's hash in each register; h distinct."""
-    total = float(weight.sum())
-    horizon = REGISTERS * (np.log(REGISTERS) + 3.0) / total
-    while True:
-        # A first arrival beyond the horizon needs no logarithm: u below a bound says so.
-        index, time, register = arrivals(h, weight, horizon)
-        best = np.full(REGISTERS, np.inf)
-        np.minimum.at(best, register, time)
-        if np.isfinite(best).all():
-            break
-        horizon *= 2
-    won = time == best[register]
-    out = np.zeros(REGISTERS, np.uint64)
-    out[register[won]] = h[index[won]]
+def signatures(borders: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A row of winning shingle hashes for each document; 0 throughout for one without shingles.
+
+    The processes of all documents of the run are advanced together; a document whose registers aren't all
+    filled at its horizon is done again with twice the horizon.
+    """
+    n = len(borders) - 1
+    doc = np.repeat(np.arange(n), np.diff(borders))
+    order = np.argsort(mixed(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
+    order = order[np.argsort(doc[order], kind="stable")]
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    weight = np.diff(np.append(at, len(h))).astype(float)
+    doc, h = doc[at], h[at]
+    total = np.bincount(doc, weights=weight, minlength=n)
+    horizon = REGISTERS * (np.log(REGISTERS) + 3.0) / np.maximum(total, 1.0)
+    out = np.zeros((n, REGISTERS), np.uint64)
+    todo = total > 0
+    while todo.any():
+        index = np.flatnonzero(todo[doc])
+        state, time = h[index], np.zeros(len(index))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(index):
+            state = mixed(state + SEED)
+            u = ((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+            # Most first arrivals lie beyond the horizon: -log(u) >= 1 - u tells without a logarithm.
+            on = 1.0 - u <= (horizon[doc[index]] - time) * weight[index]
+            index, state, time, u = index[on], state[on], time[on], u[on]
+            time = time - np.log(u) / weight[index]
+            on = time <= horizon[doc[index]]
+            index, state, time = index[on], state[on], time[on]
+            register = (mixed(state ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(REGISTERS)).astype(np.int64)
+            found.append((index, time, doc[index] * REGISTERS + register))
+        index, time, cell = (np.concatenate(x) for x in zip(*found, strict=True))
+        best = np.full(n * REGISTERS, np.inf)
+        np.minimum.at(best, cell, time)
+        won = time == best[cell]
+        filled = np.isfinite(best).reshape(n, REGISTERS).all(1)
+        out.ravel()[cell[won]] = h[index[won]]
+        todo &= ~filled
+        horizon = np.where(todo, horizon * 2, horizon)
     return out
 
 
+def signature(h: np.ndarray) -> np.ndarray:
+    return signatures(np.array([0, len(h)]), h)[0]
+
+
 def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
     """Exact probability Jaccard of two weighted sets (h sorted and distinct)."""
     both = np.intersect1d(ha, hb, assume_unique=True)
@@ -135,39 +155,42 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = mixed(h + ordinal * np.uint64(0xC2B2AE3D27D4EB4F))
             sums = np.concatenate([[np.uint64(0)], np.cumsum(parts, dtype=np.uint64)])
             key = mixed(sums[borders[1:]] - sums[borders[:-1]] + counts.astype(np.uint64)).view(np.int64)
-            sigs: list[bytes | None] = []
-            for i in range(n):
-                k = int(key[i])
-                if borders[i] == borders[i + 1] or k in seen:  # a copy in this task: its signature is already made
-                    sigs.append(None)
-                    continue
+            keep = np.zeros(n, bool)
+            for i, k in enumerate(key.tolist()):  # a copy in this task: its signature is already made
+                keep[i] = borders[i] < borders[i + 1] and k not in seen
                 if len(seen) < 1_000_000:
                     seen.add(k)
-                sigs.append(signature(*weighted(h[borders[i] : borders[i + 1]])).tobytes())
+            rows = np.flatnonzero(keep)
+            size = np.diff(borders)
+            made = signatures(np.concatenate([[0], np.cumsum(size[rows])]), h[np.repeat(keep, size)])
+            sigs: list[bytes | None] = [None] * n
+            for i, row in zip(rows.tolist(), made, strict=True):
+                sigs[i] = row.tobytes()
             empty = np.diff(borders) == 0
             yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), pa.array(key, mask=empty), pa.array(sigs, pa.binary()), pa.array(counts, pa.int64())], names=["doc_id", "class_key", "sig", "n_words"])
 
 
-def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs to verify within a block: each member with earlier ones, most alike first, until one is near certain."""
+def _candidates(pdf: pd.DataFrame, most: int | None) -> pd.DataFrame:
+    """Pairs of a block to verify: each member with the `most` most alike earlier ones of other components."""
     pdf = pdf.sort_values("class_key", kind="stable")
-    keys = pdf["class_key"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(len(pdf), REGISTERS)
-    short = sig.astype(np.uint32)
-    label = np.arange(len(keys))
+    keys, root = pdf["class_key"].to_numpy(), pdf["root"].to_numpy()
     a, b = [], []
-    for i in range(1, len(keys)):
-        same = (short[:i] == short[i]).mean(1)
-        for j in np.argsort(-same, kind="stable").tolist():
-            if same[j] < LIKELY:
-                break
-            if label[j] == label[i]:
-                continue
-            a.append(keys[j])
-            b.append(keys[i])
-            if same[j] >= 0.95:  # sure enough that verification will connect them
-                label[label == label[i]] = label[j]
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    if (root != root[0]).any():
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(len(pdf), REGISTERS).astype(np.uint32)
+        for i in range(1, len(keys)):
+            other = np.flatnonzero(root[:i] != root[i])
+            same = (sig[other] == sig[i]).mean(1)
+            likely = np.flatnonzero(same >= LIKELY)
+            if most is not None and len(likely) > most:
+                likely = likely[np.argsort(-same[likely], kind="stable")[:most]]
+            a.append(keys[other[likely]])
+            b.append(np.full(len(likely), keys[i]))
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return pd.DataFrame({"a": join(a).astype(np.int64), "b": join(b).astype(np.int64)})
+
+
+def _proposer(most: int | None):
+    return lambda pdf: _candidates(pdf, most)
 
 
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -183,8 +206,11 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
             yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), part.column(1).filter(pa.array(keep)), pa.array(s[keep])], names=["a", "b", "similarity"])
 
 
-def links(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, similarity: verified pairs of class keys. docs has text, signed is the table of _signed."""
+def links(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, similarity: verified pairs of class keys; node, root: their components).
+
+    docs has class_key and text, signed is the table of _signed.
+    """
     reps = signed.where("sig IS NOT NULL").groupBy("class_key").agg(F.first("sig").alias("sig"))
     reps = written(reps, "signatures")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring(F.col("sig"), i * (ROWS * 8) + 1, F.lit(ROWS * 8))).alias("h")))
@@ -192,28 +218,47 @@ def links(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> D
     sizes = cells.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("class_key").alias("low")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     sizes = written(sizes, "buckets")
     busy = cells.join(sizes, ["band", "h"])
-    block = F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int")
-    dealt = busy.select("band", "h", block.alias("block"), "class_key")
+    block = F.pmod(F.xxhash64("class_key", "band"), F.col("blocks")).cast("int")
+    dealt = busy.where("n > 2").select("band", "h", block.alias("block"), "class_key")
     # The members of least key of a bucket of several blocks go to all its blocks.
     hubs = busy.where("blocks > 1").groupBy("band", "h", "blocks", F.pmod(F.xxhash64("class_key"), F.lit(HUBS)).alias("s")).agg(F.min("class_key").alias("class_key"))
     hubs = hubs.select("band", "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_key")
-    members = dealt.unionByName(hubs).distinct()
+    members = written(dealt.unionByName(hubs).distinct(), "members")
     # Most buckets are pairs: those are candidates as they stand, and a pair met in many bands is one.
-    small = sizes.where("n = 2").select("band", "h")
-    pairs = cells.join(small, ["band", "h"], "left_semi").groupBy("band", "h").agg(F.min("class_key").alias("a"), F.max("class_key").alias("b")).select("a", "b").distinct()
-    large = members.join(sizes.where("n > 2").select("band", "h"), ["band", "h"], "left_semi").join(reps, "class_key")
-    found = large.select("band", "h", "block", "class_key", "sig").groupBy("band", "h", "block").applyInPandas(lambda pdf: _candidates(pdf), "a long, b long")
-    candidates = written(pairs.unionByName(found).distinct(), "candidates")
-    # One text for each class that is in a candidate.
+    pairs = busy.where("n = 2").groupBy("band", "h").agg(F.min("class_key").alias("a"), F.max("class_key").alias("b")).select("a", "b").distinct()
+    tried = found = roots = None
+    for most in ROUNDS:
+        large = members.join(reps, "class_key")
+        if roots is None:
+            large = large.withColumn("root", F.col("class_key"))
+        else:
+            large = large.join(broadcast_if_small(roots), large["class_key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class_key"))
+        large = large.select("band", "h", "block", "class_key", "root", "sig")
+        new = large.groupBy("band", "h", "block").applyInPandas(_proposer(most), "a long, b long")
+        new = (pairs.unionByName(new) if tried is None else new).distinct()
+        if tried is not None:
+            new = new.join(tried, ["a", "b"], "left_anti")
+        new = written(new, "candidates")
+        if not new.limit(1).count():
+            break
+        good = _verify(docs, new, threshold)
+        tried = new if tried is None else tried.unionByName(new)
+        found = good if found is None else found.unionByName(good)
+        roots = components(found)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "a long, b long, similarity double"), None
+    return found, roots
+
+
+def _verify(docs: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """The candidates whose exact similarity reaches the threshold. One text for each class is fetched."""
     needed = candidates.select(F.explode(F.array("a", "b")).alias("class_key")).distinct()
-    texts = docs.join(needed, "class_key", "left_semi").groupBy("class_key").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
+    texts = written(docs.join(needed, "class_key", "left_semi").dropDuplicates(["class_key"]), "texts")
     left = texts.select(F.col("class_key").alias("a"), F.col("text").alias("ta"))
     right = docs.sparkSession.read.schema(texts.schema).parquet(texts._corpusloom_path).select(F.col("class_key").alias("b"), F.col("text").alias("tb"))
     both = candidates.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     out = written(both.mapInArrow(lambda it: _verified(it, threshold), "a long, b long, similarity double"), "links")
-    for table in (texts, candidates, sizes, reps):
-        drop_written(table)
+    drop_written(texts)
     return out
 
 
@@ -246,8 +291,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = written(rows.mapInArrow(_signed, "doc_id long, class_key long, sig binary, n_words long"), "signed")
     keyed = rows.mapInArrow(_keyed, "class_key long, text string")
-    found = links(keyed, signed, threshold)
-    roots = broadcast_if_small(components(found))
+    _, roots = links(keyed, signed, threshold)
+    if roots is None:
+        return signed.select("doc_id", "class_key", F.col("class_key").alias("class_id"), "n_words")
+    roots = broadcast_if_small(roots)
     out = signed.join(roots, signed["class_key"] == roots["node"], "left")
     return out.select("doc_id", "class_key", F.coalesce("root", "class_key").alias("class_id"), "n_words")
 
