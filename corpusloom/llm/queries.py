@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import q01_url, q02_decontamination, q03_ann, q04_chat, q06_language, q07_packing, q09_minhash, q10_sharding
+from corpusloom.llm import q01_url, q02_decontamination, q03_ann, q04_chat, q06_language, q07_packing, q08_suffix, q09_minhash, q10_sharding
 
 QUERIES = {
     "op1_url_filters": q01_url.op1_url_filters,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_formatting": q04_chat.op4_chat_formatting,
     "op6_language_id": q06_language.op6_language_id,
     "op7_packing": q07_packing.op7_packing,
+    "op8_suffix_array_dedup": q08_suffix.op8_suffix_array_dedup,
     "op9_minhash_near_dedup": q09_minhash.op9_minhash_near_dedup,
     "op10_sharding": q10_sharding.op10_sharding,
 }
