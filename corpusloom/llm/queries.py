@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import q01_url, q02_decontamination, q03_ann, q04_chat, q06_language, q07_packing, q08_suffix, q09_minhash, q10_sharding
+from corpusloom.llm import q01_url, q02_decontamination, q03_ann, q04_chat, q05_lm, q06_language, q07_packing, q08_suffix, q09_minhash, q10_sharding
 
 QUERIES = {
     "op1_url_filters": q01_url.op1_url_filters,
     "op2_decontamination": q02_decontamination.op2_decontamination,
     "op3_nearest_neighbours": q03_ann.op3_nearest_neighbours,
     "op4_chat_formatting": q04_chat.op4_chat_formatting,
+    "op5_lm_scoring": q05_lm.op5_lm_scoring,
     "op6_language_id": q06_language.op6_language_id,
     "op7_packing": q07_packing.op7_packing,
     "op8_suffix_array_dedup": q08_suffix.op8_suffix_array_dedup,
