@@ -49,7 +49,10 @@ def _texts(width: int) -> str:
 
 
 def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_found, containment: every item that a document contains."""
+    """doc_id, key, item_id, n_shingles, n_found, containment: every item that a document contains.
+
+    key is xxhash64 of the text and tells documents with one doc_id apart.
+    """
     source = items.select(F.col(f"`{item_id}`").alias("item_id"), words(F.col(f"`{item_text}`")).alias("w")).where("size(w) > 0")
     source = source.withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
     widths = sorted(r["width"] for r in source.select("width").distinct().collect())  # at most WIDTH rows
@@ -88,7 +91,7 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     counted = common.groupBy("doc_id", "key", "set_id").agg(F.count("*").cast("int").alias("n_found"))
     known = members.select("set_id", "item_id", n.alias("n"), need.alias("need")).distinct()
     rows = counted.join(broadcast_if_small(known), "set_id").where("n_found >= need")
-    return rows.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n")).alias("containment"))
+    return rows.select("doc_id", "key", "item_id", F.col("n").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n")).alias("containment"))
 
 
 def _shingle_hash(t: Column) -> Column:

@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import broadcast_if_small, drop_written, written
 from corpusloom.llm.textbytes import LOWER, blocks, mixed, prefix_hashes, span_hashes, text_bytes, word_spans
@@ -167,7 +168,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, row in zip(rows.tolist(), made, strict=True):
                 sigs[i] = row.tobytes()
             empty = np.diff(borders) == 0
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), pa.array(key, mask=empty), pa.array(sigs, pa.binary()), pa.array(counts, pa.int64())], names=["doc_id", "class_key", "sig", "n_words"])
+            kept = [c.slice(a, n) for i, c in enumerate(b.columns) if i != 1]
+            names = [c for i, c in enumerate(b.schema.names) if i != 1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(key, mask=empty), pa.array(sigs, pa.binary()), pa.array(counts, pa.int64())], names=[*names, "class_key", "sig", "n_words"])
 
 
 def _candidates(pdf: pd.DataFrame, most: int | None) -> pd.DataFrame:
@@ -283,27 +286,33 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_key, class_id, n_words: one row for each row of docs; class_id is null for wordless texts.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, class_key, class_id, n_words and the carried columns: one row for each row of docs.
 
-    class_key is the same for texts with the same words, class_id for texts connected by links.
+    class_key is the same for texts with the same words, class_id for texts connected by links; both are
+    null for wordless texts.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = written(rows.mapInArrow(_signed, "doc_id long, class_key long, sig binary, n_words long"), "signed")
-    keyed = rows.mapInArrow(_keyed, "class_key long, text string")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`") for c in carried])
+    schema = StructType([rows.schema["doc_id"], *rows.schema.fields[2:], *_schema("class_key long, sig binary, n_words long")])
+    signed = written(rows.mapInArrow(_signed, schema), "signed")
+    keyed = rows.select("text").mapInArrow(_keyed, "class_key long, text string")
     _, roots = links(keyed, signed, threshold)
     if roots is None:
-        return signed.select("doc_id", "class_key", F.col("class_key").alias("class_id"), "n_words")
+        return signed.select("doc_id", *carried, "class_key", F.col("class_key").alias("class_id"), "n_words")
     roots = broadcast_if_small(roots)
     out = signed.join(roots, signed["class_key"] == roots["node"], "left")
-    return out.select("doc_id", "class_key", F.coalesce("root", "class_key").alias("class_id"), "n_words")
+    return out.select("doc_id", *carried, "class_key", F.coalesce("root", "class_key").alias("class_id"), "n_words")
+
+
+def _schema(text: str) -> list:
+    return StructType.fromDDL(text).fields
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """class_key and text of each row, once for each key in a task."""
     seen: set[int] = set()
     for b in batches:
-        for a, borders, h, counts in shingles(b.column(1)):
+        for a, borders, h, counts in shingles(b.column(0)):
             n = len(borders) - 1
             ordinal = (np.arange(len(h)) - np.repeat(borders[:-1], np.diff(borders))).astype(np.uint64)
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(h + ordinal * np.uint64(0xC2B2AE3D27D4EB4F)), dtype=np.uint64)])
@@ -314,4 +323,4 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(seen) < 1_000_000:
                     seen.add(k)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(key).filter(mask), b.column(1).slice(a, n).filter(mask)], names=["class_key", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(key).filter(mask), b.column(0).slice(a, n).filter(mask)], names=["class_key", "text"])
