@@ -1,6 +1,601 @@
-"""The registered queries over the reference tables and their SQL."""
+"""The registered queries over the given tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.functions.profile import LATIN as P
+from corpusloom.functions.profile import LINE_BREAK, SPACE
+from corpusloom.operators import cards, dedup, degrade, exam, lexicon, pairs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+# --- SQL building blocks -------------------------------------------------------------------------------------
+
+_Z = lambda t: f"regexp_replace({t}, '[{SPACE}]', '', 'g')"
+_STRIP = lambda t: f"regexp_replace({t}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
+_PARTS = lambda parts: f"list_filter(list_transform({parts}, lambda s: {_STRIP('s')}), lambda s: s <> '')"
+_LINES = _PARTS(f"regexp_split_to_array(text, '{LINE_BREAK}')")
+_SENTS = _PARTS(f"string_split(regexp_replace(text, '([{P.sentence_end}])', '\\1' || chr(1), 'g'), chr(1))")
+_BLOCKS = _PARTS("string_split(text, chr(10) || chr(10))")
+_LEN = lambda parts: f"list_transform({parts}, lambda s: CAST(length({_Z('s')}) AS DOUBLE))"
+_HOOK = " OR ".join(f"contains(s, '{h}')" for h in P.hooks)
+_SAID = f"regexp_matches(s, '{P.speech}') AND regexp_extract(s, '{P.speech}', 1) <> '{P.not_speaker}' AND NOT starts_with(s, '【')"
+CARD = f"""
+b AS (SELECT doc_id, lang, source, text, {_LINES} ls, {_SENTS} ss, {_BLOCKS} bs FROM documents),
+l AS (SELECT *, {_LEN("ss")} sl, {_LEN("CASE WHEN len(bs) <= 1 THEN ls ELSE bs END")} pl, CAST(length({_Z("text")}) AS BIGINT) total_chars,
+ CAST(len(ls) AS INT) n_lines, CAST(len(list_filter(ls, lambda s: regexp_matches(s, '{P.title}'))) AS INT) n_episodes,
+ CAST(len(list_filter(ls, lambda s: regexp_matches(s, '{P.scene}'))) AS INT) n_scenes,
+ list_filter(ls, lambda s: {_SAID}) said FROM b),
+card AS (SELECT *, CASE WHEN n_scenes > 0 OR n_episodes > 0 AND len(said) / greatest(n_lines, 1) >= 0.3 THEN 'drama_script' ELSE 'novel' END kind,
+ CASE WHEN total_chars > 0 THEN coalesce(list_sum(list_transform(said, lambda s: length({_Z(f"regexp_extract(s, '{P.speech}', 2)")}))), 0) / total_chars ELSE 0.0 END dialogue_ratio,
+ coalesce(list_avg(sl), 0.0) sent_len_mean, CASE WHEN list_avg(sl) > 0 THEN sqrt(greatest(list_sum(list_transform(sl, lambda v: v * v)) / len(sl) - list_avg(sl) * list_avg(sl), 0)) / list_avg(sl) ELSE 0.0 END sent_len_cv,
+ CASE WHEN len(pl) > 1 AND list_avg(pl) > 0 THEN sqrt(greatest(list_sum(list_transform(pl, lambda v: v * v)) / len(pl) - list_avg(pl) * list_avg(pl), 0)) / list_avg(pl) ELSE 0.0 END para_len_cv,
+ list_filter(list_transform(ls, lambda s, i: CASE WHEN {_HOOK} THEN i / len(ls) END), lambda p: p IS NOT NULL) hook_positions FROM l)"""
+
+
+def _bands(source: str, group: str, metrics: str) -> str:
+    """Exclusive quartiles over all and by group; source has the group column and the metrics."""
+    at = lambda i: f"""(list_extract(a, j{i}) * (4 - ({i} * (n + 1) - 4 * j{i})) + list_extract(a, j{i} + 1) * ({i} * (n + 1) - 4 * j{i})) / 4.0"""
+    few = {1: "a[1]", 2: "(a[CAST(floor((n + 1) / 2) AS BIGINT)] + a[CAST(floor((n + 2) / 2) AS BIGINT)]) / 2.0", 3: "a[n]"}
+    cols = ", ".join(f"round(CASE WHEN n < 4 THEN {few[i]} ELSE {at(i)} END, 6) {c}" for i, c in ((1, "p25"), (2, "p50"), (3, "p75")))
+    js = ", ".join(f"greatest(least(({i} * (n + 1)) // 4, n - 1), 1) j{i}" for i in (1, 2, 3))
+    return f"""u AS (UNPIVOT (SELECT {group} AS g, {metrics} FROM {source}) ON COLUMNS(* EXCLUDE g) INTO NAME metric VALUE v),
+w AS (SELECT NULL AS grp, metric, list_sort(list(v)) a, count(*) n FROM u GROUP BY metric UNION ALL SELECT g, metric, list_sort(list(v)), count(*) FROM u WHERE g IS NOT NULL GROUP BY g, metric),
+q AS (SELECT *, {js} FROM w)
+SELECT grp, metric, CAST(n AS BIGINT) n, {cols} FROM q"""
+
+
+# --- Cards, gate, bands ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CARD} SELECT doc_id, n_lines, total_chars, CAST(coalesce(list_max(list_transform(ls, lambda s: length(s))), 0) AS INT) AS max_line FROM card")
+def doc_stats(spark, d):
+    longest = F.coalesce(F.array_max(F.transform(T.lines(F.col("text")), F.length)), F.lit(0))
+    ls = T.lines(F.col("text"))
+    return documents(spark, d).select("doc_id", F.size(ls).alias("n_lines"), T.solid_length(F.col("text")).cast("long").alias("total_chars"), longest.alias("max_line"))
+
+
+@query(f"WITH {CARD} SELECT doc_id, CAST(len(sl) AS INT) AS n_sent, round(sent_len_mean, 6) AS mean, round(sent_len_cv, 6) AS cv FROM card")
+def sentence_stats(spark, d):
+    c = cards.cards(documents(spark, d).select("doc_id", "text"), P)
+    return c.select("doc_id", F.col("n_sents").alias("n_sent"), F.round("sent_len_mean", 6).alias("mean"), F.round("sent_len_cv", 6).alias("cv"))
+
+
+@query(f"WITH {CARD} SELECT doc_id, CAST(len(pl) AS INT) AS n_para, round(para_len_cv, 6) AS cv FROM card")
+def paragraph_stats(spark, d):
+    return cards.cards(documents(spark, d).select("doc_id", "text"), P).select("doc_id", F.col("n_paras").alias("n_para"), F.round("para_len_cv", 6).alias("cv"))
+
+
+@query(f"""WITH {CARD}, e AS (SELECT doc_id, unnest(ls) s, generate_subscripts(ls, 1) i FROM card),
+g AS (SELECT *, sum(CASE WHEN regexp_matches(s, '{P.title}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) seg FROM e),
+n AS (SELECT doc_id, seg, sum(length({_Z("s")})) chars, min(i) f FROM g GROUP BY 1, 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f) - 1 AS INT) AS seg_no, CAST(chars AS BIGINT) AS chars FROM n""")
+def segment_chars(spark, d):
+    return documents(spark, d).select("doc_id", F.posexplode(cards.segment_chars(T.lines(F.col("text")), P)).alias("seg_no", "chars"))
+
+
+@query(f"WITH {CARD} SELECT doc_id, round(unnest(hook_positions), 6) AS position FROM card")
+def marker_positions(spark, d):
+    c = cards.cards(documents(spark, d).select("doc_id", "text"), P)
+    return c.select("doc_id", F.explode("hook_positions").alias("p")).select("doc_id", F.round("p", 6).alias("position"))
+
+
+@query(f"WITH {CARD} SELECT kind, count(*) AS n FROM card GROUP BY kind")
+def kind_counts(spark, d):
+    return cards.cards(documents(spark, d).select("text"), P).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH g AS (SELECT CASE WHEN text IS NULL THEN 'unextractable' WHEN {_Z("text")} = '' THEN 'nontext'
+WHEN length({_Z("text")}) < {P.gate_chars} OR length(regexp_replace({_Z("text")}, '[^{P.letter}]', '', 'g')) / length({_Z("text")}) < {P.gate_ratio} THEN 'not_scriptlike' END r FROM documents)
+SELECT coalesce(r, 'ingested') AS reason, count(*) AS n FROM g GROUP BY 1""")
+def gate_reasons(spark, d):
+    r = F.coalesce(cards.gate_reason(F.col("text"), P), F.lit("ingested"))
+    return documents(spark, d).groupBy(r.alias("reason")).agg(F.count("*").alias("n"))
+
+
+_BAND_METRICS = ("dialogue_ratio", "sent_len_mean", "sent_len_cv", "para_len_cv", "total_chars", "n_lines")
+_ROUNDED = ", ".join(f"round(CAST({m} AS DOUBLE), 4) AS {m}" for m in _BAND_METRICS)
+
+
+@query(f"WITH {CARD}, {_bands('card', 'lang', _ROUNDED)}")
+def bands_overall_by_lang(spark, d):
+    c = cards.cards(documents(spark, d).select("lang", "text"), P).withColumns({m: F.round(F.col(m).cast("double"), 4) for m in _BAND_METRICS})
+    return cards.bands(c, {m: m for m in _BAND_METRICS}, "lang")
+
+
+@query(f"WITH {_bands('orders', 'o_orderpriority', 'CAST(o_totalprice AS DOUBLE) AS o_totalprice')}")
+def bands_orders(spark, d):
+    return cards.bands(table(spark, d, "orders"), {"o_totalprice": "o_totalprice"}, "o_orderpriority")
+
+
+@query(f"WITH {_bands('lineitem', 'l_returnflag', 'CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_extendedprice AS DOUBLE) AS price')}")
+def bands_lineitem(spark, d):
+    return cards.bands(table(spark, d, "lineitem"), {"quantity": "l_quantity", "price": "l_extendedprice"}, "l_returnflag")
+
+
+@query(f"WITH {CARD} SELECT lang, kind, count(*) AS n, CAST(sum(total_chars) AS BIGINT) AS chars, min(n_episodes) AS min_episodes, max(n_episodes) AS max_episodes FROM card GROUP BY 1, 2")
+def corpus_profile(spark, d):
+    c = cards.cards(documents(spark, d).select("lang", "text"), P)
+    return c.groupBy("lang", "kind").agg(F.count("*").alias("n"), F.sum("total_chars").alias("chars"), F.min("n_episodes").alias("min_episodes"), F.max("n_episodes").alias("max_episodes"))
+
+
+_PENALTY = ("dialogue_ratio", "sent_len_mean", "sent_len_cv")
+
+
+@query(f"""WITH {CARD}, {_bands("card", "lang", ", ".join(f"round(CAST({m} AS DOUBLE), 4) AS {m}" for m in _PENALTY)).replace("SELECT grp, metric", ", bd AS (SELECT grp, metric", 1)} WHERE grp IS NULL),
+f AS (UNPIVOT (SELECT doc_id, {", ".join(f"round(CAST({m} AS DOUBLE), 4) AS {m}" for m in _PENALTY)} FROM card) ON {", ".join(_PENALTY)} INTO NAME metric VALUE v),
+z AS (SELECT doc_id, CASE WHEN v BETWEEN p25 AND p75 THEN 0.0 ELSE least(1.0, abs(v - p50) / greatest(p75 - p25, 1e-9)) END z FROM f JOIN bd USING (metric))
+SELECT doc_id, round(greatest(0.0, 1 - 0.7 * avg(z)), 6) AS score FROM z GROUP BY doc_id""")
+def deterministic_score(spark, d):
+    c = cards.cards(documents(spark, d).select("doc_id", "text"), P).select("doc_id", *[F.round(F.col(m).cast("double"), 4).alias(m) for m in _PENALTY])
+    band = F.broadcast(cards.bands(c, {m: m for m in _PENALTY}))  # one row for each metric
+    long = c.select("doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in _PENALTY])).alias("x")).select("doc_id", "x.*").join(band, "metric")
+    z = F.when(F.col("v").between(F.col("p25"), F.col("p75")), 0.0).otherwise(F.least(F.lit(1.0), F.abs(F.col("v") - F.col("p50")) / F.greatest(F.col("p75") - F.col("p25"), F.lit(1e-9))))
+    return long.groupBy("doc_id").agg(F.round(F.greatest(F.lit(0.0), 1 - 0.7 * F.avg(z)), 6).alias("score"))
+
+
+# --- Fingerprints and containment ------------------------------------------------------------------------------
+
+_BITS = " || ".join(f"lpad(to_hex({' + '.join(f'CASE WHEN sum(({h} >> {31 - (8 * q + k)}) & 1) * 2 > count(*) THEN {1 << (7 - k)} ELSE 0 END' for k in range(8))}), 2, '0')" for h in ("hi", "lo") for q in range(4))
+_SIM = f"""zz AS (SELECT doc_id, {_Z("coalesce(text, '')")} z FROM documents),
+gr AS (SELECT doc_id, CASE WHEN length(z) < 3 THEN z ELSE substr(z, i, 3) END g FROM (SELECT doc_id, z, unnest(CASE WHEN length(z) < 3 THEN [1] ELSE range(1, length(z) - 1, greatest(1, (length(z) - 2) // 8192)) END) i FROM zz)),
+hs AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) hi, CAST('0x' || substr(md5(g), 9, 8) AS BIGINT) lo FROM gr),
+sim AS (SELECT doc_id, lower({_BITS}) hex FROM hs GROUP BY doc_id)"""
+
+
+def _prints(spark, d):
+    return dedup.with_simhash(documents(spark, d).select(F.col("doc_id").alias("id"), "text")).select("id", "simhash")
+
+
+@query(f"WITH {_SIM} SELECT doc_id, hex FROM sim")
+def simhash(spark, d):
+    return _prints(spark, d).select(F.col("id").alias("doc_id"), F.col("simhash").alias("hex"))
+
+
+_FIRST = f"""{_SIM}, fp AS (SELECT min(doc_id) id, hex, CAST('0x' || substr(hex, 1, 8) AS BIGINT) hi, CAST('0x' || substr(hex, 9, 8) AS BIGINT) lo FROM sim GROUP BY hex),
+np AS (SELECT a.id id_a, b.id id_b, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) distance FROM fp a JOIN fp b ON a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3)"""
+
+
+@query(f"WITH {_FIRST} SELECT id_a, id_b, CAST(distance AS INT) AS distance FROM np")
+def near_dup_pairs(spark, d):
+    from corpusloom.sources.tables import written
+
+    return dedup.near_pairs(written(_prints(spark, d), "prints"))
+
+
+@query()
+def dedup_keep(spark, d):
+    from corpusloom.sources.tables import written
+
+    return dedup.keep_first(written(_prints(spark, d), "prints")).withColumnRenamed("id", "doc_id")
+
+
+_HITS = """ix AS (SELECT DISTINCT substr(text, i, 50) w FROM (SELECT text, unnest(range(1, length(text) - 48, 25)) i FROM benchmark WHERE length(text) >= 50)),
+dw AS (SELECT doc_id, text, unnest(range(1, length(text) - 48)) i FROM documents WHERE length(text) >= 50),
+ht AS (SELECT doc_id, count(*) hits FROM dw JOIN ix ON substr(dw.text, i, 50) = w GROUP BY doc_id)"""
+
+
+@query(f"WITH {_HITS} SELECT doc_id, hits FROM ht")
+def contamination_hits(spark, d):
+    return dedup.window_hits(documents(spark, d), dedup.window_index(table(spark, d, "benchmark")))
+
+
+@query(f"WITH {_HITS} SELECT doc_id, coalesce(hits, 0) > 0 AS leaked FROM documents LEFT JOIN ht USING (doc_id) WHERE length(text) >= 50")
+def contamination_verdict(spark, d):
+    docs = documents(spark, d)
+    hits = dedup.window_hits(docs, dedup.window_index(table(spark, d, "benchmark")))
+    return docs.where(F.length("text") >= 50).select("doc_id").join(hits, "doc_id", "left").select("doc_id", (F.coalesce("hits", F.lit(0)) > 0).alias("leaked"))
+
+
+# --- Lexicon ------------------------------------------------------------------------------------------------------
+
+_GROUP = "CASE WHEN source = 'src0' THEN 'our' WHEN lang = 'en' THEN 'drama' ELSE 'novel' END"
+_FREQ = f"""tk AS (SELECT {_GROUP} grp, doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 200000)), '{P.token}')) phrase FROM documents),
+fr AS (SELECT grp, phrase, count(*) n, count(DISTINCT doc_id) df FROM tk GROUP BY 1, 2),
+tt AS (SELECT grp, CAST(sum(n) AS DOUBLE) t FROM fr GROUP BY 1)"""
+
+
+def _freq(spark, d):
+    return lexicon.frequencies(documents(spark, d), P, F.expr(_GROUP))
+
+
+@query(f"WITH {_FREQ} SELECT grp, phrase, n FROM fr")
+def ngram_freq(spark, d):
+    return _freq(spark, d).select("grp", "phrase", "n")
+
+
+@query(f"WITH {_FREQ} SELECT phrase, CAST(sum(df) AS BIGINT) AS df FROM fr GROUP BY phrase")
+def doc_freq(spark, d):
+    return _freq(spark, d).groupBy("phrase").agg(F.sum("df").alias("df"))
+
+
+_MINED = f"""{_FREQ}, o AS (SELECT phrase, n, df FROM fr WHERE grp = 'our'), dr AS (SELECT phrase, n, df FROM fr WHERE grp = 'drama'), nv AS (SELECT phrase, n FROM fr WHERE grp = 'novel'),
+tot AS (SELECT max(CASE WHEN grp = 'our' THEN t END) a, max(CASE WHEN grp = 'drama' THEN t END) b, max(CASE WHEN grp = 'novel' THEN t END) c FROM tt),
+s1 AS (SELECT o.phrase, ln((o.n / a + 0.5e-6) / (coalesce(dr.n, 0) / b + 0.5e-6)) l1, o.n freq_our, coalesce(dr.n, 0) freq_corpus, coalesce(dr.df, 0) d1 FROM o LEFT JOIN dr USING (phrase), tot
+ WHERE o.n >= 2 AND (coalesce(dr.df, 0) >= 2 OR length(o.phrase) >= {P.short_phrase})),
+s2 AS (SELECT dr.phrase, ln((dr.n / b + 0.5e-6) / (coalesce(nv.n, 0) / c + 0.5e-6)) l2, dr.n freq_drama, coalesce(nv.n, 0) freq_novel, dr.df d2 FROM dr LEFT JOIN nv USING (phrase), tot
+ WHERE dr.n >= greatest(5, b // 2000000) AND dr.df >= 3),
+mn AS (SELECT phrase, coalesce(l1, l2) pmi, CASE WHEN l1 IS NOT NULL THEN 'our_vs_drama' ELSE 'drama_vs_novel' END source, freq_our, freq_corpus, freq_drama, freq_novel, coalesce(d2, d1) df_drama
+ FROM (SELECT * FROM s1 WHERE l1 > 0.5) FULL JOIN (SELECT * FROM s2 WHERE l2 > 1.0) USING (phrase))"""
+
+
+@query(f"WITH {_MINED} SELECT phrase, round(l1, 6) AS lift, freq_our, freq_corpus, d1 AS df_drama FROM s1 WHERE l1 > 0.5")
+def lift_two_groups(spark, d):
+    freq = _freq(spark, d)
+    all_ = lexicon.mine(freq, P, top=10**9, seeds=())
+    return all_.where("source = 'our_vs_drama'").select("phrase", F.round("pmi", 6).alias("lift"), "freq_our", "freq_corpus", F.coalesce("df_drama", F.lit(0)).alias("df_drama"))
+
+
+_SEED_SQL = ", ".join(f"('{s}')" for s in lexicon.SEEDS)
+
+
+@query(f"""WITH {_MINED}, al AS (SELECT phrase, round(pmi, 6) pmi, pmi p0, source FROM mn UNION ALL SELECT phrase, NULL, NULL, 'seed' FROM (VALUES {_SEED_SQL}) v(phrase) WHERE phrase NOT IN (SELECT phrase FROM mn)),
+rk AS (SELECT phrase, pmi, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(p0, 99.0) DESC, phrase) AS rank FROM al)
+SELECT phrase, pmi, source, CAST(rank AS INT) AS rank FROM rk WHERE rank <= CASE source WHEN 'drama_vs_novel' THEN 30 WHEN 'our_vs_drama' THEN 108 ELSE 12 END""")
+def lexicon_topk(spark, d):
+    return lexicon.mine(_freq(spark, d), P).select("phrase", F.round("pmi", 6).alias("pmi"), "source", "rank")
+
+
+_PHRASES = ("the", "ment", "ing", "tion", "sch")
+
+
+@query(f"""SELECT doc_id, round(CASE WHEN length({_Z("text")}) > 0 THEN ({" + ".join(f"(length(text) - length(replace(text, '{p}', ''))) // {len(p)}" for p in _PHRASES)}) * 1000 / length({_Z("text")}) ELSE 0.0 END, 4) AS density FROM documents""")
+def phrase_density(spark, d):
+    return documents(spark, d).select("doc_id", lexicon.density(F.col("text"), list(_PHRASES)).alias("density"))
+
+
+_KEYWORDS = {"germanic": ("und", "der", "the "), "romance": ("que", "les ", "ción"), "spam": ("scum", "$$$", "%%%")}
+_HITCOUNT = {g: " + ".join(f"CAST(contains(text, '{w}') AS INT)" for w in ws) for g, ws in _KEYWORDS.items()}
+
+
+@query(
+    "WITH h AS (SELECT doc_id, " + ", ".join(f"{e} AS {g}" for g, e in _HITCOUNT.items()) + " FROM documents) "
+    "SELECT doc_id, CASE WHEN greatest(germanic, romance, spam) = 0 THEN 'other' WHEN germanic >= romance AND germanic >= spam THEN 'germanic' WHEN romance >= spam THEN 'romance' ELSE 'spam' END AS genre FROM h"
+)
+def genre_detect(spark, d):
+    hits = {g: sum((F.col("text").contains(w).cast("int") for w in ws), F.lit(0)) for g, ws in _KEYWORDS.items()}
+    ranked = F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(g).alias("g")) for i, (g, n) in enumerate(hits.items())])
+    best = F.array_max(ranked)
+    return documents(spark, d).select("doc_id", F.when(best["n"] == 0, "other").otherwise(best["g"]).alias("genre"))
+
+
+# --- Splits, ids, pairs ---------------------------------------------------------------------------------------------
+
+_SPLIT = lambda k: f"CASE WHEN CAST('0x' || substr(sha256({k}), 1, 8) AS BIGINT) % 100 < 20 THEN 'exam' WHEN CAST('0x' || substr(sha256({k}), 1, 8) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'val' END"
+
+
+@query(f"SELECT doc_id, {_SPLIT('CAST(doc_id AS VARCHAR)')} AS split FROM documents")
+def split_assign(spark, d):
+    return documents(spark, d).select("doc_id", T.split_of(F.col("doc_id").cast("string")).alias("split"))
+
+
+@query(f"SELECT {_SPLIT('CAST(doc_id AS VARCHAR)')} AS split, count(*) AS n FROM documents GROUP BY 1")
+def split_counts(spark, d):
+    return documents(spark, d).groupBy(T.split_of(F.col("doc_id").cast("string")).alias("split")).agg(F.count("*").alias("n"))
+
+
+_B32 = "array_to_string(list_transform(range(0, 26), lambda i: substr('" + T.BASE32 + "', CAST(list_sum(list_transform(range(0, 5), lambda j: (1 << (4 - j)) * CAST(substr(bits, i * 5 + j + 1, 1) AS INT))) AS INT) + 1, 1)), '')"
+_TOBITS = "'00' || array_to_string(list_transform(range(1, 33), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', instr('0123456789abcdef', substr(k, i, 1)) * 4 - 3, 4)), '')"
+
+
+@query(f"""WITH o AS (SELECT doc_id, text, unnest(['D05', 'D14']) op FROM documents), k AS (SELECT doc_id, op, sha256('prose_craft|' || sha256(text || chr(0) || op) || '|corpus_degraded|' || op) k FROM o),
+b AS (SELECT doc_id, op, {_TOBITS} bits FROM k) SELECT doc_id, op, 'pair:' || {_B32} AS pair_id FROM b""")
+def pair_id(spark, d):
+    docs = documents(spark, d).select("doc_id", "text", F.explode(F.array(F.lit("D05"), F.lit("D14"))).alias("op"))
+    return docs.select("doc_id", "op", pairs.pair_id(F.lit("prose_craft"), F.col("text"), F.col("op"), F.lit("corpus_degraded"), F.col("op")).alias("pair_id"))
+
+
+@query(f"""WITH p AS (SELECT source id, {_SPLIT('CAST(doc_id AS VARCHAR)')} sp FROM documents)
+SELECT id, count(DISTINCT sp) AS n_splits FROM p GROUP BY id HAVING count(DISTINCT sp) > 1""")
+def split_leakage(spark, d):
+    rows = documents(spark, d).select(F.struct(F.col("source").alias("source_script_id")).alias("construction"), T.split_of(F.col("doc_id").cast("string")).alias("split"))
+    return pairs.leaks(rows)
+
+
+@query("""WITH p AS (SELECT CASE WHEN lang = 'es' THEN 'style' ELSE 'prose_craft' END axis, text a, CASE WHEN doc_id % 7 = 0 THEN text ELSE upper(text) END b, CASE WHEN source = 'src3' THEN 'tie' ELSE 'a_win' END l FROM documents)
+SELECT 'axis' AS violation, count(*) AS n FROM p WHERE axis = 'style' HAVING count(*) > 0 UNION ALL SELECT 'label', count(*) FROM p WHERE l = 'tie' HAVING count(*) > 0 UNION ALL SELECT 'same_text', count(*) FROM p WHERE a = b HAVING count(*) > 0""")
+def pairs_invalid(spark, d):
+    docs = documents(spark, d)
+    rows = docs.select(
+        F.concat(F.lit("pair:"), T.base32_id(F.col("doc_id").cast("string"))).alias("pair_id"), F.when(F.col("lang") == "es", "style").otherwise("prose_craft").alias("axis"), F.col("text").alias("a_text"),
+        F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.upper("text")).alias("b_text"), F.when(F.col("source") == "src3", "tie").otherwise("a_win").alias("label"),
+        F.struct(F.lit("corpus_degraded").alias("kind"), F.lit("D05_inject_slop").alias("op_id")).alias("construction"), F.lit("exam").alias("split"),
+    )
+    return pairs.violations(rows).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@query()
+def degrade_seeded(spark, d):
+    return degrade.degraded(documents(spark, d).select("doc_id", "text")).select("doc_id", "op_id", "severity", F.length("degraded").alias("length"))
+
+
+@query()
+def verify_pairs(spark, d):
+    rows = degrade.degraded(documents(spark, d).select("doc_id", "text"), severities=(1.0,))
+    ok = degrade.verified(F.col("op_id"), F.col("original"), F.col("degraded"))
+    return rows.groupBy("op_id").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("n_verified"))
+
+
+@query()
+def pairs_built(spark, d):
+    docs = documents(spark, d).select("doc_id", pairs.excerpt(F.col("text")).alias("text")).where("text IS NOT NULL")
+    return pairs.from_degraded(degrade.degraded(docs, severities=(0.5, 1.0)), "corpus_degraded").select("pair_id", "axis", "split", F.col("construction.op_id").alias("op_id"))
+
+
+_OUT = f"""WITH {CARD}, {_bands("card", "lang", "round(CAST(sent_len_mean AS DOUBLE), 4) AS sent_len_mean").replace("SELECT grp, metric", ", bd AS (SELECT grp, metric", 1)} WHERE grp IS NULL)
+SELECT card.doc_id AS gen_id, 'prose_craft' AS axis, h.doc_id AS corpus_id FROM card, bd, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20) h
+WHERE source = 'src5' AND (round(CAST(sent_len_mean AS DOUBLE), 4) < p25 OR round(CAST(sent_len_mean AS DOUBLE), 4) > p75)"""
+
+
+@query(_OUT)
+def out_of_band_pairs(spark, d):
+    c = cards.cards(documents(spark, d).select("doc_id", "source", "text"), P).select(F.col("doc_id").alias("id"), "source", F.round("sent_len_mean", 4).alias("sent_len_mean"))
+    band = cards.bands(c, {"sent_len_mean": "sent_len_mean"})
+    return pairs.out_of_band(c.where("source = 'src5'"), band, documents(spark, d).select(F.col("doc_id").alias("id")), {"prose_craft": "sent_len_mean"})
+
+
+@query("SELECT doc_id, op FROM (SELECT doc_id, unnest(['D03', 'D04']) op FROM documents) WHERE NOT (op = 'D03' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))")
+def checkpoint_todo(spark, d):
+    jobs = documents(spark, d).select("doc_id", F.explode(F.array(F.lit("D03"), F.lit("D04"))).alias("op"))
+    done = table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit("D03").alias("op"))
+    return pairs.still_to_do(jobs, done, ["doc_id", "op"])
+
+
+# --- Exams, comparisons, ledgers --------------------------------------------------------------------------------------
+
+_OPS_SQL = "CASE WHEN doc_id % 3 = 0 THEN 'D08_inject_contradiction' ELSE 'D05_inject_slop' END"
+_VOTES = f"""vt AS (SELECT lang axis, doc_id pair_id, {_OPS_SQL} op_id, d direction,
+ CASE WHEN h < 10 THEN '' WHEN (h < 80) = (d = 0) THEN 'A' ELSE 'B' END letter
+ FROM (SELECT *, CAST('0x' || substr(md5(doc_id || '|' || d || '|' || k), 1, 6) AS BIGINT) % 100 h FROM documents, (SELECT unnest([0, 1]) d), (SELECT unnest([0, 1, 2, 3, 4]) k)))"""
+
+
+def _votes(spark, d):
+    base = documents(spark, d).select(F.col("lang").alias("axis"), F.col("doc_id").alias("pair_id"), F.expr(_OPS_SQL).alias("op_id"))
+    k = F.explode(F.array(*[F.struct(F.lit(x).alias("direction"), F.lit(i).alias("k")) for x in (0, 1) for i in range(5)]))
+    v = base.withColumn("x", k).select("axis", "pair_id", "op_id", "x.direction", "x.k")
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "pair_id", "direction", "k")), 1, 6), 16, 10).cast("long") % 100
+    return v.withColumn("letter", F.when(h < 10, "").when((h < 80) == (F.col("direction") == 0), "A").otherwise("B"))
+
+
+@query(f"""WITH {_VOTES}, pp AS (SELECT axis, pair_id, op_id, coalesce(avg(CASE WHEN direction = 0 THEN CAST(letter = 'A' AS INT) END), 0.5) r0, coalesce(avg(CASE WHEN direction = 1 THEN CAST(letter = 'B' AS INT) END), 0.5) r1 FROM vt GROUP BY 1, 2, 3),
+m AS (SELECT axis, count(*) n, avg(CAST((r0 + r1) / 2 > 0.5 AS INT)) s, avg(CASE WHEN op_id = 'D08_inject_contradiction' THEN CAST((r0 + r1) / 2 > 0.5 AS INT) END) b, abs(avg(r0) - avg(r1)) p, avg(CAST((r0 > 0.5) <> (r1 > 0.5) AS INT)) f FROM pp GROUP BY axis)
+SELECT axis, n AS n_pairs, round(s, 4) AS sensitivity, round(b, 4) AS block_sensitivity, round(p, 4) AS position_bias, round(f, 4) AS pair_flip_rate, n >= 100 AND s >= 0.85 AND coalesce(b >= 0.95, true) AND p <= 0.08 AS pass FROM m""")
+def exam_votes_axis(spark, d):
+    return exam.axis_metrics(_votes(spark, d))
+
+
+_DIRECTED = "ds AS (SELECT lang axis, doc_id pair_id, d direction, CAST('0x' || substr(md5(doc_id || '|' || d || '|a'), 1, 6) AS BIGINT) % 100 a, CAST('0x' || substr(md5(doc_id || '|' || d || '|b'), 1, 6) AS BIGINT) % 80 b FROM documents, (SELECT unnest([0, 1]) d))"
+
+
+@query(f"""WITH {_DIRECTED}, t AS (SELECT axis, pair_id, avg(a) sa, avg(b) sb, avg(CASE WHEN direction = 1 THEN CAST(a < b AS INT) END) w FROM ds GROUP BY 1, 2)
+SELECT axis, count(*) AS n_pairs, round(avg(CAST(sa > sb AS INT)), 4) AS sensitivity, round(avg(w), 4) AS position_bias FROM t GROUP BY axis""")
+def exam_unpacked_axis(spark, d):
+    rows = documents(spark, d).select(F.col("lang").alias("axis"), F.col("doc_id").alias("pair_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("direction"))
+    h = lambda s, m: F.conv(F.substring(F.md5(F.concat_ws("|", "pair_id", "direction", F.lit(s))), 1, 6), 16, 10).cast("long") % m
+    a, b = h("a", 100), h("b", 80)
+    swap = F.col("direction") == 1
+    return exam.directed_metrics(rows.withColumn("score_a", F.when(swap, b).otherwise(a)).withColumn("score_b", F.when(swap, a).otherwise(b)))
+
+
+@query("""WITH s AS (SELECT lang axis, source, doc_id % 5 op_id, doc_id // 5 sev, doc_id % 4 <> 1 w, doc_id % 3 <> 1 b FROM documents),
+g AS (SELECT axis, source, op_id, count(DISTINCT sev) n, arg_min(w, sev) m, arg_min(b, sev) ms, arg_max(w, sev) st FROM s GROUP BY 1, 2, 3)
+SELECT axis, count(*) AS checked, round(avg(CAST(st AS INT)), 4) AS rate FROM g WHERE n >= 2 AND m AND ms GROUP BY axis""")
+def transitivity(spark, d):
+    rows = documents(spark, d).selectExpr("lang AS axis", "source", "doc_id % 5 AS op_id", "doc_id div 5 AS severity", "doc_id % 4 <> 1 AS orig_wins", "doc_id % 3 <> 1 AS beats_strong")
+    return exam.transitivity(rows)
+
+
+@query("SELECT count(*) AS n, round(avg(CAST(a.v IS NOT DISTINCT FROM b.v AS INT)), 4) AS rate, avg(CAST(a.v IS NOT DISTINCT FROM b.v AS INT)) >= 0.7 AS pass FROM (SELECT doc_id, quality v FROM labels) a JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN toxic ELSE quality END v FROM labels) b USING (doc_id)")
+def agreement(spark, d):
+    labels = table(spark, d, "labels")
+    a = labels.select("doc_id", F.col("quality").alias("v"))
+    b = labels.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("toxic")).otherwise(F.col("quality")).alias("v"))
+    return exam.agreement(a, b, ["doc_id"], "v")
+
+
+_AB = "ab AS (SELECT doc_id, lang, CAST('0x' || substr(md5(doc_id || 'x'), 1, 6) AS BIGINT) % 10 c0, CASE WHEN doc_id % 50 <> 0 THEN CAST('0x' || substr(md5(doc_id || 'y'), 1, 6) AS BIGINT) % 11 END c1 FROM documents)"
+
+
+def _ab(spark, d):
+    docs = documents(spark, d)
+    h = lambda s, m: F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(s))), 1, 6), 16, 10).cast("long") % m
+    champion = docs.select("doc_id", "lang", h("x", 10).alias("score"))
+    candidate = docs.select("doc_id", "lang", F.when(F.col("doc_id") % 50 != 0, h("y", 11)).alias("score"))
+    return exam.paired(champion, candidate, ["doc_id", "lang"])
+
+
+@query(f"WITH {_AB} SELECT count(c1) AS n_pairs, count(*) FILTER (c1 > c0) AS wins, count(*) FILTER (c1 < c0) AS losses, count(*) FILTER (c1 = c0) AS ties, round((count(*) FILTER (c1 > c0) + 0.5 * count(*) FILTER (c1 = c0)) / count(c1), 4) AS winrate FROM ab")
+def ab_winrate(spark, d):
+    return exam.winrate(_ab(spark, d))
+
+
+@query()
+def bootstrap_ci(spark, d):
+    o = F.col("outcome")
+    scored = _ab(spark, d).where(o != "invalid").select("lang", "doc_id", F.when(o == "win", 1.0).when(o == "tie", 0.5).otherwise(0.0).alias("score")).where("doc_id < 400")
+    return exam.bootstrap(scored, "lang", "doc_id", resamples=2000)
+
+
+@query("SELECT strftime(ts, '%G-W%V') AS round, count(*) AS used, count(*) > 20 AS over_quota FROM events GROUP BY 1")
+def quota_ledger(spark, d):
+    return exam.quota_ledger(table(spark, d, "events"))
+
+
+_LEDGER = [
+    (1, 1.0, "ab", "accepted", 0.62, 0.55, 0.70, 0.60),
+    (2, 2.0, "ab", "rejected", 0.48, 0.40, 0.55, 0.30),
+    (3, 3.0, "ab", "promoted", 0.71, 0.61, 0.80, 0.69),
+    (4, 4.0, "blind_corpus", None, 0.40, None, None, None),
+    (5, 5.0, "blind_corpus", None, 0.45, None, None, None),
+    (6, 6.0, "ab", "rejected: noise", 0.51, 0.44, 0.58, None),
+]
+_LCOLS = "round bigint, ts double, kind string, decision string, winrate double, ci_lo double, ci_hi double, sealed_score double"
+_LNAMES = ", ".join(c.split()[0] for c in _LCOLS.split(", "))
+_LSQL = "lg AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v} AS {'BIGINT' if isinstance(v, int) else 'DOUBLE'})" for v in r) + ")" for r in _LEDGER) + f") v({_LNAMES}))"
+_PANELS = {
+    "sealed": "SELECT round, winrate, ci_lo, ci_hi, sealed_score, coalesce(ci_lo, 0) > 0.5 AS ahead FROM lg WHERE kind = 'ab' AND sealed_score IS NOT NULL",
+    "divergence": "SELECT round, winrate, sealed_score, abs(sealed_score - winrate) > 0.15 AS alarm FROM lg WHERE kind = 'ab' AND sealed_score IS NOT NULL AND winrate IS NOT NULL",
+    "blind": "SELECT round, winrate FROM lg WHERE kind = 'blind_corpus' AND winrate IS NOT NULL",
+    "decisions": "SELECT count(*) AS n, count(*) FILTER (decision LIKE 'accepted%' OR decision = 'promoted') AS accepted, round(avg(CAST(decision LIKE 'accepted%' OR decision = 'promoted' AS INT)), 4) AS ratio, avg(CAST(decision LIKE 'accepted%' OR decision = 'promoted' AS INT)) BETWEEN 0.3 AND 0.7 AS healthy FROM lg WHERE kind = 'ab' AND decision IS NOT NULL",
+    "recent": "SELECT * FROM lg ORDER BY ts DESC LIMIT 20",
+}
+
+
+def _panel(name: str):
+    def run(spark, d):
+        return exam.panels(spark.createDataFrame(_LEDGER, _LCOLS))[name]
+
+    run.__name__ = f"panel_{name}"
+    return query(f"WITH {_LSQL} {_PANELS[name]}")(run)
+
+
+for _name in _PANELS:
+    _panel(_name)
+
+
+@query(f"""WITH {_VOTES}, pp AS (SELECT axis, pair_id, coalesce(avg(CASE WHEN direction = 0 THEN CAST(letter = 'A' AS INT) END), 0.5) r0, coalesce(avg(CASE WHEN direction = 1 THEN CAST(letter = 'B' AS INT) END), 0.5) r1 FROM vt GROUP BY 1, 2),
+m AS (SELECT axis, round(avg(CAST((r0 + r1) / 2 > 0.5 AS INT)), 4) s FROM pp GROUP BY axis) SELECT min(s) AS worst, min(s) < 0.85 AS closed FROM m""")
+def panel_worst_axis(spark, d):
+    return exam.worst_axis(exam.axis_metrics(_votes(spark, d)))
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) n, min(event_id) f FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2), m AS (SELECT user_id, arg_max(event_type, struct_pack(n := n, f := -f)) mode FROM c GROUP BY 1),
+r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 i, count(*) OVER (PARTITION BY user_id) n FROM events WHERE value IS NOT NULL)
+SELECT user_id, mode, value AS upper_median FROM m FULL JOIN (SELECT * FROM r WHERE i = n // 2) USING (user_id)""")
+def majority_vote(spark, d):
+    return exam.majority(table(spark, d, "events"), "user_id", "event_type", "event_id", "value")
+
+
+_WEIGHTS = {"high": 0.5, "first": 0.5}
+
+
+@query("""WITH p AS (SELECT event_type genre, count(*) n_cards, avg(CAST(value > 50 AS INT)) high, avg(CAST(user_id % 2 = 0 AS INT)) f FROM events GROUP BY 1), a AS (SELECT DISTINCT event_type genre, 0.6 ah, 0.4 af FROM events)
+SELECT genre, n_cards, round(least(1.0, high / ah) * 0.5 + least(1.0, f / af) * 0.5, 4) AS score FROM p JOIN a USING (genre)""")
+def craft_attainment(spark, d):
+    ev = table(spark, d, "events").withColumnRenamed("event_type", "genre")
+    anchors = ev.select("genre").distinct().withColumn("high", F.lit(0.6)).withColumn("first", F.lit(0.4))
+    return exam.attainment(ev, anchors, {"high": F.col("value") > 50, "first": F.col("user_id") % 2 == 0}, _WEIGHTS)
+
+
+@query("""WITH s AS (SELECT o_orderpriority st, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) r, count(*) OVER (PARTITION BY o_orderpriority) c, count(*) OVER () t FROM orders)
+SELECT st AS stratum, o_orderkey AS id FROM s WHERE r <= greatest(1, CAST(round(100.0 * c / t) AS INT))""")
+def stratified_sample(spark, d):
+    return exam.stratified(table(spark, d, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], "o_orderkey", 100).select(F.col("o_orderpriority").alias("stratum"), F.col("o_orderkey").alias("id"))
+
+
+_BUCKETS = [("b1", 0.0, 100000.0, 0.25), ("b2", 100000.00001, 250000.0, 0.25), ("b3", 250000.00001, 400000.0, 0.25), ("b4", 400000.00001, 1e12, 0.25)]
+_BSQL = "bk AS (SELECT * FROM (VALUES " + ", ".join(f"('{b}', CAST({lo!r} AS DOUBLE), CAST({hi!r} AS DOUBLE), CAST({s} AS DOUBLE))" for b, lo, hi, s in _BUCKETS) + ") v(bucket, lo, hi, share))"
+
+
+def _buckets(spark):
+    return spark.createDataFrame(_BUCKETS, "bucket string, lo double, hi double, share double")
+
+
+@query(f"WITH {_BSQL}, h AS (SELECT bucket, count(*) o FROM orders JOIN bk ON o_totalprice BETWEEN lo AND hi GROUP BY 1), x AS (SELECT share, coalesce(o, 0) o, share * sum(coalesce(o, 0)) OVER () e FROM bk LEFT JOIN h USING (bucket)) SELECT round(sum((o - e) * (o - e) / e), 6) AS stat, 3 AS dof, round(sum((o - e) * (o - e) / e), 6) <= 7.815 AS pass FROM x")
+def chi_square(spark, d):
+    return exam.chi_square(table(spark, d, "orders").select(F.col("o_totalprice").alias("value")), _buckets(spark))
+
+
+@query(f"WITH {_BSQL} SELECT bucket, count(*) AS n FROM orders JOIN bk ON o_totalprice BETWEEN lo AND hi GROUP BY 1")
+def bucket_join(spark, d):
+    b = F.broadcast(_buckets(spark))  # four rows
+    o = table(spark, d, "orders").select("o_totalprice")
+    return o.join(b, (F.col("o_totalprice") >= F.col("lo")) & (F.col("o_totalprice") <= F.col("hi"))).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_FREQ}, c AS (SELECT phrase item, CAST(sum(n) AS BIGINT) n FROM fr GROUP BY 1) SELECT item, n, CAST(row_number() OVER (ORDER BY n DESC, item) AS INT) AS rank FROM c ORDER BY n DESC, item LIMIT 30")
+def pattern_topk(spark, d):
+    top = _freq(spark, d).groupBy(F.col("phrase").alias("item")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(30)
+    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "item"))).alias("a")).select(F.posexplode("a").alias("i", "x"))  # 30 rows
+    return ranked.select(F.col("x.item").alias("item"), (-F.col("x.m")).alias("n"), (F.col("i") + 1).alias("rank"))
+
+
+# --- Assembly and parsing -------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT conv_id, string_agg({_STRIP('text')}, chr(10) ORDER BY turn) AS text FROM conversations WHERE {_STRIP('text')} <> '' GROUP BY conv_id")
+def episode_text(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", T.stripped(F.col("text")).alias("text")).where("text <> ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    return rows.groupBy("conv_id").agg(joined.alias("text"))
+
+
+_REPLIES = [(1, "1:A 2:B 3:A"), (2, "A B"), (3, "1:B 3:A"), (4, "@npc hi 2:a 2:B"), (5, "nothing"), (6, "")]
+
+
+@query("SELECT * FROM (VALUES (1, 'A,B,A'), (2, 'A,B,'), (3, 'B,,A'), (4, ',B,'), (5, ',,'), (6, ',,')) v(id, letters)".replace("(1,", "(CAST(1 AS BIGINT),"))
+def packed_vote_parse(spark, d):
+    rows = spark.createDataFrame(_REPLIES, "id bigint, reply string")
+    return rows.select("id", F.array_join(T.packed_votes(F.col("reply"), 3), ",").alias("letters"))
+
+
+@query("""WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda s: regexp_replace(s, '<[^>]*>', '', 'g')), lambda s: s <> '') ps FROM pages)
+SELECT page_id, CAST(len(ps) AS INT) AS n, array_to_string(ps, chr(10)) AS text FROM p""")
+def markup_paragraphs(spark, d):
+    ps = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1)), lambda s: F.regexp_replace(s, "<[^>]*>", "")), lambda s: s != "")
+    return table(spark, d, "pages").select("page_id", F.size(ps).alias("n"), F.array_join(ps, "\n").alias("text"))
+
+
+_UNITS = f"""{CARD}, e AS (SELECT doc_id, unnest(ls) s, generate_subscripts(ls, 1) i FROM card), g AS (SELECT *, sum(CASE WHEN regexp_matches(s, '{P.title}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) seg FROM e),
+un AS (SELECT doc_id, seg, sum(length(s)) + count(*) - 1 chars FROM g WHERE seg > 0 AND NOT regexp_matches(s, '{P.title}') GROUP BY 1, 2 HAVING sum(length(s)) + count(*) - 1 >= 200),
+nu AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg) AS INT) unit, CAST(chars AS BIGINT) chars FROM un)"""
+
+
+def _units(spark, d):
+    """Bodies between titles, those under 200 characters left out."""
+    state = F.array().cast("array<struct<body:array<string>>>")
+
+    def step(a, s):
+        opens = s.rlike(P.title)
+        last = F.get(a, F.size(a) - 1)["body"]
+        grown = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.concat(last, F.array(s)).alias("body"))))
+        return F.when(opens, F.concat(a, F.array(F.struct(F.array().cast("array<string>").alias("body"))))).when(F.size(a) == 0, a).otherwise(grown)
+
+    units = F.filter(F.transform(F.aggregate(T.lines(F.col("text")), state, step), lambda u: F.array_join(u["body"], "\n")), lambda b: F.length(b) >= 200)
+    return documents(spark, d).select("doc_id", units.alias("units"))
+
+
+@query(f"WITH {_UNITS} SELECT doc_id, unit, chars FROM nu")
+def unit_split(spark, d):
+    return _units(spark, d).select("doc_id", F.posexplode("units").alias("p", "b")).select("doc_id", (F.col("p") + 1).alias("unit"), F.length("b").cast("long").alias("chars"))
+
+
+@query(f"""WITH {_UNITS}, t AS (SELECT *, count(*) OVER (PARTITION BY doc_id) n FROM nu)
+SELECT doc_id, unit, chars FROM t WHERE n <= 5 OR unit <= 3 OR unit = n // 2 + 1 OR unit = n""")
+def unit_sample(spark, d):
+    """Five units of a longer document: three from the head, one from the middle, one from the tail."""
+    rows = _units(spark, d).select("doc_id", F.size("units").alias("n"), F.posexplode("units").alias("p", "b"))
+    unit = F.col("p") + 1
+    keep = (F.col("n") <= 5) | (unit <= 3) | (unit == F.floor(F.col("n") / 2) + 1) | (unit == F.col("n"))
+    return rows.where(keep).select("doc_id", unit.alias("unit"), F.length("b").cast("long").alias("chars"))
+
+
+@query("SELECT user_id, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
+def json_props(spark, d):
+    k = F.from_json("props", "k bigint")["k"]
+    return table(spark, d, "events").groupBy("user_id").agg(F.sum(k).alias("k"))
