@@ -9,15 +9,15 @@ result as without it.
 
 Texts with the same words are one class from the start. One signature for each such class is cut into
 `BANDS` bands of `ROWS` registers; at similarity 0.8 a pair is missed with probability
-(1 - 0.8**ROWS)**BANDS, 3e-6. A bucket of equal bands is searched in blocks. In rounds every
-member proposes the few earlier members that its signature is most alike to and that aren't yet connected
-with it; the proposals are verified, what is verified connects, and the last round proposes all pairs of
-different components that may reach the threshold. So a bucket of g near copies gives about 2 g
-candidates, not g * g, and no link between components is left out. Blocks of a large bucket share some
-members (`HUBS`), and other bands deal the same documents differently.
+(1 - 0.8**ROWS)**BANDS, 3e-6. A bucket of equal bands is searched in blocks of
+at most `BLOCK` members. Within a block every pair that isn't connected yet, that has no earlier block in
+common and whose signatures may reach the threshold is verified by the exact similarity of the whole
+shingle sets, the most alike first; a block returns no more links than connect it, so a group of g near
+copies gives g - 1 links and not g * g pairs. A bucket of several blocks shares `HUBS` members between
+them, and each band deals its blocks anew; between two blocks a link can only be missed if the pair meets
+in no band's block and no shared member connects it.
 
-Candidates are verified by the exact similarity of their whole shingle sets. Verified links make classes
-by connected components: labels spread by the least neighbour and jump, each round a written table.
+Verified links make classes by connected components: labels spread by the least neighbour and jump, each round a written table.
 
 Nulls: a null or wordless text has no shingles and is a class of its own for each document. Rows that
 repeat are copies. doc_id may be null or repeated; the class is named by a hash of words, `class_id`.
@@ -42,11 +42,9 @@ WIDTH = 5
 THRESHOLD = 0.8
 REGISTERS, BANDS, ROWS = 96, 24, 4
 #: Members of a bucket that are searched together; first members that all blocks of a bucket share.
-BLOCK, HUBS = 2048, 16
+BLOCK, HUBS = 4096, 16
 #: Least share of equal registers at which a pair is verified; 0.8 less about 4.4 standard deviations.
 LIKELY = 0.62
-#: Rounds of verification: partners that a member may propose in each; in the last, all that are left.
-ROUNDS = (2, 16, None)
 IS_WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 SEED = np.uint64(0xD1B54A32D192ED03)
 
@@ -165,106 +163,102 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(borders)
             made = signatures(np.concatenate([[0], np.cumsum(size[rows])]), h[np.repeat(keep, size)])
             sigs: list[bytes | None] = [None] * n
+            sets: list[bytes | None] = [None] * n
             for i, row in zip(rows.tolist(), made, strict=True):
-                sigs[i] = row.tobytes()
+                sigs[i] = row.astype(np.uint32).tobytes()
+                sets[i] = np.sort(h[borders[i] : borders[i + 1]].astype(np.uint32)).tobytes()
             empty = np.diff(borders) == 0
             kept = [c.slice(a, n) for i, c in enumerate(b.columns) if i != 1]
             names = [c for i, c in enumerate(b.schema.names) if i != 1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(key, mask=empty), pa.array(sigs, pa.binary()), pa.array(counts, pa.int64())], names=[*names, "class_key", "sig", "n_words"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(key, mask=empty), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()), pa.array(counts, pa.int64())], names=[*names, "class_key", "sig", "shingles", "n_words"])
 
 
-def _candidates(pdf: pd.DataFrame, most: int | None) -> pd.DataFrame:
-    """Pairs of a block to verify: each member with the `most` most alike earlier ones of other components."""
-    pdf = pdf.sort_values("class_key", kind="stable")
-    keys, root = pdf["class_key"].to_numpy(), pdf["root"].to_numpy()
-    a, b = [], []
-    if (root != root[0]).any():
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(len(pdf), REGISTERS).astype(np.uint32)
-        for i in range(1, len(keys)):
-            other = np.flatnonzero(root[:i] != root[i])
-            same = (sig[other] == sig[i]).mean(1)
-            likely = np.flatnonzero(same >= LIKELY)
-            if most is not None and len(likely) > most:
-                likely = likely[np.argsort(-same[likely], kind="stable")[:most]]
-            a.append(keys[other[likely]])
-            b.append(np.full(len(likely), keys[i]))
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pd.DataFrame({"a": join(a).astype(np.int64), "b": join(b).astype(np.int64)})
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return weighted(np.frombuffer(data, np.uint32))
 
 
-def _proposer(most: int | None):
-    return lambda pdf: _candidates(pdf, most)
+def _search(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """a, b, similarity: verified links of a block, as many as it takes to connect it.
+
+    Every pair that isn't connected yet, that has no earlier block in common and that may reach the
+    threshold by its signatures is verified exactly.
+    """
+    pdf = pdf.sort_values("class_key", kind="stable").drop_duplicates("class_key")
+    band, g = int(pdf["band"].iloc[0]), len(pdf)
+    keys, guest = pdf["class_key"].to_numpy(), pdf["guest"].to_numpy()
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(g, REGISTERS)
+    cells = np.zeros((g, BANDS), np.int64)
+    for i, m in enumerate(pdf["cells"]):
+        for k, v in m.items() if isinstance(m, dict) else m:
+            cells[i, k] = v
+    sets: list[tuple[np.ndarray, np.ndarray] | None] = [None] * g
+    packed = pdf["shingles"].to_list()
+    label = np.arange(g)
+    rows = []
+    for i in range(1, g):
+        other = np.flatnonzero(label[:i] != label[i])
+        if band and len(other):
+            met = ((cells[other, :band] == cells[i, :band]) & (cells[i, :band] != 0)).any(1)
+            other = other[~met | guest[other] | guest[i]]
+        same = (sig[other] == sig[i]).mean(1)
+        for j in other[np.argsort(-same, kind="stable")[: int((same >= LIKELY).sum())]].tolist():
+            if label[j] == label[i]:
+                continue
+            for k in (i, j):
+                if sets[k] is None:
+                    sets[k] = _unpacked(packed[k])
+            s = similarity(*sets[j], *sets[i])
+            if s >= threshold - 1e-12:
+                rows.append((keys[j], keys[i], s))
+                label[label == label[j]] = label[i]
+    return pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
 
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), 64):
-            part = batch.slice(at, 64)
-            sets: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-            for side, col in ((0, 2), (1, 3)):
-                for _, borders, h, _ in shingles(part.column(col)):
-                    sets[side] += [weighted(h[x:y]) for x, y in zip(borders[:-1], borders[1:], strict=True)]
-            s = np.array([similarity(*p, *q) for p, q in zip(*sets, strict=True)])
-            keep = s >= threshold - 1e-12
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), part.column(1).filter(pa.array(keep)), pa.array(s[keep])], names=["a", "b", "similarity"])
-
-
-def links(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b, similarity: verified pairs of class keys; node, root: their components).
-
-    docs has class_key and text, signed is the table of _signed.
+    for b in batches:
+        s = np.array([similarity(*_unpacked(x), *_unpacked(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
+        keep = pa.array(s >= threshold - 1e-12, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(s, pa.float64()).filter(keep)], names=["a", "b", "similarity"])
+
+
+def links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, similarity: verified links between class keys that connect each class of near duplicates.
+
+    signed is the table of _signed.
     """
-    reps = signed.where("sig IS NOT NULL").groupBy("class_key").agg(F.first("sig").alias("sig"))
-    reps = written(reps, "signatures")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring(F.col("sig"), i * (ROWS * 8) + 1, F.lit(ROWS * 8))).alias("h")))
-    cells = reps.select("class_key", F.explode(bands).alias("x")).select("class_key", F.col("x.band").alias("band"), F.col("x.h").alias("h"))
-    sizes = cells.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("class_key").alias("low")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    sizes = written(sizes, "buckets")
-    busy = cells.join(sizes, ["band", "h"])
+    spark = signed.sparkSession
+    once = signed.where("sig IS NOT NULL")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring(F.col("sig"), i * (ROWS * 4) + 1, F.lit(ROWS * 4))).alias("h")))
+    cells = once.select("class_key", F.explode(bands).alias("x")).select("class_key", F.col("x.band").alias("band"), F.col("x.h").alias("h")).distinct()
+    sizes = cells.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("class_key").alias("low"), F.max("class_key").alias("high")).where("n > 1")
+    sizes = written(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "buckets")
+    # Most buckets are pairs, and a pair met in many bands is verified once.
+    pairs = sizes.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
     block = F.pmod(F.xxhash64("class_key", "band"), F.col("blocks")).cast("int")
-    dealt = busy.where("n > 2").select("band", "h", block.alias("block"), "class_key")
-    # The members of least key of a bucket of several blocks go to all its blocks.
-    hubs = busy.where("blocks > 1").groupBy("band", "h", "blocks", F.pmod(F.xxhash64("class_key"), F.lit(HUBS)).alias("s")).agg(F.min("class_key").alias("class_key"))
-    hubs = hubs.select("band", "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_key")
-    members = written(dealt.unionByName(hubs).distinct(), "members")
-    # Most buckets are pairs: those are candidates as they stand, and a pair met in many bands is one.
-    pairs = busy.where("n = 2").groupBy("band", "h").agg(F.min("class_key").alias("a"), F.max("class_key").alias("b")).select("a", "b").distinct()
-    tried = found = roots = None
-    for most in ROUNDS:
-        large = members.join(reps, "class_key")
-        if roots is None:
-            large = large.withColumn("root", F.col("class_key"))
-        else:
-            large = large.join(broadcast_if_small(roots), large["class_key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class_key"))
-        large = large.select("band", "h", "block", "class_key", "root", "sig")
-        new = large.groupBy("band", "h", "block").applyInPandas(_proposer(most), "a long, b long")
-        new = (pairs.unionByName(new) if tried is None else new).distinct()
-        if tried is not None:
-            new = new.join(tried, ["a", "b"], "left_anti")
-        new = written(new, "candidates")
-        if not new.limit(1).count():
-            break
-        good = _verify(docs, new, threshold)
-        tried = new if tried is None else tried.unionByName(new)
-        found = good if found is None else found.unionByName(good)
-        roots = components(found)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "a long, b long, similarity double"), None
-    return found, roots
-
-
-def _verify(docs: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    """The candidates whose exact similarity reaches the threshold. One text for each class is fetched."""
-    needed = candidates.select(F.explode(F.array("a", "b")).alias("class_key")).distinct()
-    texts = written(docs.join(needed, "class_key", "left_semi").dropDuplicates(["class_key"]), "texts")
-    left = texts.select(F.col("class_key").alias("a"), F.col("text").alias("ta"))
-    right = docs.sparkSession.read.schema(texts.schema).parquet(texts._corpusloom_path).select(F.col("class_key").alias("b"), F.col("text").alias("tb"))
-    both = candidates.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    out = written(both.mapInArrow(lambda it: _verified(it, threshold), "a long, b long, similarity double"), "links")
-    drop_written(texts)
+    busy = cells.join(sizes.where("n > 2").select("band", "h", "blocks"), ["band", "h"]).select("band", "h", "blocks", block.alias("block"), "class_key")
+    busy = written(busy, "busy")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class_key")).unionByName(busy.select("class_key")).distinct()
+    sets = written(once.join(needed, "class_key", "left_semi").select("class_key", "sig", "shingles").dropDuplicates(["class_key"]), "sets")
+    of = busy.groupBy("class_key").agg(F.map_from_entries(F.collect_list(F.struct("band", F.xxhash64("band", "h", "block")))).alias("cells"))
+    # Some members of a bucket of several blocks, those of least key by hash, are guests in all its blocks.
+    few = busy.where("blocks > 1").groupBy("band", "h", "blocks", F.pmod(F.xxhash64("class_key"), F.lit(HUBS)).alias("s")).agg(F.min("class_key").alias("class_key"))
+    guests = few.select("band", "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_key", F.lit(True).alias("guest"))
+    members = busy.select("band", "h", "block", "class_key", F.lit(False).alias("guest")).unionByName(guests)
+    dealt = members.join(sets.join(of, "class_key"), "class_key").select("band", "h", "block", "guest", "class_key", "cells", "sig", "shingles")
+    found = dealt.groupBy("band", "h", "block").applyInPandas(_searcher(threshold), "a long, b long, similarity double")
+    left = sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("sa"))
+    right = spark.read.schema(sets.schema).parquet(sets._corpusloom_path).select(F.col("class_key").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    out = written(both.mapInArrow(lambda it: _verified(it, threshold), "a long, b long, similarity double").unionByName(found), "links")
+    for t in (sets, busy, sizes):
+        drop_written(t)
     return out
 
 
+def _searcher(threshold: float):
+    return lambda pdf: _search(pdf, threshold)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component of edges (a, b)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -293,34 +287,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null for wordless texts.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`") for c in carried])
-    schema = StructType([rows.schema["doc_id"], *rows.schema.fields[2:], *_schema("class_key long, sig binary, n_words long")])
+    schema = StructType([rows.schema["doc_id"], *rows.schema.fields[2:], *_schema("class_key long, sig binary, shingles binary, n_words long")])
     signed = written(rows.mapInArrow(_signed, schema), "signed")
-    keyed = rows.select("text").mapInArrow(_keyed, "class_key long, text string")
-    _, roots = links(keyed, signed, threshold)
-    if roots is None:
-        return signed.select("doc_id", *carried, "class_key", F.col("class_key").alias("class_id"), "n_words")
-    roots = broadcast_if_small(roots)
+    roots = broadcast_if_small(components(links(signed, threshold)))
     out = signed.join(roots, signed["class_key"] == roots["node"], "left")
     return out.select("doc_id", *carried, "class_key", F.coalesce("root", "class_key").alias("class_id"), "n_words")
 
 
 def _schema(text: str) -> list:
     return StructType.fromDDL(text).fields
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class_key and text of each row, once for each key in a task."""
-    seen: set[int] = set()
-    for b in batches:
-        for a, borders, h, counts in shingles(b.column(0)):
-            n = len(borders) - 1
-            ordinal = (np.arange(len(h)) - np.repeat(borders[:-1], np.diff(borders))).astype(np.uint64)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(h + ordinal * np.uint64(0xC2B2AE3D27D4EB4F)), dtype=np.uint64)])
-            key = mixed(sums[borders[1:]] - sums[borders[:-1]] + counts.astype(np.uint64)).view(np.int64)
-            keep = []
-            for i, k in enumerate(key.tolist()):
-                keep.append(k not in seen and borders[i] < borders[i + 1])
-                if len(seen) < 1_000_000:
-                    seen.add(k)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(key).filter(mask), b.column(0).slice(a, n).filter(mask)], names=["class_key", "text"])
