@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.profile import LINE_BREAK, SPACE, Profile
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     """text without any white space."""
     return F.regexp_replace(text, f"[{SPACE}]", "")
@@ -38,7 +45,7 @@ def sentences(text: Column, profile: Profile) -> Column:
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines, or the lines if there is only one block."""
     blocks = F.filter(F.transform(F.split(text, "\n\n"), stripped), lambda s: s != "")
-    return F.when(F.size(blocks) <= 1, lines(text)).otherwise(blocks)
+    return let(blocks, lambda b: F.when(F.size(b) <= 1, lines(text)).otherwise(b))
 
 
 def tokens(text: Column, profile: Profile) -> Column:
@@ -68,9 +75,12 @@ def mean_and_cv(values: Column) -> tuple[Column, Column]:
 
 def base32_id(key: Column) -> Column:
     """26 characters of base 32 from the first 128 bits of SHA-256 of a string."""
-    bits = F.concat(F.lit("00"), *[F.lpad(F.conv(F.substring(F.sha2(key, 256), 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(4)])
-    digit = lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(bits, 1 + 5 * i, 5), 2, 10).cast("int") + 1, F.lit(1))
-    return F.concat(*[digit(i) for i in range(26)])
+    def digits(bits: Column) -> Column:
+        digit = lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(bits, 1 + 5 * i, 5), 2, 10).cast("int") + 1, F.lit(1))
+        return F.concat(*[digit(i) for i in range(26)])
+
+    as_bits = lambda h: F.concat(F.lit("00"), *[F.lpad(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(4)])
+    return let(F.sha2(key, 256), lambda h: let(as_bits(h), digits))
 
 
 #: Fixed value: the digits of ids.

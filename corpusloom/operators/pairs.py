@@ -21,15 +21,24 @@ BUDGET, LEAST = 1200, 100
 
 def excerpt(text: Column) -> Column:
     """Narrative from the first scene or spoken line on, else a chapter line, else a long line; null if too thin."""
-    whole = T.raw_lines(text)
-    plain = lambda s: (T.stripped(s) != "") & ~T.stripped(s).rlike(META)
-    first = lambda test: F.get(F.filter(F.transform(whole, lambda s, i: F.when(plain(s) & test(T.stripped(s)), i)), lambda i: i.isNotNull()), F.lit(0))
-    start = F.coalesce(first(lambda s: s.rlike(TALK)), first(lambda s: s.rlike(CHAPTER)), first(lambda s: F.length(s) >= 30))
-    body = F.filter(F.slice(whole, start + 1, F.greatest(F.size(whole), F.lit(1))), plain)
-    talk = F.exists(body, lambda s: T.stripped(s).rlike(TALK) | T.stripped(s).rlike(QUOTED))
-    long = F.size(F.filter(body, lambda s: F.length(T.stripped(s)) >= 30)) >= 2
-    out = F.substring(F.array_join(body, "\n"), 1, BUDGET)
-    return F.when(start.isNotNull() & (talk | long) & (F.length(out) >= LEAST), out)
+    def first(whole: Column, test) -> Column:
+        return F.get(F.filter(F.transform(whole, lambda s, i: F.when((s != "") & ~s.rlike(META) & test(s), i)), lambda i: i.isNotNull()), F.lit(0))
+
+    def anchor(bare: Column) -> Column:
+        return F.coalesce(first(bare, lambda s: s.rlike(TALK)), first(bare, lambda s: s.rlike(CHAPTER)), first(bare, lambda s: F.length(s) >= 30))
+
+    def valid(body: Column) -> Column:
+        talk = F.exists(body, lambda s: s["bare"].rlike(TALK) | s["bare"].rlike(QUOTED))
+        long = F.size(F.filter(body, lambda s: F.length(s["bare"]) >= 30)) >= 2
+        out = F.substring(F.array_join(F.transform(body, lambda s: s["raw"]), "\n"), 1, BUDGET)
+        return F.when((talk | long) & (F.length(out) >= LEAST), out)
+
+    def from_anchor(whole: Column, start: Column) -> Column:
+        rest = F.slice(whole, start + 1, F.greatest(F.size(whole), F.lit(1)))
+        return F.when(start.isNotNull(), T.let(F.filter(rest, lambda s: (s["bare"] != "") & ~s["bare"].rlike(META)), valid))
+
+    pieces = F.transform(T.raw_lines(text), lambda s: F.struct(s.alias("raw"), T.stripped(s).alias("bare")))
+    return T.let(pieces, lambda w: T.let(anchor(F.transform(w, lambda s: s["bare"])), lambda start: from_anchor(w, start)))
 
 
 def pair_id(axis: Column, a: Column, b: Column, kind: Column, op: Column) -> Column:

@@ -343,7 +343,7 @@ def verify_pairs(spark, d):
 
 @query()
 def pairs_built(spark, d):
-    docs = documents(spark, d).select("doc_id", pairs.excerpt(F.col("text")).alias("text")).where("text IS NOT NULL")
+    docs = documents(spark, d).select("doc_id", pairs.excerpt(F.col("text")).alias("text"))
     return pairs.from_degraded(degrade.degraded(docs, severities=(0.5, 1.0)), "corpus_degraded").select("pair_id", "axis", "split", F.col("construction.op_id").alias("op_id"))
 
 
