@@ -63,10 +63,14 @@ class WordTokenizer:
     """ids of whole texts under a tokenizers file whose pre-tokenizer never joins over white space."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._one = Tokenizer.from_file(path)
         self._one.encode_special_tokens = True
+        # The same merges for lower-case words that are already set apart by spaces.
+        self._light = Tokenizer.from_file(path)
+        self._light.normalizer = normalizers.Sequence([])
+        self._light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self._one.get_vocab()
         self._last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self._last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -93,18 +97,21 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """ids of each word. Those of plain shape are encoded by one call over all, and cut at the ids that end words."""
         plain: dict[str, int] = {}
+        shown: list[str] = []
         out: dict[str, bytes] = {}
         for w in words:
             if w and max(w) <= "\xff":  # so that normalising keeps letters letters
                 if w.isalpha():
                     plain[w] = 1
+                    shown.append(w.lower())
                     continue
                 if w[-1] in ".,;:!?|" and w[:-1].isalpha():
                     plain[w] = 2
+                    shown.append(f"{w[:-1].lower()} {w[-1]}")
                     continue
             out[w] = np.array(self._one.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         if plain:
-            ids = np.array(self._one.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self._light.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self._last[ids])[np.cumsum(list(plain.values())) - 1] + 1
             edges = [0, *ends.tolist()]
             out |= {w: ids[a:b].tobytes() for w, a, b in zip(plain, edges[:-1], edges[1:], strict=True)}
