@@ -1,18 +1,15 @@
-"""What the operators of this subpackage share: the session, intermediate tables, checked broadcasts."""
+"""What the operators of this subpackage share: workers that find the package, tables, checked broadcasts."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-#: Most rows of a side that is broadcast after it was counted. A row here is a few short columns.
-BROADCAST_ROWS = 200_000
-_LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from corpusloom.sources.tables import broadcast_if_small, drop_written, written
+
+__all__ = ["broadcast_if_small", "drop_written", "prepare", "written"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -24,53 +21,3 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     env.setdefault("OMP_NUM_THREADS", "1")
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = _LOCAL_CHECKPOINTS
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage, survives lost executors.
-
-    The table is removed when the driver's Python ends, or earlier by drop_written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._corpusloom_path = path
-    atexit.register(_remove, spark, path)
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Remove a table that written() made and that no later plan reads."""
-    _remove(df.sparkSession, df._corpusloom_path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit; the folder is only scratch
-        return
-
-
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves it has at most so many rows, else as it is.
-
-    df should be a written table or otherwise cheap to count.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def lang_safe(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, renamed: extra columns with clashing names can't disturb an operator."""
-    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
