@@ -13,8 +13,10 @@ holds one of them, it is broken by a zero-width space, so that a text can't forg
 `pair_up` makes pairs of a table of conversations: those that open with the same first turn are taken two
 by two in the order of conv_id within a salt of the group, the better one (more assistant text, then the
 smaller conv_id) as chosen. No group is ever in one task: first turns are hashed together with the salt.
-A conversation without a partner in its salt meets those left over in other salts; one that stays alone is
-returned without a partner, with all turns up to its last assistant turn as prompt and that as completion.
+A conversation without a partner in its salt meets those left over in other salts. One that stays alone gets a
+rejected conversation that is its own up to its last assistant turn, which is replaced by that of its neighbour
+in a small bucket of such conversations. Only one without an assistant turn, or whose neighbour has none or
+the same, is returned without a rejected one.
 
 Nulls: a null text is empty, a null role is `unknown`; turns without conv_id form one conversation;
 turns of equal number follow each other by role, then text. Repeated rows are repeated turns.
@@ -29,6 +31,8 @@ ASSISTANT = "assistant"
 OPEN, SHUT, END = "<|", "|>\n", "<|end|>\n"
 #: Salts of a group: conversations with the same first turn are spread over so many keys.
 SALTS = 64
+#: Conversations to a bucket in which those without a partner find a neighbour.
+BUCKET = 64
 
 
 def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -94,9 +98,9 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
 
 def pair_up(turns: DataFrame, salts: int = SALTS) -> DataFrame:
-    """chosen_id, chosen, rejected_id, rejected: every conversation is in exactly one row.
+    """chosen_id, chosen, rejected_id, rejected: every conversation is chosen or rejected in one row as a whole.
 
-    turns has conv_id, turn, role and text. Only ids and sizes are dealt while pairing; the turns join the
+    rejected_id names where the rejected answer is from. turns has conv_id, turn, role and text. Only ids and sizes are dealt while pairing; the turns join the
     finished pairs by conv_id.
     """
     whole = conversations(turns)
@@ -117,5 +121,24 @@ def pair_up(turns: DataFrame, salts: int = SALTS) -> DataFrame:
     pairs = pairs.select(side(0).alias("chosen_id"), side(1).alias("rejected_id"), (F.size("m") == 2).alias("both"))
     c = whole.select(F.col("conv_id").alias("c_id"), F.col("turns").alias("chosen"))
     r = whole.select(F.col("conv_id").alias("r_id"), F.col("turns").alias("rejected"))
-    joined = pairs.join(c, F.col("chosen_id").eqNullSafe(F.col("c_id"))).join(r, F.col("both") & F.col("rejected_id").eqNullSafe(F.col("r_id")), "left")
-    return joined.select("chosen_id", "chosen", "rejected_id", "rejected")
+    two = pairs.where("both")
+    real = two.join(c, F.col("chosen_id").eqNullSafe(F.col("c_id"))).join(r, F.col("rejected_id").eqNullSafe(F.col("r_id"))).select("chosen_id", "chosen", "rejected_id", "rejected")
+    return real.unionByName(_with_neighbours(pairs.where("NOT both").select(F.col("chosen_id").alias("conv_id")), whole))
+
+
+def _with_neighbours(alone: DataFrame, whole: DataFrame) -> DataFrame:
+    """chosen_id, chosen, rejected_id, rejected for conversations without a partner."""
+    buckets = max(1, alone.count() // BUCKET)
+    rows = alone.withColumn("b", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)))
+    order = Window.partitionBy("b").orderBy("conv_id")
+    # The next one in the bucket, the first one behind the last.
+    following = F.coalesce(F.lead(F.struct("conv_id")).over(order), F.first(F.struct("conv_id")).over(order))
+    pairs = rows.select("conv_id", following["conv_id"].alias("rejected_id"))
+    own = whole.select(F.col("conv_id").alias("c_id"), F.col("turns").alias("chosen"))
+    answer = F.get(F.reverse(F.filter("turns", lambda t: t["role"] == ASSISTANT)), F.lit(0))
+    other = whole.select(F.col("conv_id").alias("r_id"), answer.alias("answer"))
+    both = pairs.join(own, F.col("conv_id").eqNullSafe(F.col("c_id"))).join(other, F.col("rejected_id").eqNullSafe(F.col("r_id")))
+    last = F.array_max(F.transform("chosen", lambda t, i: F.when(t["role"] == ASSISTANT, i)))
+    fit = last.isNotNull() & F.col("answer").isNotNull() & (F.get("chosen", last)["text"] != F.col("answer")["text"])
+    rejected = F.when(fit, F.concat(F.slice("chosen", F.lit(1), last), F.array("answer")))
+    return both.select(F.col("conv_id").alias("chosen_id"), "chosen", F.when(fit, F.col("rejected_id")).alias("rejected_id"), rejected.alias("rejected"))

@@ -145,9 +145,15 @@ def test_pairing_uses_each_conversation_once(spark):
     rows += [(None, 0, "user", "alone"), (50, 0, None, None), (50, 0, None, None)]
     turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, chosen int")
     got = chat_format.pair_up(turns, salts=4).collect()
-    used = [x for r in got for x in ([r["chosen_id"], r["rejected_id"]] if r["rejected"] is not None else [r["chosen_id"]])]
-    assert Counter(used) == Counter([*range(40), None, 50])
-    assert sum(r["rejected"] is not None for r in got) >= 12
+    whole = {r["conv_id"]: r["turns"] for r in chat_format.conversations(turns).collect()}
+    real = [r for r in got if r["rejected"] is not None and r["rejected"] == whole[r["rejected_id"]]]
+    used = [r["chosen_id"] for r in got] + [r["rejected_id"] for r in real]
+    assert Counter(used) == Counter([*range(40), None, 50]) and len(real) == 15
+    for r in got:
+        assert r["chosen"] == whole[r["chosen_id"]]
+        if r["rejected"] is not None and r not in real:  # the neighbour's answer in place of the last one
+            assert r["rejected"][:-1] == r["chosen"][:3] and r["rejected"][-1]["role"] == "assistant" and r["rejected"][-1] != r["chosen"][3]
+    assert sum(r["rejected"] is None for r in got) <= 4
     assert chat_format.format_preferences(chat_format.pair_up(turns)).where("rejected_completion IS NOT NULL").where("n_prompt = 0").count() == 0
     assert chat_format.pair_up(empty(spark, turns.schema)).count() == 0
 
