@@ -14,8 +14,9 @@ at most `BLOCK` members. Within a block every pair that isn't connected yet, tha
 common and whose signatures may reach the threshold is verified by the exact similarity of the whole
 shingle sets, the most alike first; a block returns no more links than connect it, so a group of g near
 copies gives g - 1 links and not g * g pairs. A bucket of several blocks shares `HUBS` members between
-them, and each band deals its blocks anew; between two blocks a link can only be missed if the pair meets
-in no band's block and no shared member connects it.
+them, which connects most of a crowded bucket cheaply. What these links leave apart is searched in full:
+the members of a bucket outside its largest class so far meet all members of the bucket, in a grid of
+blocks by blocks, so that every pair of a bucket is either connected or compared.
 
 Verified links make classes by connected components: labels spread by the least neighbour and jump, each round a written table.
 
@@ -214,6 +215,43 @@ def _search(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
 
+def _cross(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """a, b, similarity: verified links of a cell of the grid, between its outer members and all its others.
+
+    Left out are pairs of one class by the links so far, and pairs that share the bucket of an earlier band.
+    """
+    pdf = pdf.sort_values(["outer", "class_key"], kind="stable").reset_index(drop=True)
+    band, g = int(pdf["band"].iloc[0]), len(pdf)
+    inner = int((~pdf["outer"]).sum())
+    keys = pdf["class_key"].to_numpy()
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(g, REGISTERS)
+    cells = np.zeros((g, BANDS), np.int64)
+    for i, m in enumerate(pdf["cells"]):
+        for k, v in m.items() if isinstance(m, dict) else m:
+            cells[i, k] = v
+    sets: list[tuple[np.ndarray, np.ndarray] | None] = [None] * g
+    packed = pdf["shingles"].to_list()
+    label = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
+    rows = []
+    for i in range(inner, g):
+        other = np.flatnonzero(label[:inner] != label[i])
+        if band and len(other):
+            met = ((cells[other, :band] == cells[i, :band]) & (cells[i, :band] != 0)).any(1)
+            other = other[~met]
+        same = (sig[other] == sig[i]).mean(1)
+        for j in other[np.argsort(-same, kind="stable")[: int((same >= LIKELY).sum())]].tolist():
+            if label[j] == label[i]:
+                continue
+            for k in (i, j):
+                if sets[k] is None:
+                    sets[k] = _unpacked(packed[k])
+            s = similarity(*sets[j], *sets[i])
+            if s >= threshold - 1e-12:
+                rows.append((keys[j], keys[i], s))
+                label[label == label[j]] = label[i]
+    return pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         s = np.array([similarity(*_unpacked(x), *_unpacked(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
@@ -250,13 +288,37 @@ def links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     right = spark.read.schema(sets.schema).parquet(sets._corpusloom_path).select(F.col("class_key").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     out = written(both.mapInArrow(lambda it: _verified(it, threshold), "a long, b long, similarity double").unionByName(found), "links")
+    if sizes.where("blocks > 1").limit(1).count():
+        first = out
+        out = written(first.unionByName(_between(first, busy, sets, threshold)), "links")
+        drop_written(first)
     for t in (sets, busy, sizes):
         drop_written(t)
     return out
 
 
-def _searcher(threshold: float):
-    return lambda pdf: _search(pdf, threshold)
+def _searcher(threshold: float, search=_search):
+    return lambda pdf: search(pdf, threshold)
+
+
+def _between(first: DataFrame, busy: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of buckets of several blocks that the first links leave apart."""
+    roots = components(first)
+    crowded = busy.where("blocks > 1").join(roots.withColumnRenamed("node", "class_key"), "class_key", "left")
+    crowded = written(crowded.withColumn("root", F.coalesce("root", "class_key")), "crowded")
+    # Of two members of different classes one at least is outside the largest class.
+    per = crowded.groupBy("band", "h", "root").agg(F.count("*").alias("c"))
+    per = per.groupBy("band", "h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("top"), F.sum("c").alias("n")).where("top < n")
+    apart = broadcast_if_small(written(per.select("band", "h", "main", F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("parts")), "apart"))
+    rows = crowded.join(apart, ["band", "h"])
+    part = F.pmod(F.xxhash64("class_key", "band"), F.col("parts")).cast("int")
+    all_ = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    inner = rows.select("band", "h", "block", all_("parts").alias("part"), "class_key", "root", F.lit(False).alias("outer"))
+    outer = rows.where("root <> main").select("band", "h", all_("blocks").alias("block"), part.alias("part"), "class_key", "root", F.lit(True).alias("outer"))
+    of = busy.groupBy("class_key").agg(F.map_from_entries(F.collect_list(F.struct("band", F.xxhash64("band", "h")))).alias("cells"))
+    dealt = inner.unionByName(outer).join(sets.join(of, "class_key"), "class_key")
+    dealt = dealt.select("band", "h", "block", "part", "outer", "class_key", "root", "cells", "sig", "shingles")
+    return dealt.groupBy("band", "h", "block", "part").applyInPandas(_searcher(threshold, _cross), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:

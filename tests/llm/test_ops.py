@@ -349,6 +349,20 @@ def test_near_duplicate_classes(spark, docs, monkeypatch):
     assert minhash.near_duplicates(empty(spark, docs.schema)).count() == 0
 
 
+def test_near_copies_that_only_their_original_connects(spark, monkeypatch):
+    """Copies are 0.82 like the original and 0.66 like each other: a crowded bucket must compare all its blocks."""
+    prepare(spark)
+    base, r = prose(300, 78).split(), random.Random(79)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 201):
+        at = set(r.sample(range(8, 290, 6), 6))
+        rows.append((i, " ".join(f"y{i}x{k}" if k in at else w for k, w in enumerate(base))))
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and len({x["class_id"] for x in got}) == 1
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 
 
