@@ -144,29 +144,32 @@ def pack(lengths: list[int], size: int = LENGTH) -> list[tuple[int, int, int, in
         rooms.append(power)
         left -= power
     base, used = sequences, [0] * len(rooms)
-    heap = [(0.0, s) for s in range(len(rooms))]
+    # Lengths only fall, so the heap holds just the sequences with room for the document at hand: one that
+    # has less waits under its room until a document is short enough.
+    heap = [(0.0, s) for s in range(len(rooms)) if rooms[s] == size]
     load = [0.0] * len(rooms)
+    waiting: list[tuple[int, int]] = [(-rooms[s], s) for s in range(len(rooms)) if rooms[s] < size]
+    heapq.heapify(waiting)
     late = []
     for n, d, start in rest:
-        passed, place = [], None
-        while heap:
-            at = heapq.heappop(heap)
-            if rooms[at[1]] - used[at[1]] >= n:
-                place = at[1]
-                break
-            passed.append(at)
-            if len(passed) >= 64:
-                break
-        for at in passed:
-            heapq.heappush(heap, at)
-        if place is None:
+        while waiting and -waiting[0][0] >= n:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(heap, (load[s], s))
+        if not heap:
             late.append((n, d, start))
             continue
+        place = heap[0][1]
         pieces.append((d, start, n, base + place, used[place]))
         used[place] += n
         load[place] += cost(n)
+        if rooms[place] - used[place] >= n:
+            heapq.heapreplace(heap, (load[place], place))
+            continue
+        heapq.heappop(heap)
         if used[place] < rooms[place]:
-            heapq.heappush(heap, (load[place], place))
+            heapq.heappush(waiting, (used[place] - rooms[place], place))
+    for _, s in waiting:
+        heapq.heappush(heap, (load[s], s))
     for n, d, start in late:  # cut into what room is left
         while n:
             _, s = heapq.heappop(heap)

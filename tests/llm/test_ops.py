@@ -250,6 +250,29 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack_documents(empty(spark, docs.schema), tokenizer_path()).count() == 0
 
 
+def test_packing_takes_the_lowest_cost_sequence_with_room():
+    """By a plain scan over all sequences; a document is cut only when none has room for it."""
+    r = random.Random(5)
+    for n, size in [*((r.randrange(1, 40), 64) for _ in range(40)), (1500, 2048)]:
+        lengths = [min(int(r.lognormvariate(5, 1)) + 1, size - 1) if size > 64 else r.randrange(1, size) for _ in range(n)]
+        total = sum(lengths)
+        rooms, left = [size] * (total // size), total % size
+        rooms += [1 << b for b in reversed(range(left.bit_length())) if left >> b & 1]
+        used, load, want, late = [0] * len(rooms), [0.0] * len(rooms), set(), set()
+        for d in sorted(range(n), key=lambda d: (-lengths[d], d)):
+            fit = [(load[s], s) for s in range(len(rooms)) if rooms[s] - used[s] >= lengths[d]]
+            if not fit:
+                late.add(d)
+                continue
+            s = min(fit)[1]
+            want.add((d, 0, lengths[d], s, used[s]))
+            used[s] += lengths[d]
+            load[s] += packing.cost(lengths[d])
+        got = packing.pack(lengths, size)
+        assert {p for p in got if p[0] not in late} == want
+        assert sum(p[2] for p in got) == total
+
+
 def test_word_tokenizer_is_encode():
     from tokenizers import Tokenizer
 
