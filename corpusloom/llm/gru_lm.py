@@ -11,7 +11,7 @@ Model. A gated recurrent unit; its input rows are looked up by word or tail clas
 the start of a document (where the token before is the end token) and is carried across windows.
 
 Training. Truncated backpropagation over windows of `WINDOW` tokens with the state carried on. Round r
-uses the training documents whose hash falls on r among `SHARE`, so what is read grows with the corpus;
+uses the training documents whose hash falls on r among `SHARE`, and all classes have their round;
 each partition trains from the common model, and the models are averaged by tokens, chunk by chunk in a
 grouped aggregation, so that only one model comes to the driver. Counts and all statistics cover every
 training document. Biases begin at the counts, so that an untrained model is a unigram model.
@@ -39,7 +39,8 @@ from corpusloom.llm.textbytes import LOWER, blocks, prefix_hashes, span_hashes,
 
 WORDS, CLASSES, TAILS, KNOWN = 2048, 40, 32, 65_536
 HIDDEN, WINDOW, STREAMS, RATE = 24, 32, 128, 0.08
-ROUNDS, SHARE = 4, 16
+#: A round for each hash class, so that every training document is seen once.
+ROUNDS = SHARE = 16
 #: Documents are scored side by side in so many slots.
 SLOTS = 1024
 END = np.int64(0x656E64)  # the end token's stand-in for a hash

@@ -177,6 +177,16 @@ def test_lm_scores(spark, docs):
     assert gru_lm.score(docs.select("doc_id", "text"), counts, model).where("train_tokens = 0").count() == docs.count()
 
 
+def test_lm_trains_on_every_hash_class(spark):
+    prepare(spark)
+    one = spark.range(200).select(F.col("id").alias("key"), F.lit(prose(300, 6)).alias("text"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("class"))
+    one = one.where("class = 15").limit(1).select("key", "text")
+    _, model = gru_lm.gather(one.select("text"))
+    before = {k: v.copy() for k, v in model.p.items()}
+    gru_lm.fit(one, model)
+    assert any((before[k] != model.p[k]).any() for k in before)
+
+
 def test_lm_is_normalised_and_its_gradient_is_right():
     known = [(int(gru_lm.END), 0, 30), *[(i * 7919, i % 3, 40 - i) for i in range(1, 30)]]
     m = gru_lm.Model(known, 900, 40, {t: (5, 3) for t in range(gru_lm.TAILS)})
