@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,18 +80,37 @@ def winrate(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(valid.alias("n_pairs"), n("win").alias("wins"), n("loss").alias("losses"), n("tie").alias("ties"), F.when(valid > 0, F.round((n("win") + n("tie") * 0.5) / valid, 4)).otherwise(0.0).alias("winrate"))
 
 
+def _resampled(x: list[float], resamples: int, seed: int) -> list[float]:
+    """Means of resamples of x, each drawn by random.Random(seed).choice one after the other."""
+    key = random.Random(seed).getstate()[1]
+    chance = np.random.MT19937()
+    chance.state = {"bit_generator": "MT19937", "state": {"key": np.array(key[:-1], np.uint32), "pos": key[-1]}}
+    n, values, shift = len(x), np.array(x, float), np.uint64(32 - len(x).bit_length())
+    exact = bool((values * 2 == np.round(values * 2)).all())  # halves add up the same in any order
+    means: list[float] = []
+    left = np.zeros(0, np.uint64)
+    while len(means) < resamples:
+        drawn = chance.random_raw(max(1 << 20, n)) >> shift
+        left = np.concatenate([left, drawn[drawn < n]])
+        m = min(len(left) // n, resamples - len(means))
+        got = values[left[: m * n].astype(np.int64)].reshape(m, n)
+        means += (got.sum(1) / n).tolist() if exact else [sum(r) / n for r in got.tolist()]
+        left = left[m * n :]
+    return means
+
+
 def bootstrap(scores: DataFrame, group: str, order: str, value: str = "score", resamples: int = 10_000, seed: int = 7) -> DataFrame:
     """group, ci_lo, ci_hi: percentile interval of the mean; no scores give (0, 0).
 
-    The groups are experiments: a few dozen paired scores each.
+    The draws are those of random.Random(seed).choice, made in blocks, so large groups are resampled whole. A
+    group is one task and costs resamples times its scores.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order)[value].dropna().tolist()
         lo = hi = 0.0
         if x:
-            chance = random.Random(seed)
-            means = sorted(sum(chance.choice(x) for _ in x) / len(x) for _ in range(resamples))
+            means = sorted(_resampled(x, resamples, seed))
             lo, hi = means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1]
         return pd.DataFrame({group: [pdf[group].iloc[0]], "ci_lo": [lo], "ci_hi": [hi]})
 

@@ -437,8 +437,8 @@ def ab_winrate(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     o = F.col("outcome")
-    scored = _ab(spark, d).where(o != "invalid").select("lang", "doc_id", F.when(o == "win", 1.0).when(o == "tie", 0.5).otherwise(0.0).alias("score")).where("doc_id < 400")
-    return exam.bootstrap(scored, "lang", "doc_id", resamples=2000)
+    scored = _ab(spark, d).where(o != "invalid").select("lang", "doc_id", F.when(o == "win", 1.0).when(o == "tie", 0.5).otherwise(0.0).alias("score"))
+    return exam.bootstrap(scored, "lang", "doc_id")
 
 
 @query("SELECT strftime(ts, '%G-W%V') AS round, count(*) AS used, count(*) > 20 AS over_quota FROM events GROUP BY 1")

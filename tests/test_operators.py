@@ -1,5 +1,6 @@
 """Fingerprints, lexicon, degradation, pairs, exams, readers and intake."""
 
+import hashlib
 import random
 import zipfile
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.profile import LATIN, ZH_DRAMA
 from corpusloom.operators import dedup, degrade, exam, lexicon, pairs
+from corpusloom.plans import catalogue
 from corpusloom.sources import readers
 from corpusloom.streaming import ingest
 
@@ -107,6 +109,20 @@ def test_bootstrap_is_that_of_pythons_random(spark):
     assert (got["ci_lo"], got["ci_hi"]) == (means[12], means[486])
 
 
+def test_bootstrap_query_resamples_every_outcome(spark, tmp_path):
+    """Ids from 300 on, most beyond 400; 10,000 resamples by Python's own choice."""
+    spark.range(300, 560).selectExpr("id AS doc_id", "if(id % 2 = 0, 'en', 'de') AS lang", "'x' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    h = lambda d, s, m: int(hashlib.md5(f"{d}{s}".encode()).hexdigest()[:6], 16) % m
+    want = {}
+    for lang, first in (("en", 300), ("de", 301)):
+        pairs_ = [(h(d, "x", 10), h(d, "y", 11)) for d in range(first, 560, 2) if d % 50]
+        x = [0.5 if a == b else float(b > a) for a, b in pairs_]
+        chance = random.Random(7)
+        means = sorted(sum(chance.choice(x) for _ in x) / len(x) for _ in range(10_000))
+        want[lang] = (means[250], means[9749])
+    assert {r["lang"]: (r["ci_lo"], r["ci_hi"]) for r in catalogue.bootstrap_ci(spark, str(tmp_path)).collect()} == want
+
+
 def test_lexicon_keeps_seeds_and_finds_phrases(spark):
     texts = [("our", "齿轮转动 命运低语 " * 9)] * 3 + [("drama", "门口等待 天台对峙 " * 9)] * 4 + [("novel", "山河远阔 " * 9)] * 3
     docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, g string, text string")
