@@ -30,8 +30,8 @@ SAMPLE_PER_LIST, SAMPLE_ALL = 12, 131_072
 COPIES, COPY_RATIO = 6, 1.5
 #: A copy's centroid is at least this share of its distance (squared) from those already chosen.
 SPREAD = 0.1
-#: Lists that a query reads at most, and their distance ratio (squared).
-PROBES, PROBE_RATIO = 96, 2.0
+#: Lists that a query reads at most: so many, or this share of all lists if that is more; their distance ratio (squared).
+PROBES, PROBE_SHARE, PROBE_RATIO = 96, 0.125, 2.0
 #: Rows of a list, and queries, that one task compares at a time.
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
 SALTS = 32
@@ -157,7 +157,15 @@ class CentroidGraph:
 
     def probes(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists that each query reads."""
-        ids, d = self.nearest(x, PROBES, PROBES + 32)
+        k = max(PROBES, int(np.ceil(PROBE_SHARE * len(self.c))))
+        if k == PROBES:
+            ids, d = self.nearest(x, PROBES, PROBES + 32)
+        else:  # a share of all lists: every centroid is compared
+            far = np.maximum((x * x).sum(1)[:, None] + self.n - 2 * x @ self.c.T, 0)
+            ids = np.argpartition(far, k - 1, axis=1)[:, :k]
+            d = np.take_along_axis(far, ids, 1)
+            order = np.argsort(d, axis=1, kind="stable")
+            ids, d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
         return [i[(i >= 0) & (e <= PROBE_RATIO * e[0] + 1e-9)] for i, e in zip(ids, d, strict=True)]
 
 
@@ -208,8 +216,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
 
     def place(it, queried: bool):
         for pdf in it:
-            for a in range(0, len(pdf), 512):
-                part = pdf.iloc[a : a + 512]
+            step = 128 if queried else 512
+            for a in range(0, len(pdf), step):
+                part = pdf.iloc[a : a + step]
                 v = np.stack(part["e"].to_numpy())
                 got = graph.probes(asked(v)) if queried else graph.copies(lifted(v, longest))
                 yield pd.DataFrame({"list": np.concatenate(got).astype("int32"), "i": np.repeat(part["c"].to_numpy(), [len(g) for g in got])})

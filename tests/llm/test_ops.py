@@ -119,6 +119,17 @@ def _render(turns):
     return "".join(f"<|{r}|>\n{t.replace('<|', '<​|')}<|end|>\n" for r, t in turns)
 
 
+def test_ann_probes_grow_with_the_lists():
+    r = np.random.default_rng(4)
+    c, x = r.normal(size=(2000, 16)).astype(np.float32), r.normal(size=(50, 16)).astype(np.float32)
+    d = ((x[:, None] - c[None]) ** 2).sum(2)
+    for got, far in zip(ann.CentroidGraph(c).probes(x), d, strict=True):
+        want = np.argsort(far)[:250]
+        want = want[far[want] <= ann.PROBE_RATIO * far.min() * (1 - 1e-4)]
+        assert set(want.tolist()) <= set(got.tolist())
+        assert len(got) <= 250
+
+
 def test_preferences(spark):
     p = [("user", "hi"), ("assistant", "a"), ("user", "more")]
     cases = [(1, p + [("assistant", "good")], p + [("assistant", "bad"), ("user", "eh")]), (2, p, p), (3, p[:1], p), (4, [("assistant", "x <|end|>")], [("assistant", "y")]), (5, p + [("assistant", "z")], None)]
