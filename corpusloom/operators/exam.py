@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.tables import broadcast_if_small
 
 #: Operators whose defect must never pass, and the gates of an exam.
 BLOCK_OPS = ("D07_pov_break", "D08_inject_contradiction", "D09_brand_cut", "D14_setup_cut")
@@ -162,7 +163,7 @@ def attainment(cards: DataFrame, anchors: DataFrame, rates: dict[str, Column], w
     per = cards.groupBy(genre).agg(F.count("*").alias("n_cards"), *[F.avg(c.cast("double")).alias(k) for k, c in rates.items()])
     a = anchors.select(F.col(genre), *[F.col(k).alias(f"a_{k}") for k in rates])
     part = lambda k: F.when(F.col(f"a_{k}") > 0, F.least(F.lit(1.0), F.col(k) / F.col(f"a_{k}"))).otherwise(1.0) * weights[k]
-    return per.join(F.broadcast(a.limit(10_000)), genre).select(genre, "n_cards", F.round(sum((part(k) for k in rates), F.lit(0.0)), 4).alias("score"))
+    return per.join(broadcast_if_small(a), genre).select(genre, "n_cards", F.round(sum((part(k) for k in rates), F.lit(0.0)), 4).alias("score"))
 
 
 def chi_square(rows: DataFrame, buckets: DataFrame, expected_total: float | None = None, critical: dict[int, float] | None = None) -> DataFrame:
@@ -187,7 +188,7 @@ def stratified(rows: DataFrame, strata: list[str], key: str, n: int) -> DataFram
     total = rows.count()
     give = sizes.withColumn("__give", F.greatest(F.lit(1), F.round(F.lit(float(n)) * F.col("__size") / F.lit(float(max(1, total)))).cast("int")))
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy(h, key))
-    return rows.withColumn("__rank", rank).join(F.broadcast(give.limit(100_000)), strata).where("__rank <= __give").drop("__rank", "__size", "__give")
+    return rows.withColumn("__rank", rank).join(broadcast_if_small(give), strata).where("__rank <= __give").drop("__rank", "__size", "__give")
 
 
 def best_of(scores: DataFrame, group: str, item: str) -> DataFrame:

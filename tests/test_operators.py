@@ -123,6 +123,13 @@ def test_bootstrap_query_resamples_every_outcome(spark, tmp_path):
     assert {r["lang"]: (r["ci_lo"], r["ci_hi"]) for r in catalogue.bootstrap_ci(spark, str(tmp_path)).collect()} == want
 
 
+def test_every_stratum_and_genre_is_kept(spark):
+    rows = spark.range(100_200).select("id", F.col("id").alias("host"))
+    assert exam.stratified(rows, ["host"], "id", 10).count() == 100_200
+    cards = spark.range(10_050).select(F.col("id").alias("genre"), F.lit(1.0).alias("r"))
+    assert exam.attainment(cards, cards, {"r": F.col("r")}, {"r": 1.0}).count() == 10_050
+
+
 def test_lexicon_keeps_seeds_and_finds_phrases(spark):
     texts = [("our", "齿轮转动 命运低语 " * 9)] * 3 + [("drama", "门口等待 天台对峙 " * 9)] * 4 + [("novel", "山河远阔 " * 9)] * 3
     docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, g string, text string")
