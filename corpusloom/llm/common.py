@@ -9,11 +9,14 @@ from pyspark.sql import SparkSession
 
 from corpusloom.sources.tables import broadcast_if_small, drop_written, written
 
+#: Most rows and bytes of an Arrow batch; a longer row is a batch of its own.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
 __all__ = ["broadcast_if_small", "drop_written", "prepare", "written"]
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver found it."""
+    """Let Python workers import this package wherever the driver found it, and bound what they get at a time."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -21,3 +24,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     env.setdefault("OMP_NUM_THREADS", "1")
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
+    for key, most in ARROW_BATCH.items():
+        if int(spark.conf.get(key).rstrip("b")) > most:
+            spark.conf.set(key, most)

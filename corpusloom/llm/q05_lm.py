@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import gru_lm
 from corpusloom.llm.common import prepare
@@ -12,8 +11,8 @@ from corpusloom.llm.q06_language import fold
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    training = docs.where(fold() != 1)
-    counts, model = gru_lm.gather(training.select("text"))
-    gru_lm.fit(training.select(F.col("doc_id").alias("key"), "text"), model)
-    return gru_lm.score(docs.select("doc_id", (fold() == 1).alias("held_out"), "text"), counts, model)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (fold() == 1).alias("held_out"), "text")
+    counts, model = gru_lm.gather(docs.where("NOT held_out").select("text"))
+    encoded = gru_lm.encode(docs, model)
+    gru_lm.fit(encoded.where("NOT held_out"), model)
+    return gru_lm.score(encoded, counts, model)

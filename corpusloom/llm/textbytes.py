@@ -42,6 +42,24 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+def pieces(body: np.ndarray, apart: np.ndarray, most: int = 2 * BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of at most so many bytes that end before a byte that stands apart words, or are one longer word."""
+    a, n = 0, len(body)
+    while a < n:
+        b = min(n, a + most)
+        while b < n:
+            stops = np.flatnonzero(apart[body[a + 1 : b]][::-1][:65536]) if b - a > 1 else ()
+            if len(stops):
+                b -= 1 + int(stops[0])
+                break
+            further = np.flatnonzero(apart[body[b : b + most]])
+            b = b + int(further[0]) if len(further) else min(n, b + most)
+            if len(further):
+                break
+        yield a, b
+        a = b
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers of the base, or of its inverse, modulo 2**64."""
     have = _powers[inverse]

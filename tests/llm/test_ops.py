@@ -173,10 +173,12 @@ def test_pairing_uses_each_conversation_once(spark):
 
 
 def test_lm_scores(spark, docs):
-    training = docs.where("doc_id < 9 OR doc_id IS NULL")
+    docs = docs.withColumn("train", F.expr("doc_id < 9 OR doc_id IS NULL"))
+    training = docs.where("train")
     counts, model = gru_lm.gather(training.select("text"))
-    gru_lm.fit(training.select(F.col("doc_id").alias("key"), "text"), model)
-    got = gru_lm.score(docs.select("doc_id", "text", "score"), counts, model).collect()
+    encoded = gru_lm.encode(docs.select("doc_id", "text", "score", "train"), model)
+    gru_lm.fit(encoded.where("train"), model)
+    got = gru_lm.score(encoded, counts, model).collect()
     toks = lambda t: (t or "").encode().lower().split() + [None]
     c = Counter(w for r in training.collect() for w in toks(r["text"]))
     n, v = sum(c.values()), len(c)
@@ -185,17 +187,41 @@ def test_lm_scores(spark, docs):
     assert all(r["score"] < 0 and np.isfinite(r["score"]) for r in got)
     none = docs.where("false").select("text")
     counts, model = gru_lm.gather(none)
-    assert gru_lm.score(docs.select("doc_id", "text"), counts, model).where("train_tokens = 0").count() == docs.count()
+    encoded = gru_lm.encode(docs.select("doc_id", "text"), model)
+    gru_lm.fit(encoded.where("false"), model)
+    assert gru_lm.score(encoded, counts, model).where("train_tokens = 0").count() == docs.count()
+    assert gru_lm.score(gru_lm.encode(docs.where("false"), model), counts, model).count() == 0
 
 
-def test_lm_trains_on_every_hash_class(spark):
+def test_lm_gain_does_not_depend_on_partitions_and_every_document_is_trained_on(spark):
     prepare(spark)
-    one = spark.range(200).select(F.col("id").alias("key"), F.lit(prose(300, 6)).alias("text"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("class"))
-    one = one.where("class = 15").limit(1).select("key", "text")
-    _, model = gru_lm.gather(one.select("text"))
-    before = {k: v.copy() for k, v in model.p.items()}
-    gru_lm.fit(one, model)
-    assert any((before[k] != model.p[k]).any() for k in before)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    gains, real = [], gru_lm.Model.train
+    for parts, quantum in ((1, 1 << 20), (40, 1 << 20), (40, 1 << 13)):
+        counts, model = gru_lm.gather(docs.select("text"))
+        encoded = gru_lm.encode(docs.repartition(parts), model)
+        gru_lm.fit(encoded, model, quantum)
+        r = gru_lm.score(encoded, counts, model).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+        gains.append((r["s"] - r["b"]) / r["n"])
+    assert min(gains[:2]) > 0.1 and abs(gains[1] / gains[0] - 1) < 0.2 and gains[2] > 0.02, gains  # many trainers of few tokens each learn less
+    # A pass learns from each token once, whatever the lengths and lanes.
+    r = np.random.default_rng(3)
+    flat = [np.append(r.integers(0, model.words, k), model.end).astype("<u2") for k in (0, 3, 2000, 511, 512, 40, 0)]
+    squares = {k: np.full_like(v, 0.1) for k, v in model.p.items()}
+    assert [real(model, iter(flat), squares, lanes) for lanes in (1, 3, 16)] == [sum(map(len, flat))] * 3
+    assert [x.tolist() for x in (ids[warm:] for _, ids, warm in gru_lm.segments(iter(flat)))] == [f[a : a + gru_lm.SEGMENT].tolist() for f in flat for a in range(0, len(f), gru_lm.SEGMENT)]
+
+
+def test_lm_tokens_of_long_texts_are_cut_piece_by_piece(monkeypatch):
+    from corpusloom.llm import textbytes
+
+    text = " ".join(["ab", "c" * 50, "déf\t", "x"] * 60) + "  "
+    whole = [x.tolist() for _, b, w, t in gru_lm.tokens(pa.array([text, None, "a b"])) for x in (b, w, t)]
+    real = textbytes.pieces
+    for most in (1, 7, 64):
+        monkeypatch.setattr(gru_lm, "pieces", lambda x, apart, most=most: real(x, apart, most))
+        assert [x.tolist() for _, b, w, t in gru_lm.tokens(pa.array([text, None, "a b"])) for x in (b, w, t)] == whole
+    assert len(whole[1]) == len(text.split()) + 1 + 1 + 3
 
 
 def test_lm_is_normalised_and_its_gradient_is_right():
@@ -213,17 +239,21 @@ def test_lm_is_normalised_and_its_gradient_is_right():
         e[0, k] = 1e-2
         slope = (m.output(s + e, y)[0][0] - m.output(s - e, y)[0][0]) / 2e-2
         assert abs(slope - ds[0, k]) < 1e-2
-    long = np.tile(np.array([1, 2, 3, m.end]), 400)
-    before = m.score(np.array([len(long)]), long)[0]
+    others = [i for i in range(5) if i != m.end][:3]
+    long = np.append(np.tile(others, 500), m.end)
+    one = lambda ids, lanes=4: dict(m.score(iter([(0, ids)]), lanes))[0]
+    before = one(long)
     squares = {k: np.full_like(v, 0.1) for k, v in m.p.items()}
     for _ in range(5):
-        m.train(long, squares)
-    assert m.score(np.array([len(long)]), long)[0] > before + 100
+        m.train(iter([long[:800], long[800:]]), squares, 2)  # by SEGMENT, side by side
+    assert one(long) > before + 100
     # Side by side or alone, with windows crossed or not, a document's score is the same.
-    lengths, r = np.array([5, 90, 1, 33]), np.random.default_rng(1)
-    flat = np.concatenate([np.append(r.integers(0, m.words, k - 1), m.end) for k in lengths])
-    parts = np.split(flat, np.cumsum(lengths)[:-1])
-    assert np.allclose(m.score(lengths, flat), [m.score(np.array([len(p)]), p)[0] for p in parts], atol=1e-3)
+    lengths, r = np.array([5, 90, 1, 33, 1, 64]), np.random.default_rng(1)
+    parts = [np.append(r.integers(0, m.words, k - 1), m.end) for k in lengths]
+    parts = [np.append(p[:-1][p[:-1] != m.end], m.end) for p in parts]
+    for lanes in (1, 3, 16):
+        got = dict(m.score(enumerate(parts), lanes))
+        assert np.allclose([got[i] for i in range(len(parts))], [one(p, 1) for p in parts], atol=1e-3)
 
 
 # --- 6 ---------------------------------------------------------------------------------------------------------------
