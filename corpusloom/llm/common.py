@@ -5,14 +5,20 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import broadcast_if_small, drop_written, written
 
 #: Most rows and bytes of an Arrow batch; a longer row is a batch of its own.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
-__all__ = ["broadcast_if_small", "drop_written", "prepare", "written"]
+__all__ = ["broadcast_if_small", "drop_written", "prepare", "text_key", "written"]
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a whole text; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def prepare(spark: SparkSession) -> None:

@@ -7,8 +7,9 @@ Items are partitioned by their number of shingles (powers of two). An item's ske
 MinHash: the k least hashes among its n shingles, with k = n - ceil(threshold * n) + 1. A document
 that holds threshold * n of the shingles misses at most k - 1 of them, so it holds at least one of any
 k, in particular one of the sketch: no contained item is ever lost, however long the document is. As
-sketches are made of least hashes, every partition has a cut, the largest hash in its sketches, and the
-shingles of documents above the largest cut are dropped before anything is joined.
+sketches are made of least hashes, every partition has a cut, the largest hash in its sketches. A
+document's shingle probes just the partitions whose cut it doesn't exceed, so short items, whose sketches
+hold any hash, don't open the index of the long ones.
 
 Documents are streamed through a join with the sketches (broadcast when counted to be small, else
 joined by shuffle). The candidates, pairs of document and item, are then verified: the documents among
@@ -19,7 +20,9 @@ An item of fewer than five words is one shingle of all its words and is found as
 documents of any length: the shingles of documents are made for each such shorter width too.
 
 Nulls and empty texts have no words: such documents hold nothing, such items are in nothing. Rows that
-repeat doc_id and text give one row for each item; two texts under one doc_id are told apart.
+repeat doc_id and text give one row for each item; two texts under one doc_id are told apart by key. Empty
+tables give no rows. Columns of either table other than the named ones aren't read, whatever their names. A
+very long text is one row like any other: its shingles leave it one by one. There are no ties.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import broadcast_if_small, written
+from corpusloom.llm.common import broadcast_if_small, text_key, written
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -51,7 +54,7 @@ def _texts(width: int) -> str:
 def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, key, item_id, n_shingles, n_found, containment: every item that a document contains.
 
-    key is xxhash64 of the text and tells documents with one doc_id apart.
+    key stands for the text and tells documents with one doc_id apart.
     """
     source = items.select(F.col(f"`{item_id}`").alias("item_id"), words(F.col(f"`{item_text}`")).alias("w")).where("size(w) > 0")
     source = source.withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
@@ -68,18 +71,19 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     # The hash of a shingle is made from the hashes of its words, as on the documents' side.
     sketch = F.slice(F.array_sort(F.transform("s", _shingle_hash)), 1, F.col("n") - F.col("need") + 1)
     sketches = written(sets.select("set_id", "partition", F.explode(sketch).alias("h")), "sketches")
-    cut = sketches.groupBy("partition").agg(F.max("h").alias("cut")).agg(F.max("cut")).first()[0]
-    if cut is None:
-        cut = -(1 << 63)
+    cuts = {r["partition"]: r["cut"] for r in sketches.groupBy("partition").agg(F.max("h").alias("cut")).collect()}  # a row for each power of two
+    top = max(cuts.values(), default=-(1 << 63))
+    partitions = F.array(*[F.struct(F.lit(p).alias("partition"), F.lit(c).alias("cut")) for p, c in sorted(cuts.items())] or [F.struct(F.lit(0).alias("partition"), F.lit(top).alias("cut"))])
 
-    body = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    body = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     # explode_outer: for explode the optimizer adds a filter below that would compute the words anew for each run.
     probes = body.select("doc_id", "key", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     runs = F.concat(*[F.expr(_hashes(k)) for k in widths])
-    probes = probes.select("doc_id", "key", F.explode_outer(F.filter(runs, lambda x: x <= F.lit(cut))).alias("h"))
+    probes = probes.select("doc_id", "key", F.explode_outer(F.filter(runs, lambda x: x <= F.lit(top))).alias("h"))
+    probes = probes.select("doc_id", "key", "h", F.explode(F.filter(partitions, lambda p: p["cut"] >= F.col("h"))["partition"]).alias("partition"))
     # Sets that share a sketch hash meet it once.
-    lookup = sketches.groupBy("h").agg(F.collect_set("set_id").alias("sets"))
-    met = probes.join(broadcast_if_small(lookup), "h").select("doc_id", "key", F.explode("sets").alias("set_id"))
+    lookup = sketches.groupBy("partition", "h").agg(F.collect_set("set_id").alias("sets"))
+    met = probes.join(broadcast_if_small(lookup), ["partition", "h"]).select("doc_id", "key", F.explode("sets").alias("set_id"))
     wanted = written(met.groupBy("doc_id", "key").agg(F.collect_set("set_id").alias("sets")), "candidates")
 
     # Verification, on the documents that have a candidate.

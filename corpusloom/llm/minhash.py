@@ -20,8 +20,15 @@ blocks by blocks, so that every pair of a bucket is either connected or compared
 
 Verified links make classes by connected components: labels spread by the least neighbour and jump, each round a written table.
 
-Nulls: a null or wordless text has no shingles and is a class of its own for each document. Rows that
-repeat are copies. doc_id may be null or repeated; the class is named by a hash of words, `class_id`.
+Texts with the same words are told by 128 bits over all their shingles in order. Sets of shingles keep 32
+bits of a shingle's hash: of two texts of n and m shingles about n * m / 2**32 shingles look common by chance,
+a ten-thousandth of the texts at a million words each, and the similarity is exact but for that.
+
+Words are runs of letters, marks, digits and underscores, lower-cased; a script without spaces makes one word
+of each run. Nulls: a null, empty or wordless text has no shingles and is a class of its own for each document.
+Rows that repeat are copies. doc_id may be null or repeated; the class is named by the least key of its
+members, `class_id`, so ties don't matter. An empty table gives no rows. Columns of docs other than the named
+ones aren't read, whatever their names. A very long text is cut into words piece by piece.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import broadcast_if_small, drop_written, written
-from corpusloom.llm.textbytes import LOWER, blocks, mixed, prefix_hashes, span_hashes, text_bytes, word_spans
+from corpusloom.llm.textbytes import LOWER, blocks, mixed, pieces, prefix_hashes, span_hashes, text_bytes, word_spans
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -47,18 +54,26 @@ BLOCK, HUBS = 4096, 16
 #: Least share of equal registers at which a pair is verified; 0.8 less about 4.4 standard deviations.
 LIKELY = 0.62
 IS_WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
+#: What stands between words; ASCII is told apart by IS_WORD.
+APART = r"[^\p{L}\p{M}\p{N}_\x00-\x7f]+"
 SEED = np.uint64(0xD1B54A32D192ED03)
 
 
 def shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, borders, shingle hashes, word counts) for runs of whole texts; row i owns hashes[borders[i]:borders[i + 1]]."""
-    lowered = pc.utf8_lower(column)
-    body, offsets = text_bytes(lowered)
+    body, offsets = text_bytes(column)
+    if len(body) and body.max() >= 128:
+        body, offsets = text_bytes(pc.replace_substring_regex(pc.utf8_lower(column), APART, " "))
     for a, b in blocks(offsets):
-        x = LOWER[body[offsets[a] : offsets[b]]]
+        whole = body[offsets[a] : offsets[b]]
         at = offsets[a : b + 1] - offsets[a]
-        starts, ends, first = word_spans(IS_WORD[x], at)
-        words = span_hashes(prefix_hashes(x), starts, ends)
+        parts, first = [], np.zeros(b - a + 1, np.int64)
+        for p, q in pieces(whole, ~IS_WORD):
+            x = LOWER[whole[p:q]]
+            starts, ends, before = word_spans(IS_WORD[x], np.clip(at - p, 0, len(x)))
+            first += before
+            parts.append(span_hashes(prefix_hashes(x), starts, ends))
+        words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         counts = np.diff(first)
         # A text of n words has n - 4 shingles, or one of all its words if it has fewer than five.
         number = np.where(counts >= WIDTH, counts - WIDTH + 1, np.minimum(counts, 1))
@@ -147,18 +162,21 @@ def weighted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for b in batches:
         for a, borders, h, counts in shingles(b.column(1)):
             n = len(borders) - 1
             ordinal = (np.arange(len(h)) - np.repeat(borders[:-1], np.diff(borders))).astype(np.uint64)
             parts = mixed(h + ordinal * np.uint64(0xC2B2AE3D27D4EB4F))
             sums = np.concatenate([[np.uint64(0)], np.cumsum(parts, dtype=np.uint64)])
-            key = mixed(sums[borders[1:]] - sums[borders[:-1]] + counts.astype(np.uint64)).view(np.int64)
+            key = mixed(sums[borders[1:]] - sums[borders[:-1]] + counts.astype(np.uint64))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(parts ^ SEED), dtype=np.uint64)])
+            packed = np.stack([key, sums[borders[1:]] - sums[borders[:-1]]], 1).tobytes()
+            keys = [packed[16 * i : 16 * i + 16] for i in range(n)]
             keep = np.zeros(n, bool)
-            for i, k in enumerate(key.tolist()):  # a copy in this task: its signature is already made
+            for i, k in enumerate(keys):  # a copy in this task: its signature is already made
                 keep[i] = borders[i] < borders[i + 1] and k not in seen
-                if len(seen) < 1_000_000:
+                if len(seen) < 500_000:
                     seen.add(k)
             rows = np.flatnonzero(keep)
             size = np.diff(borders)
@@ -171,7 +189,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             empty = np.diff(borders) == 0
             kept = [c.slice(a, n) for i, c in enumerate(b.columns) if i != 1]
             names = [c for i, c in enumerate(b.schema.names) if i != 1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(key, mask=empty), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()), pa.array(counts, pa.int64())], names=[*names, "class_key", "sig", "shingles", "n_words"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(keys, pa.binary(), mask=empty), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()), pa.array(counts, pa.int64())], names=[*names, "class_key", "sig", "shingles", "n_words"])
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +230,7 @@ def _search(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             if s >= threshold - 1e-12:
                 rows.append((keys[j], keys[i], s))
                 label[label == label[j]] = label[i]
-    return pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+    return pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"similarity": "float64"})
 
 
 def _cross(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -249,7 +267,7 @@ def _cross(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             if s >= threshold - 1e-12:
                 rows.append((keys[j], keys[i], s))
                 label[label == label[j]] = label[i]
-    return pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+    return pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"similarity": "float64"})
 
 
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -283,11 +301,11 @@ def links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     guests = few.select("band", "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_key", F.lit(True).alias("guest"))
     members = busy.select("band", "h", "block", "class_key", F.lit(False).alias("guest")).unionByName(guests)
     dealt = members.join(sets.join(of, "class_key"), "class_key").select("band", "h", "block", "guest", "class_key", "cells", "sig", "shingles")
-    found = dealt.groupBy("band", "h", "block").applyInPandas(_searcher(threshold), "a long, b long, similarity double")
+    found = dealt.groupBy("band", "h", "block").applyInPandas(_searcher(threshold), LINK)
     left = sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("sa"))
     right = spark.read.schema(sets.schema).parquet(sets._corpusloom_path).select(F.col("class_key").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    out = written(both.mapInArrow(lambda it: _verified(it, threshold), "a long, b long, similarity double").unionByName(found), "links")
+    out = written(both.mapInArrow(lambda it: _verified(it, threshold), LINK).unionByName(found), "links")
     if sizes.where("blocks > 1").limit(1).count():
         first = out
         out = written(first.unionByName(_between(first, busy, sets, threshold)), "links")
@@ -297,6 +315,9 @@ def links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out
 
 
+LINK = "a binary, b binary, similarity double"
+
+
 def _searcher(threshold: float, search=_search):
     return lambda pdf: search(pdf, threshold)
 
@@ -318,7 +339,7 @@ def _between(first: DataFrame, busy: DataFrame, sets: DataFrame, threshold: floa
     of = busy.groupBy("class_key").agg(F.map_from_entries(F.collect_list(F.struct("band", F.xxhash64("band", "h")))).alias("cells"))
     dealt = inner.unionByName(outer).join(sets.join(of, "class_key"), "class_key")
     dealt = dealt.select("band", "h", "block", "part", "outer", "class_key", "root", "cells", "sig", "shingles")
-    return dealt.groupBy("band", "h", "block", "part").applyInPandas(_searcher(threshold, _cross), "a long, b long, similarity double")
+    return dealt.groupBy("band", "h", "block", "part").applyInPandas(_searcher(threshold, _cross), LINK)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -349,7 +370,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null for wordless texts.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`") for c in carried])
-    schema = StructType([rows.schema["doc_id"], *rows.schema.fields[2:], *_schema("class_key long, sig binary, shingles binary, n_words long")])
+    schema = StructType([rows.schema["doc_id"], *rows.schema.fields[2:], *_schema("class_key binary, sig binary, shingles binary, n_words long")])
     signed = written(rows.mapInArrow(_signed, schema), "signed")
     roots = broadcast_if_small(components(links(signed, threshold)))
     out = signed.join(roots, signed["class_key"] == roots["node"], "left")

@@ -11,7 +11,7 @@ from corpusloom.llm.decontamination import find
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("key")
+    return find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("key").distinct()
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: x <> '')"

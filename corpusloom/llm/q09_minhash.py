@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm.common import prepare
 from corpusloom.llm.minhash import near_duplicates
@@ -10,4 +11,6 @@ from corpusloom.llm.minhash import near_duplicates
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    short = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c)
+    return found.select("doc_id", short("class_key"), short("class_id"), "n_words")

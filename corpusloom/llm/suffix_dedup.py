@@ -13,8 +13,8 @@ repeated string are removed, in every place. Texts are UTF-8 bytes and strings n
    suffix, a stable sort by that symbol turns the order of the suffixes into the new one (the symbols in
    the old order are that column of the collection's transform), and the common prefixes of neighbours are
    one more than the least between their old places, or nothing where the symbols differ. A suffix with
-   a common prefix of `length` with a neighbour starts a repeated window. Columns lie in a file, one
-   after another, that is read once in sequence; only order and common prefixes are in memory.
+   a common prefix of `length` with a neighbour starts a repeated window. The columns of a bucket lie one
+   after another in memory, some MB, and are read once in sequence: no file outside the shared folder.
 4. The repeated windows go back to all places of their strings, are merged into spans for each text, and
    are cut out.
 
@@ -27,13 +27,18 @@ A task gets strings of about `BUCKET` anchors. An anchor with more than `MOST_ST
 is split by windows instead: each window's hash is counted, with partial aggregation. Texts that occur
 twice as a whole are handled by their hash and are worked on once.
 
-Nulls and empty texts have no bytes. Texts shorter than `length` lose nothing. Repeated rows are copies.
+Identity: a whole text is told by 128 bits, a string by the hash of its anchor and that of all its bytes
+(64 bits each), a single window of a crowded anchor by the anchor, its place and 64 bits.
+
+Nulls and empty texts have no bytes. Texts shorter than `length` lose nothing. Repeated rows are copies, and
+all of them are removed, as both start somewhere else too; there are no ties to settle. An empty table gives
+no rows. Columns of docs other than the two that are named aren't read, whatever their names. A very long
+text is anchored in runs of 2**21 bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import broadcast_if_small, drop_written, written
+from corpusloom.llm.common import broadcast_if_small, drop_written, text_key, written
 from corpusloom.llm.textbytes import blocks, prefix_hashes, span_hashes, text_bytes
 
 LENGTH, GRAM = 400, 32
@@ -88,7 +93,7 @@ def strings(x: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
 
 def _described(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """doc_id, key, n_bytes, segs: segs are the strings of a text, null for a copy in the same task."""
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for b in batches:
         body, offsets = text_bytes(b.column(2))
         keys = b.column(1).to_pylist()
@@ -96,7 +101,7 @@ def _described(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
             cols, sizes, mask = [], [], []
             for i in range(a, z):
                 known = keys[i] in seen
-                if len(seen) < 1_000_000:
+                if len(seen) < 500_000:
                     seen.add(keys[i])
                 found = strings(np.zeros(0, np.uint8) if known else body[offsets[i] : offsets[i + 1]], length)
                 cols.append(found)
@@ -131,29 +136,26 @@ def repeated_windows(texts: list[bytes], left: np.ndarray, n: np.ndarray, length
     out = [np.zeros(k, bool) for k in n.tolist()]
     if not m:
         return out
-    with tempfile.TemporaryFile() as store:
-        table = np.zeros((m, width), np.uint8)
-        for i, t in enumerate(texts):
-            table[i, first[i] : first[i] + len(t)] = np.frombuffer(t, np.uint8)
-        store.write(np.ascontiguousarray(table[:, ::-1].T))  # column after column, the last first
-        del table
-        store.seek(0)
-        order, common = np.arange(m), np.zeros(m, np.int32)
-        for column in range(width - 1, -1, -1):
-            symbol = np.frombuffer(store.read(m), np.uint8)
-            inside = (column >= first) & (column < first + size)
-            code = np.where(inside, symbol.astype(np.uint16), np.uint16(256))[order]  # this round's column of the transform
-            place = np.argsort(code, kind="stable")
-            code = code[place]
-            same = np.flatnonzero((code[1:] == code[:-1]) & (code[1:] != 256))
-            new = np.zeros(m, np.int32)
-            new[same + 1] = range_minima(common, place[same] + 1, place[same + 1] + 1) + 1
-            order, common = order[place], new
-            long = np.flatnonzero(common >= length)
-            if len(long):
-                for i in np.unique(np.concatenate([order[long], order[long - 1]])).tolist():
-                    if column - first[i] < n[i]:
-                        out[i][column - first[i]] = True
+    table = np.zeros((m, width), np.uint8)
+    for i, t in enumerate(texts):
+        table[i, first[i] : first[i] + len(t)] = np.frombuffer(t, np.uint8)
+    columns = np.ascontiguousarray(table[:, ::-1].T)  # column after column, the last first, and read once in that order
+    del table
+    order, common = np.arange(m), np.zeros(m, np.int32)
+    for column, symbol in zip(range(width - 1, -1, -1), columns, strict=True):
+        inside = (column >= first) & (column < first + size)
+        code = np.where(inside, symbol.astype(np.uint16), np.uint16(256))[order]  # this round's column of the transform
+        place = np.argsort(code, kind="stable")
+        code = code[place]
+        same = np.flatnonzero((code[1:] == code[:-1]) & (code[1:] != 256))
+        new = np.zeros(m, np.int32)
+        new[same + 1] = range_minima(common, place[same] + 1, place[same + 1] + 1) + 1
+        order, common = order[place], new
+        long = np.flatnonzero(common >= length)
+        if len(long):
+            for i in np.unique(np.concatenate([order[long], order[long - 1]])).tolist():
+                if column - first[i] < n[i]:
+                    out[i][column - first[i]] = True
     return out
 
 
@@ -226,8 +228,8 @@ def _removed(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, key, n_bytes; changes: key, n_removed, n_spans, kept_sha256, kept): texts not in changes lose nothing."""
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    source = source.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    rows = written(source.mapInArrow(lambda it: _described(it, length), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, key long, n_bytes long, segs {SEGMENTS}"), "strings")
+    source = source.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    rows = written(source.mapInArrow(lambda it: _described(it, length), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, key binary, n_bytes long, segs {SEGMENTS}"), "strings")
     copied = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes")).where((F.col("n") > 1) & (F.col("n_bytes") >= length))
     copied = written(copied.select("key", "n_bytes"), "copied")
 
@@ -248,7 +250,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     want = want.join(crowd, "value")
     wanted = want.groupBy("key").agg(F.collect_list(F.struct("value", "h", "start", "n", "left", "whole", "c")).alias("want"))
     wanted = written(wanted, "wanted")
-    few = source.select("key", "text").join(broadcast_if_small(wanted.select("key")), "key", "left_semi").join(wanted, "key")
+    few = source.select("key", "text").join(broadcast_if_small(wanted.select("key")), "key", "left_semi")
+    few = few.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")  # copies are worked on once
     usual = F.filter("want", lambda w: w["c"] <= MOST_STRINGS)
     bodies = few.select("text", usual.alias("want")).where("size(want) > 0").mapInArrow(lambda it: _cut_strings(it, length), "value long, h long, n int, left int, whole boolean, body binary")
     count = want.where(F.col("c") <= MOST_STRINGS).count()
@@ -265,7 +268,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     for table in (common, each, wanted):
         drop_written(table)
     texts = source.select("key", "text").join(broadcast_if_small(cuts.select("key")), "key", "left_semi").join(cuts, "key")
-    some = texts.mapInArrow(lambda it: _removed(it, keep_text), "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    some = texts.mapInArrow(lambda it: _removed(it, keep_text), "key binary, n_removed long, n_spans long, kept_sha256 string, kept string")
     nothing = hashlib.sha256(b"").hexdigest()
     full = copied.select("key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), F.lit("").alias("kept"))
     return rows.select("doc_id", "key", "n_bytes"), written(some.unionByName(full), "changes")
@@ -289,11 +292,15 @@ def _by_windows(few: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text: one row for each row of docs.
+
+    kept_text is what is left, in whole characters; the digest is that of the remaining bytes.
+    """
     text = how.get("text", "text")
-    rows, changes = repeats(docs, **how)
+    _, changes = repeats(docs, keep_text=True, **how)
     own = docs.select(F.col(f"`{how.get('doc_id', 'doc_id')}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    base = own.select("doc_id", F.xxhash64("t").alias("key"), F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"))
-    out = base.join(broadcast_if_small(changes.drop("kept")), "key", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    own = own.select("doc_id", text_key(F.col("t")).alias("key"), F.octet_length("t").cast("long").alias("n_bytes"), "t")
+    keys, zero = broadcast_if_small(changes.select("key")), F.lit(0).cast("long")
+    same = own.join(keys, "key", "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("t", 256).alias("kept_sha256"), F.col("t").alias("kept_text"))
+    cut = own.join(keys, "key", "left_semi").drop("t").join(changes, "key")
+    return same.unionByName(cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("kept_text")))

@@ -83,7 +83,7 @@ def test_decontamination_is_exact_containment(spark, docs):
                 if len(s & cut(r["text"], k)[0]) >= 0.8 * len(s):
                     want.add((r["doc_id"], i))
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.find(docs, bench).collect()}
-    assert got == want and (2, 8) in want | {(2, 8)}
+    assert got == want
     assert decontamination.find(docs, empty(spark, bench.schema)).count() == 0
     assert decontamination.find(empty(spark, docs.schema), bench).count() == 0
 

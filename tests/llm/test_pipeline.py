@@ -39,17 +39,17 @@ def _brute(rows, items):
     for d, x in label.items():
         groups[x].append(d)
     docs = {min(g): docs[min(g)] for g in groups.values()}
-    seen = defaultdict(int)
+    seen, n = defaultdict(int), corpus_pipeline.REPEAT
     for t in docs.values():
         b = t.encode()
-        for o in range(len(b) - 399):
-            seen[b[o : o + 400]] += 1
+        for o in range(len(b) - n + 1):
+            seen[b[o : o + n]] += 1
     for d, t in list(docs.items()):
         b = t.encode()
         gone = np.zeros(len(b), bool)
-        for o in range(len(b) - 399):
-            if seen[b[o : o + 400]] > 1:
-                gone[o : o + 400] = True
+        for o in range(len(b) - n + 1):
+            if seen[b[o : o + n]] > 1:
+                gone[o : o + n] = True
         docs[d] = _cut(b, gone)
     words = lambda t: re.findall(r"\w+", t.lower())
     runs = lambda t: {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)}
