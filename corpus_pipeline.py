@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as a table and read again as
 the next stage's docs. All but the last return the columns of `documents`. Documents are told apart by
-doc_id and a hash of the text, so null and repeated ids do no harm; extra columns are carried along.
+doc_id and 128 bits over the text, so null and repeated ids do no harm; extra columns are carried along,
+whatever their names (the stages' own columns begin with `__loom_`). Empty tables go through as they are.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, language_id, minhash, packing, suffix_dedup
-from corpusloom.llm.common import broadcast_if_small, prepare, written
+from corpusloom.llm.common import broadcast_if_small, prepare, text_key, written
 from corpusloom.llm.q07_packing import tokenizer_path
 
-KEY = "__key"
+KEY = "__loom_key"
+#: Bytes of a string that counts as a repeat: 50 short words.
+REPEAT = 256
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(KEY, text_key(F.col("text")))
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -38,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     prepare(spark)
     rows = _keyed(docs)
     classes = written(minhash.near_duplicates(rows, carried=(KEY,)), "classes")
+    # Ties of doc_id go to the smaller key; a null doc_id comes last.
     least = classes.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))).alias("first"), F.count("*").alias("n")).where("n > 1")
     mine = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))
     others = classes.join(least, "class_id").where(~mine.eqNullSafe(F.col("first"))).select("doc_id", KEY).distinct()
@@ -49,19 +53,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur twice are cut out; a document of which nothing is left goes."""
+    """Strings of REPEAT bytes that occur twice are cut out in every place, in whole characters; a document of which nothing is left goes.
+
+    n_chars, where there is such a column, counts what is left. Null and empty texts lose nothing and stay.
+    """
     prepare(spark)
-    _, changes = suffix_dedup.repeats(docs, keep_text=True)
+    _, changes = suffix_dedup.repeats(docs, length=REPEAT, keep_text=True)
     changed = broadcast_if_small(changes.select(F.col("key").alias(KEY)))
-    rows = _keyed(docs)
-    cut = rows.join(changed, KEY, "left_semi").join(changes.select(F.col("key").alias(KEY), F.col("kept").alias("__kept")), KEY).where("__kept <> ''")
-    new = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast(docs.schema["n_chars"].dataType)}
+    rows, kept = _keyed(docs), "__loom_kept"
+    cut = rows.join(changed, KEY, "left_semi").join(changes.select(F.col("key").alias(KEY), F.col("kept").alias(kept)), KEY).where(F.col(kept) != "")
+    new = {"text": F.col(kept)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(kept).cast(docs.schema["n_chars"].dataType)
     cut = cut.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
     return rows.join(changed, KEY, "left_anti").select(*[f"`{c}`" for c in docs.columns]).unionByName(cut)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go: four fifths of its word shingles, wherever they are in the whole text.
+
+    Null and empty texts contain nothing and stay; of rows that repeat doc_id and text all go or none.
+    """
+    prepare(spark)
     found = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", F.col("key").alias(KEY)).distinct()
     found = broadcast_if_small(written(found, "contaminated"))
     rows = _keyed(docs)
@@ -69,6 +82,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of at most 2048 tokens, as op7: a null text has only its end token."""
     prepare(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
