@@ -6,14 +6,22 @@ rows for each list, `SAMPLE_ALL` in all); everything else covers every row. The
 `MOST_LISTS`, are searched by a graph in memory (`CentroidGraph`: nearest neighbours, links back, beam
 search over whole batches). A vector near the border of lists is written to several: its nearest centroid
 and further ones within a distance ratio, unless a chosen centroid lies nearer to the candidate than
-the vector does. A query reads the lists whose centroid is within a distance ratio of the nearest.
+the vector does. A query reads the lists whose centroid is within a distance ratio of the nearest, the
+nearest first, up to a number of lists.
+
+Ratio and number are measured on the table itself: `CALIBRATION` queries, chosen by hash, meet every
+row, and the least values are taken under which `COVER` of their true neighbours lie in a list that is
+read. So recall doesn't fall as the table grows; where vectors have no structure, more lists are read. A
+`cover` of 1.0 reads whatever lists the calibrating queries need.
 
 Equal vectors are one class that is searched for once, and a class keeps its smallest k + 1 ids, as ties
 go to the smaller id and a query leaves out only its own: that is exact. Lists and the queries that read
 them are dealt in blocks of bounded size, so a popular list is worked on by many tasks.
 
 Nulls: rows with a null id, and vectors that are null, zero, or hold a null or non-finite component, take
-no part, nor do vectors whose dimension isn't the most frequent one. Repeated rows count once.
+no part, nor do vectors whose dimension isn't the most frequent one. Repeated rows count once. An empty
+table, or one without a query, gives no rows. Columns other than the two named aren't read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -30,8 +38,10 @@ SAMPLE_PER_LIST, SAMPLE_ALL = 12, 131_072
 COPIES, COPY_RATIO = 6, 1.5
 #: A copy's centroid is at least this share of its distance (squared) from those already chosen.
 SPREAD = 0.1
-#: Lists that a query reads at most: so many, or this share of all lists if that is more; their distance ratio (squared).
-PROBES, PROBE_SHARE, PROBE_RATIO = 96, 0.125, 2.0
+#: Queries that meet every row to find how many lists must be read, and the share of their neighbours that these must hold.
+CALIBRATION, COVER = 128, 0.97
+#: Beyond this share of all lists, centroids are compared one by one and not by the graph.
+PROBE_SHARE = 0.125
 #: Rows of a list, and queries, that one task compares at a time.
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
 SALTS = 32
@@ -155,18 +165,37 @@ class CentroidGraph:
             out.append(np.array(chosen))
         return out
 
-    def probes(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that each query reads."""
-        k = max(PROBES, int(np.ceil(PROBE_SHARE * len(self.c))))
-        if k == PROBES:
-            ids, d = self.nearest(x, PROBES, PROBES + 32)
-        else:  # a share of all lists: every centroid is compared
-            far = np.maximum((x * x).sum(1)[:, None] + self.n - 2 * x @ self.c.T, 0)
-            ids = np.argpartition(far, k - 1, axis=1)[:, :k]
-            d = np.take_along_axis(far, ids, 1)
-            order = np.argsort(d, axis=1, kind="stable")
-            ids, d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
-        return [i[(i >= 0) & (e <= PROBE_RATIO * e[0] + 1e-9)] for i, e in zip(ids, d, strict=True)]
+    def probes(self, x: np.ndarray, most: int, ratio: float) -> list[np.ndarray]:
+        """The lists that each query reads: at most so many, within a ratio of the nearest one's squared distance."""
+        k = min(most, len(self.c))
+        if k <= PROBE_SHARE * len(self.c):
+            ids, d = self.nearest(x, k, k + 32)
+        else:
+            ids, d = self.ordered(x, k)
+        return [i[(i >= 0) & (e <= ratio * e[0] + 1e-6)] for i, e in zip(ids, d, strict=True)]
+
+    def ordered(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest centroids by comparing all."""
+        far = np.maximum((x * x).sum(1)[:, None] + self.n - 2 * x @ self.c.T, 0)
+        ids = np.argpartition(far, k - 1, axis=1)[:, :k]
+        d = np.take_along_axis(far, ids, 1)
+        order = np.argsort(d, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+
+    def calibrated(self, asking: np.ndarray, near: np.ndarray, of: np.ndarray, cover: float) -> tuple[int, float]:
+        """(lists, ratio) under which that share of the near vectors lie in a list that their query reads.
+
+        asking are lifted queries, near lifted vectors, of the query's place for each of them.
+        """
+        ids, d = self.ordered(asking, len(self.c))
+        place = np.empty_like(ids)
+        np.put_along_axis(place, ids, np.broadcast_to(np.arange(len(self.c)), ids.shape).copy(), 1)
+        rank = np.array([place[q, lists].min() for q, lists in zip(of.tolist(), self.copies(near), strict=True)])
+        far = d[of, rank] / np.maximum(d[of, 0], 1e-9)
+        # Half of what may be missed goes to each of the two bounds.
+        share = 1 - (1 - cover) / 2
+        at = min(len(rank) - 1, int(np.ceil(share * len(rank))) - 1)
+        return int(np.sort(rank)[at]) + 1, float(np.sort(far)[at]) * (1 + 1e-5)
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -180,15 +209,31 @@ def asked(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.zeros((len(x), 1))], 1).astype(np.float32)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def best_of_block(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of every pair that is among the query's k largest, ties with the last one included."""
+    s = q @ v.T
+    if s.shape[1] <= k:
+        i, j = np.divmod(np.arange(s.size), s.shape[1])
+    else:
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        i, j = np.nonzero(s >= least[:, None])
+    return i, j, s[i, j]
+
+
+def matrix(column) -> np.ndarray:
+    return np.stack(column.to_numpy())
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", cover: float = COVER) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query(vec_id column) holds, its k nearest found."""
     from corpusloom.llm.common import written
 
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("e")).where("vec_id IS NOT NULL AND e IS NOT NULL")
     bad = F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = rows.where(~F.coalesce(bad, F.lit(False)) & F.exists("e", lambda v: v != 0))
     sizes = rows.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes:
         return empty
     dim = sizes[0]["dim"]
@@ -202,30 +247,49 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     ids = ids.withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= k + 1).dropDuplicates(["c", "salt", "vec_id"])
     ids = ids.withColumn("r", F.row_number().over(second)).where(F.col("r") <= k + 1)
     lists = ids.groupBy("c").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min_by("e", "vec_id").alias("e"))
-    classes = written(lists.select("c", "ids", F.col("ids")[0].alias("low"), "e", norm.alias("norm")), "classes")
-    queries = rows.where(is_query(F.col("vec_id"))).select("c", F.col("vec_id").alias("query_id")).distinct()
+    # A class is named by a number that is settled when the table is written.
+    classes = written(lists.select(F.monotonically_increasing_id().alias("i"), "c", "ids", F.col("ids")[0].alias("low"), "e", norm.alias("norm")), "classes")
+    again = lambda: spark.read.schema(classes.schema).parquet(classes._corpusloom_path)
+    asked_for = rows.where(is_query(F.col("vec_id"))).select("c", F.col("vec_id").alias("query_id")).distinct()
+    queries = written(asked_for.join(classes.select("c", "i"), "c").select("i", "query_id"), "queries")
     stats = classes.agg(F.count("*").alias("n"), F.max("norm").alias("m")).first()
-    if not stats["n"]:
+    n_queries = queries.select("i").distinct().count()
+    if not stats["n"] or not n_queries:
         return empty
     longest = float(stats["m"])
     n_lists = int(min(MOST_LISTS, max(1, stats["n"] // LIST_SIZE)))
-    rate = min(1.0, min(SAMPLE_ALL, SAMPLE_PER_LIST * n_lists + 64) / stats["n"])
-    sample = classes.where(F.pmod(F.xxhash64("c"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("e").limit(2 * SAMPLE_ALL)
-    x = lifted(np.array([r["e"] for r in sample.collect()]), longest)
-    graph = CentroidGraph(balanced_centroids(x, n_lists))
+
+    def bounded(df: DataFrame, most: int, n: int) -> np.ndarray:
+        """About `most` of n vectors of df, by the hash of their class, packed on their way to the driver."""
+
+        def pack(it):
+            for pdf in it:
+                if len(pdf):
+                    yield pd.DataFrame({"x": [r.tobytes() for r in matrix(pdf["e"])]})
+
+        share = int(min(1.0, most / n) * (1 << 20)) + 1
+        got = df.where(F.pmod(F.xxhash64("c"), F.lit(1 << 20)) < share).select("e").limit(2 * most).mapInPandas(pack, "x binary").toPandas()
+        return np.frombuffer(b"".join(got["x"]), np.float64).reshape(-1, dim)
+
+    x = bounded(classes, min(SAMPLE_ALL, SAMPLE_PER_LIST * n_lists + 64), stats["n"])
+    graph = CentroidGraph(balanced_centroids(lifted(x, longest), n_lists))
+    asking = written(again().join(queries.select("i").distinct(), "i", "left_semi").select("i", "c", "e"), "asking")
+    few = bounded(asking, CALIBRATION, n_queries)[:CALIBRATION]
+    if not len(few):
+        few = bounded(asking, n_queries, n_queries)[:CALIBRATION]
+    most, ratio = graph.calibrated(asked(few), *_neighbours(classes, few, k, longest), cover)
 
     def place(it, queried: bool):
         for pdf in it:
             step = 128 if queried else 512
             for a in range(0, len(pdf), step):
                 part = pdf.iloc[a : a + step]
-                v = np.stack(part["e"].to_numpy())
-                got = graph.probes(asked(v)) if queried else graph.copies(lifted(v, longest))
-                yield pd.DataFrame({"list": np.concatenate(got).astype("int32"), "i": np.repeat(part["c"].to_numpy(), [len(g) for g in got])})
+                v = matrix(part["e"])
+                got = graph.probes(asked(v), most, ratio) if queried else graph.copies(lifted(v, longest))
+                yield pd.DataFrame({"list": np.concatenate(got).astype("int32"), "i": np.repeat(part["i"].to_numpy(), [len(g) for g in got])})
 
-    postings = written(classes.select("c", "e").mapInPandas(lambda it: place(it, False), "list int, i string"), "postings")
-    asking = classes.join(queries.select("c").distinct(), "c", "left_semi").select("c", "e")
-    probes = written(asking.mapInPandas(lambda it: place(it, True), "list int, i string"), "probes")
+    postings = written(classes.select("i", "e").mapInPandas(lambda it: place(it, False), "list int, i long"), "postings")
+    probes = written(asking.select("i", "e").mapInPandas(lambda it: place(it, True), "list int, i long"), "probes")
 
     # Blocks: (list, block of rows, block of queries). Both tables of sizes have at most MOST_LISTS rows.
     nv = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nv"))
@@ -233,25 +297,45 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     grid = F.broadcast(nv.join(nq, "list"))
     part = lambda n: F.pmod(F.xxhash64("i"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    again = vectors.sparkSession.read.schema(classes.schema).parquet(classes._corpusloom_path)
-    left = postings.join(grid, "list").select("list", part("nv").alias("vb"), each("nq").alias("qb"), "i").join(classes.select(F.col("c").alias("i"), "e", "low"), "i")
-    right = probes.join(grid, "list").select("list", each("nv").alias("vb"), part("nq").alias("qb"), "i").join(again.select(F.col("c").alias("i"), "e"), "i")
+    left = postings.join(grid, "list").select("list", part("nv").alias("vb"), each("nq").alias("qb"), "i").join(again().select("i", "e", "low"), "i")
+    right = probes.join(grid, "list").select("list", each("nv").alias("vb"), part("nq").alias("qb"), "i").join(asking.select("i", "e"), "i")
 
     def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        names = {"q": "string", "c": "string", "score": "float64", "low": "int64"}
+        names = {"q": "int64", "i": "int64", "score": "float64", "low": "int64"}
         if not len(v) or not len(q):
             return pd.DataFrame({n: pd.Series(dtype=t) for n, t in names.items()})
-        s = np.stack(q["e"].to_numpy()) @ np.stack(v["e"].to_numpy()).T
-        low = v["low"].to_numpy()
-        keep = np.lexsort((np.broadcast_to(low, s.shape), -s), axis=1)[:, : k + 1]
-        return pd.DataFrame({"q": np.repeat(q["i"].to_numpy(), keep.shape[1]), "c": v["i"].to_numpy()[keep].ravel(), "score": np.take_along_axis(s, keep, 1).ravel(), "low": low[keep].ravel()})
+        a, b, s = best_of_block(matrix(q["e"]), matrix(v["e"]), k + 1)
+        return pd.DataFrame({"q": q["i"].to_numpy()[a], "i": v["i"].to_numpy()[b], "score": s, "low": v["low"].to_numpy()[b]})
 
     keys = ["list", "vb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "q string, c string, score double, low long")
-    found = found.groupBy("q", "c").agg(F.max("score").alias("score"), F.first("low").alias("low"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "q long, i long, score double, low long")
+    found = found.groupBy("q", "i").agg(F.max("score").alias("score"), F.first("low").alias("low"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "low"))).where(F.col("r") <= k + 1)
-    hits = best.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
+    hits = best.join(again().select("i", "ids"), "i").select("q", "score", F.explode("ids").alias("vec_id"))
     hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     top = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
-    mine = queries.join(top, queries["c"] == top["q"]).select("query_id", F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k).alias("top"))
+    mine = queries.join(top, queries["i"] == top["q"]).select("query_id", F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k).alias("top"))
     return mine.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))
+
+
+def _neighbours(classes: DataFrame, few: np.ndarray, k: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """(lifted vectors, place of their query): the true k nearest classes of a few queries, each met by every row."""
+
+    def nearest(it):
+        held: tuple[np.ndarray, ...] | None = None
+        for pdf in it:
+            if not len(pdf):
+                continue
+            v = matrix(pdf["e"])
+            q, j, s = best_of_block(few, v, k)
+            new = (q, s, v[j])
+            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            order = np.lexsort((-held[1], held[0]))
+            at = np.arange(len(order)) - np.searchsorted(held[0][order], held[0][order])
+            held = tuple(x[order[at < k]] for x in held)
+        if held is not None:
+            yield pd.DataFrame({"q": held[0], "s": held[1], "x": [r.tobytes() for r in held[2]]})
+
+    each = classes.select("e").mapInPandas(nearest, "q long, s double, x binary")  # at most k rows for each query and task
+    got = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "x"))).where(F.col("r") <= k).select("q", "x").toPandas()
+    return lifted(np.frombuffer(b"".join(got["x"]), np.float64).reshape(len(got), -1), longest), got["q"].to_numpy()

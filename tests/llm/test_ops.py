@@ -112,6 +112,42 @@ def test_ann_against_brute_force(spark):
     assert ann.search(empty(spark, df.schema), lambda v: v % 20 == 0).count() == 0
 
 
+def test_ann_recall_where_pruning_is_at_work(spark):
+    """20,000 vectors in clusters, 312 lists of which few are read, against brute force."""
+    prepare(spark)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(500, 24))[r.integers(0, 500, 20_000)] * 2 + r.normal(size=(20_000, 24))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for row in ann.search(df, lambda v: v % 50 == 0).collect():
+        got[row["query_id"]].add(row["vec_id"])
+    s = x[::50] @ x.T
+    s[np.arange(400), np.arange(0, 20_000, 50)] = -np.inf
+    near = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(got[50 * q] & set(n.tolist())) / 20 for q, n in enumerate(near)]) >= 0.93 and len(got) == 400
+
+
+def test_ann_calibration_reads_as_many_lists_as_neighbours_need():
+    r = np.random.default_rng(4)
+    x, q = ann.lifted(r.normal(size=(4000, 8)), 6.0), ann.asked(r.normal(size=(40, 8)))
+    graph = ann.CentroidGraph(ann.balanced_centroids(x, 100))
+    near = np.argsort(-(q @ x.T), axis=1)[:, :10]
+    of = np.repeat(np.arange(40), 10)
+    for cover in (0.8, 0.97, 1.0):
+        most, ratio = graph.calibrated(q, x[near.ravel()], of, cover)
+        lists, held = graph.probes(q, most, ratio), graph.copies(x[near.ravel()])
+        assert np.mean([bool(set(lists[i].tolist()) & set(h.tolist())) for i, h in zip(of, held, strict=True)]) >= cover
+        assert all(len(i) <= most for i in lists)
+    least, _ = graph.calibrated(q, x[near.ravel()], of, 0.5)
+    assert least < most <= 100
+
+
+def test_block_keeps_ties():
+    q, v = np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([[3.0, 0], [2, 1], [2, 5], [2, 5], [1, 9]])
+    i, j, s = ann.best_of_block(q, v, 2)
+    assert set(zip(i.tolist(), j.tolist(), s.tolist())) == {(0, 0, 3.0), (0, 1, 2.0), (0, 2, 2.0), (0, 3, 2.0), (1, 4, 9.0), (1, 2, 5.0), (1, 3, 5.0)}
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -119,17 +155,6 @@ def _render(turns):
     return "".join(f"<|{r}|>\n{t.replace('<|', '<​|')}<|end|>\n" for r, t in turns)
 
 
-def test_ann_probes_grow_with_the_lists():
-    r = np.random.default_rng(4)
-    c, x = r.normal(size=(2000, 16)).astype(np.float32), r.normal(size=(50, 16)).astype(np.float32)
-    d = ((x[:, None] - c[None]) ** 2).sum(2)
-    for got, far in zip(ann.CentroidGraph(c).probes(x), d, strict=True):
-        want = np.argsort(far)[:250]
-        want = want[far[want] <= ann.PROBE_RATIO * far.min() * (1 - 1e-4)]
-        assert set(want.tolist()) <= set(got.tolist())
-        assert len(got) <= 250
-
-
 def test_preferences(spark):
     p = [("user", "hi"), ("assistant", "a"), ("user", "more")]
     cases = [(1, p + [("assistant", "good")], p + [("assistant", "bad"), ("user", "eh")]), (2, p, p), (3, p[:1], p), (4, [("assistant", "x <|end|>")], [("assistant", "y")]), (5, p + [("assistant", "z")], None)]
