@@ -12,7 +12,9 @@ nearest first, up to a number of lists.
 Ratio and number are measured on the table itself: `CALIBRATION` queries, chosen by hash, meet every
 row, and the least values are taken under which `COVER` of their true neighbours lie in a list that is
 read. So recall doesn't fall as the table grows; where vectors have no structure, more lists are read. A
-`cover` of 1.0 reads whatever lists the calibrating queries need.
+`cover` of 1.0 reads whatever lists the calibrating queries need. A query's `NEAR` nearest lists are read first;
+its others then answer only with what reaches the score of the k + 1 best so far, so that what is passed on for a
+query doesn't grow with the lists that it reads.
 
 Equal vectors are one class that is searched for once, and a class keeps its smallest k + 1 ids, as ties
 go to the smaller id and a query leaves out only its own: that is exact. Lists and the queries that read
@@ -40,6 +42,8 @@ COPIES, COPY_RATIO = 6, 1.5
 SPREAD = 0.1
 #: Queries that meet every row to find how many lists must be read, and the share of their neighbours that these must hold.
 CALIBRATION, COVER = 128, 0.97
+#: Lists that a query reads first.
+NEAR = 4
 #: Beyond this share of all lists, centroids are compared one by one and not by the graph.
 PROBE_SHARE = 0.125
 #: Rows of a list, and queries, that one task compares at a time.
@@ -286,29 +290,39 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
                 part = pdf.iloc[a : a + step]
                 v = matrix(part["e"])
                 got = graph.probes(asked(v), most, ratio) if queried else graph.copies(lifted(v, longest))
-                yield pd.DataFrame({"list": np.concatenate(got).astype("int32"), "i": np.repeat(part["i"].to_numpy(), [len(g) for g in got])})
+                yield pd.DataFrame({"list": np.concatenate(got).astype("int32"), "i": np.repeat(part["i"].to_numpy(), [len(g) for g in got]), "near": np.concatenate([np.arange(len(g)) < NEAR for g in got])})
 
-    postings = written(classes.select("i", "e").mapInPandas(lambda it: place(it, False), "list int, i long"), "postings")
-    probes = written(asking.select("i", "e").mapInPandas(lambda it: place(it, True), "list int, i long"), "probes")
-
-    # Blocks: (list, block of rows, block of queries). Both tables of sizes have at most MOST_LISTS rows.
-    nv = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nv"))
-    nq = probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("nq"))
-    grid = F.broadcast(nv.join(nq, "list"))
-    part = lambda n: F.pmod(F.xxhash64("i"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = postings.join(grid, "list").select("list", part("nv").alias("vb"), each("nq").alias("qb"), "i").join(again().select("i", "e", "low"), "i")
-    right = probes.join(grid, "list").select("list", each("nv").alias("vb"), part("nq").alias("qb"), "i").join(asking.select("i", "e"), "i")
+    postings = written(classes.select("i", "e").mapInPandas(lambda it: place(it, False), "list int, i long, near boolean"), "postings")
+    probes = written(asking.select("i", "e").mapInPandas(lambda it: place(it, True), "list int, i long, near boolean"), "probes")
 
     def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         names = {"q": "int64", "i": "int64", "score": "float64", "low": "int64"}
         if not len(v) or not len(q):
             return pd.DataFrame({n: pd.Series(dtype=t) for n, t in names.items()})
         a, b, s = best_of_block(matrix(q["e"]), matrix(v["e"]), k + 1)
+        reaches = s >= q["least"].to_numpy()[a]
+        a, b, s = a[reaches], b[reaches], s[reaches]
         return pd.DataFrame({"q": q["i"].to_numpy()[a], "i": v["i"].to_numpy()[b], "score": s, "low": v["low"].to_numpy()[b]})
 
+    # Blocks: (list, block of rows, block of queries). Both tables of sizes have at most MOST_LISTS rows.
+    nv = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nv"))
+    part = lambda n: F.pmod(F.xxhash64("i"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["list", "vb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "q long, i long, score double, low long")
+
+    def compared(reads: DataFrame) -> DataFrame:
+        """q, i, score, low: what the lists answer to reads (list, i, least)."""
+        nq = reads.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("nq"))
+        grid = F.broadcast(nv.join(nq, "list"))
+        left = postings.join(grid, "list").select("list", part("nv").alias("vb"), each("nq").alias("qb"), "i").join(again().select("i", "e", "low"), "i")
+        right = reads.join(grid, "list").select("list", each("nv").alias("vb"), part("nq").alias("qb"), "i", "least").join(asking.select("i", "e"), "i")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "q long, i long, score double, low long")
+
+    near = written(compared(probes.where("near").select("list", "i", F.lit(float("-inf")).alias("least"))), "near")
+    so_far = near.select("q", "i", "score").distinct().withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"))))
+    least = so_far.where(F.col("r") == k + 1).select(F.col("q").alias("i"), F.col("score").alias("least"))
+    others = probes.where("NOT near").select("list", "i").join(least, "i", "left").select("list", "i", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    found = near.unionByName(compared(others))
     found = found.groupBy("q", "i").agg(F.max("score").alias("score"), F.first("low").alias("low"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "low"))).where(F.col("r") <= k + 1)
     hits = best.join(again().select("i", "ids"), "i").select("q", "score", F.explode("ids").alias("vec_id"))
