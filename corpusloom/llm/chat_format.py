@@ -19,7 +19,9 @@ in a small bucket of such conversations. Only one without an assistant turn, or
 the same, is returned without a rejected one.
 
 Nulls: a null text is empty, a null role is `unknown`; turns without conv_id form one conversation;
-turns of equal number follow each other by role, then text. Repeated rows are repeated turns.
+turns of equal number follow each other by role, then text. Repeated rows are repeated turns. An empty table
+gives no rows. Ties of assistant text go to the smaller conv_id. Other columns of turns aren't read; of pairs they
+stay, but for those named as the new ones. A very long text is rendered whole.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import written
+
 ASSISTANT = "assistant"
 OPEN, SHUT, END = "<|", "|>\n", "<|end|>\n"
 #: Salts of a group: conversations with the same first turn are spread over so many keys.
@@ -103,7 +107,7 @@ def pair_up(turns: DataFrame, salts: int = SALTS) -> DataFrame:
     rejected_id names where the rejected answer is from. turns has conv_id, turn, role and text. Only ids and sizes are dealt while pairing; the turns join the
     finished pairs by conv_id.
     """
-    whole = conversations(turns)
+    whole = written(conversations(turns), "conversations")  # read by several branches
     good = F.aggregate(F.col("turns"), F.lit(0), lambda n, t: n + F.when(t["role"] == ASSISTANT, F.length(t["text"])).otherwise(0))
     first = F.get(F.col("turns"), F.lit(0))
     ids = whole.select("conv_id", F.xxhash64(first["role"], first["text"]).alias("f1"), F.hash(first["text"], first["role"]).alias("f2"), good.alias("good"))

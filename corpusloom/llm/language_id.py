@@ -5,12 +5,13 @@ for each pair of languages votes, and the language with most votes (then the lar
 the smaller name) wins. Features are hashed counts of byte pairs and triples of the lower-cased letters
 of the whole text, square-rooted and of unit length.
 
-Only the machines are fitted on a bounded sample: at most `SAMPLE` labelled texts for each language and
-`SAMPLE_ALL` in all, chosen by a hash. Prediction streams over all rows without a shuffle and ships only
+Only the machines are fitted on a bounded sample: at most `SAMPLE` different labelled texts for each language
+and `SAMPLE_ALL` in all, those of least hash; no language that has a labelled text is left out. Prediction streams over all rows without a shuffle and ships only
 the weights (some hundred KB a machine).
 
 A text that is null or has no letter is `und` with score 0. With no labelled text at all every text is
-`und`. Ties are settled as said above; repeated rows get equal predictions.
+`und`. Ties are settled as said above; repeated rows get equal predictions. An empty table gives no rows;
+other columns of docs stay, but for those named as the new ones. A very long text is worked on whole.
 """
 
 from __future__ import annotations
@@ -168,17 +169,18 @@ class Model:
         return out, np.clip(score, 0.0, 1.0)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
-    """The machines from a bounded sample of labelled rows; rows with a null language are passed over."""
-    rows = labelled.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
+    """The machines from a bounded sample of different labelled texts; rows with a null language or without a letter are passed over."""
+    rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("lang", "text"))
+    # Different texts of each language, within some hundredths.
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n")).collect()}
     if not counts:
         return None
     most = max(2, min(SAMPLE, SAMPLE_ALL // len(counts)))
-    share = F.create_map(*[F.lit(v) for s, n in counts.items() for v in (s, int(min(1.0, 1.2 * most / n) * 1_000_000))])
-    h = F.xxhash64("k", "lang")
-    # Rows that repeat a key and language meet in one hash and count once.
-    chosen = rows.withColumn("h", h).where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).dropDuplicates(["h"]).select("h", "lang", "text")
+    share = F.create_map(*[F.lit(v) for s, n in counts.items() for v in (s, int(min(1.0, (1.2 * most + 50) / (0.9 * n)) * 1_000_000))])
+    # Texts that repeat meet in one hash and count once.
+    chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).dropDuplicates(["h", "lang"]).select("h", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,7 +190,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), b.column(1).slice(a, n), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["h", "lang", "x"])
 
     got: dict[str, list] = {}
-    for r in chosen.mapInArrow(run, "h long, lang string, x binary").collect():  # at most about 1.2 * SAMPLE_ALL rows
+    for r in chosen.mapInArrow(run, "h long, lang string, x binary").collect():  # at most about 1.5 * SAMPLE_ALL rows
         got.setdefault(r["lang"], []).append((r["h"], bytes(r["x"])))
     names = [(s, x) for s in sorted(got) for _, x in sorted(got[s])[:most]]
     x = np.frombuffer(b"".join(x for _, x in names), np.float16).reshape(len(names), -1).astype(np.float32)

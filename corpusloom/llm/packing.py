@@ -14,7 +14,10 @@ the high bits and a count in the low ones, the same when a lost task runs again
 Tokenising remembers the ids of words already seen: the vocabulary joins nothing across white space, so
 the ids of a text are those of its words in order (`WordTokenizer`, tested for equality with encode()).
 
-Nulls: a null text is empty and has only its end token. An empty table gives no rows.
+Nulls: a null text is empty and has only its end token. An empty table gives no rows. Of documents of equal
+length the earlier one of the partition goes first, of sequences of equal cost the one with the lower
+number. Repeated rows are packed each. Columns of docs other than the two named aren't read, whatever
+their names. A very long text is one row; its pieces are full sequences and a rest.
 """
 
 from __future__ import annotations
@@ -66,7 +69,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._one = Tokenizer.from_file(path)
-        self._one.encode_special_tokens = True
+        # A text that may hold a special token, in whatever case, is left to the tokenizer as a whole.
+        special = [t.content for t in self._one.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.IGNORECASE)
+        self._mark = max(set.intersection(*map(set, special)), key=lambda c: (not c.isalnum(), c), default="") if special else ""
         # The same merges for lower-case words that are already set apart by spaces.
         self._light = Tokenizer.from_file(path)
         self._light.normalizer = normalizers.Sequence([])
@@ -77,6 +83,14 @@ class WordTokenizer:
         self._known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        apart = [i for i, t in enumerate(texts) if self._mark in t and self._special.search(t)]
+        if apart:
+            known = {i: np.array(self._one.encode(texts[i], add_special_tokens=False).ids, "<u4") for i in apart}
+            rest = iter(self._words([t for i, t in enumerate(texts) if i not in known]))
+            return [known[i] if i in known else next(rest) for i in range(len(texts))]
+        return self._words(texts)
+
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
         cut = [_plain(t).replace("\n", " ").split(" ") for t in texts]
         flat = [w for words in cut for w in words]
         found = list(map(self._known.get, flat))

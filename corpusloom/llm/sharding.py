@@ -11,11 +11,14 @@ shards*UNITS buckets, and each bucket is a unit: groups stay whole either way. O
 fixed number, are packed on the driver; documents find their unit by broadcast join on that bounded
 table. A group larger than a fair share takes a shard alone, since it may not be divided.
 
-Slots count from 0 without gaps in each shard. They come from counts of (shard, bucket of doc_id),
-again a fixed number, and a row number within each such pair: no task sees a whole shard.
+Slots count from 0 without gaps in each shard. Equal rows are counted first; the different ones fall into
+buckets of about `SLOT_ROWS` rows of a shard, and a slot is the rows of the buckets before, and of the
+rows before in its own: no task sees a whole shard, and equal rows are no group that one task must hold.
 
 Nulls: a null text has no bytes and is one group with the empty text. Null or repeated doc_ids are
-rows like any other. An empty table gives no rows.
+rows like any other; equal rows get slots that follow each other. Ties of size go to the unit that is listed
+first. An empty table gives no rows. Columns of docs other than the two named aren't read, whatever
+their names. Of a very long text only size and hashes are used.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import broadcast_if_small
+
 #: Units to a shard: at least so many large groups or buckets of small ones make up each shard.
 UNITS = 200
-#: Row numbers are taken within this many buckets of a shard.
-SLOT_BUCKETS = 256
+#: Rows of a shard to a bucket in which slots are counted.
+SLOT_ROWS = 50_000
 
 
 class Treap:
@@ -96,7 +101,12 @@ def least_capacity(sizes: Sequence[int], shards: int) -> list[int]:
     """The bin of each size at the least capacity found for which best fit needs at most `shards` bins."""
     if not sizes:
         return []
-    low, high = max(1, -(-sum(sizes) // shards) // 2), max(sum(sizes), 1)
+    # No capacity is below a fair share of what is left when groups above it have a bin each.
+    rest, bins_left = sorted(sizes), shards
+    while bins_left > 1 and rest[-1] * bins_left > sum(rest):
+        rest.pop()
+        bins_left -= 1
+    low, high = max(1, -(-sum(rest) // bins_left)), max(sum(sizes), 1)
     best = [0] * len(sizes)
     while low <= high:
         mid = (low + high) // 2
@@ -132,7 +142,7 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
     # Equal texts agree on 128 bits: two hashes, the checksum and the size.
     group = ["g1", "g2", "text_crc32", "size"]
     groups = rows.groupBy(*group).agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     large_over = total // units
     bucket = F.pmod(F.xxhash64("g1", "g2", "size"), F.lit(units)).cast("int")
     parts = groups.select(
@@ -159,9 +169,14 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
         table = spark.createDataFrame(own, "g1 long, g2 int, text_crc32 long, size long, own_shard int")
         placed = placed.join(F.broadcast(table), group, "left")  # at most units rows
         small = F.coalesce("own_shard", small)
-    placed = placed.select("doc_id", "size", "text_crc32", small.alias("shard"), F.pmod(F.xxhash64("doc_id", "g1"), F.lit(SLOT_BUCKETS)).cast("int").alias("b"))
-    counts = placed.groupBy("shard", "b").agg(F.count("*").alias("n"))  # at most shards * SLOT_BUCKETS rows
+    buckets = max(1, -(-n_rows // (shards * SLOT_ROWS)))
+    placed = placed.withColumn("shard", small).groupBy("doc_id", "shard", *group).agg(F.count("*").alias("n"))
+    placed = placed.withColumn("b", F.pmod(F.xxhash64("doc_id", "g1"), F.lit(buckets)).cast("long"))
+    # About rows / SLOT_ROWS rows, with the rows of the buckets before.
+    counts = placed.groupBy("shard", "b").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("shard", "b", before.alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "b").orderBy("doc_id", "size", "text_crc32")) - 1
-    return placed.withColumn("i", within).join(F.broadcast(starts), ["shard", "b"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("i")).alias("slot"))
+    starts = broadcast_if_small(counts.select("shard", "b", before.alias("start")))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("shard", "b").orderBy("doc_id", "size", "text_crc32", "g1", "g2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = placed.withColumn("i", own).join(starts, ["shard", "b"])
+    slots = F.explode(F.sequence(F.col("start") + F.col("i"), F.col("start") + F.col("i") + F.col("n") - 1))
+    return found.select("doc_id", "size", "text_crc32", "shard", slots.alias("slot"))

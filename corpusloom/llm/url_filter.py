@@ -10,7 +10,10 @@ The work of a URL doesn't depend on the size of the rule set, and no row is shuf
 to the tasks while their size is under `INDEX_BYTES`. A larger rule set is joined to the distinct
 URLs on the token instead (`judge_by_join`), with the same verdicts.
 
-Nulls: a null URL, or one without `://`, has an empty host and path; no rule fits it and it is allowed.
+Nulls: a null URL, or one without `://`, has an empty host and path; no rule fits it and it is allowed. Rows
+that repeat get a row each, an empty table gives none. Of site rules of equal length the blocking one decides,
+of pattern rules the first by text. A very long URL is judged whole; other columns stay, but for those that
+are named as the new ones.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 #: Rule sets up to so many bytes of text go to the tasks as an index.
 INDEX_BYTES = 32 << 20
+#: Keys over which URLs are dealt that meet the rules without a token.
+SALTS = 64
 TOKEN = re.compile(r"[a-z0-9]{2,}")
 ALLOW, BLOCK = "allow", "block"
 VERDICT_FIELDS = (("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("pattern", pa.string()))
@@ -62,7 +67,7 @@ class PatternRule:
 
     @property
     def body(self) -> str:
-        return self.text.removeprefix("@@").lower()
+        return lowered(self.text.removeprefix("@@"))
 
     @property
     def regex(self) -> str:
@@ -73,6 +78,9 @@ class PatternRule:
             body, head = body[1:], "^"
         if body.endswith("|"):
             body, tail = body[:-1], "$"
+        # A run at an open end says nothing, and costs a search from every place of a long URL.
+        body = body if head else body.lstrip("*")
+        body = body if tail else body.rstrip("*")
         special = {"*": ".*", "^": r"(?:[^a-z0-9_.%\-]|$)"}
         return head + "".join(special.get(c) or (c if c.isalnum() else "\\" + c) for c in body) + tail
 
@@ -180,8 +188,11 @@ def judge_by_join(pages: DataFrame, sites: list[SiteRule], patterns: list[Patter
     urls = pages.select(F.col(f"`{url}`").alias("u")).distinct().where(u.isNotNull())
     urls = urls.select(u, low.alias("low"), host.alias("h"), F.regexp_extract(u, r"(?s)://[^/?#]*([^?#]*)", 1).alias("p"))
     rules = spark.createDataFrame(index.filed() or [("", "(?!)", False, "")], "token string, regex string, allows boolean, text string")
+    # Every URL has the empty token: it is dealt over SALTS keys, and rules without a token stand under each.
+    salt = lambda of: F.when(F.col("token") == "", of).otherwise(F.lit(0))
+    rules = rules.withColumn("salt", F.explode(F.when(F.col("token") == "", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("low", F.lit("[a-z0-9]{2,}"), F.lit(0))))
-    hits = urls.where("h <> ''").select("u", "low", F.explode(tokens).alias("token")).join(rules, "token").where(F.expr("regexp_like(low, concat('(?s)', regex))"))
+    hits = urls.where("h <> ''").select("u", "low", F.explode(tokens).alias("token")).withColumn("salt", salt(F.pmod(F.hash("u"), F.lit(SALTS)))).join(rules, ["token", "salt"]).where(F.expr("regexp_like(low, concat('(?s)', regex))"))
     by_pattern = hits.groupBy("u").agg(F.min(F.struct((~F.col("allows")).alias("nallows"), F.col("text"))).alias("x")).select("u", F.col("x.text").alias("pattern"), (~F.col("x.nallows")).alias("pallows"))
     site = spark.createDataFrame([(s.host, s.path, s.verdict) for s in sites] or [("", "\0", ALLOW)], "sh string, sp string, sv string")
     labels = F.expr("transform(sequence(1, size(split(h, '[.]'))), i -> concat_ws('.', slice(split(h, '[.]'), i, size(split(h, '[.]')))))")

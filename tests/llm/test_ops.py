@@ -62,6 +62,28 @@ def test_url_index_finds_what_all_rules_find():
         assert index.pattern(u) == want
 
 
+def test_thousands_of_url_rules_by_index_by_join_and_one_by_one(spark):
+    prepare(spark)
+    r = random.Random(12)
+    word = lambda: r.choice(["ads", "track", "cdn", "img", "news", "shop", "É"]) + str(r.randrange(60))
+    forms = [lambda: f"||{word()}.example^", lambda: f"/{word()}/*{word()}|", lambda: f"@@||{word()}.example/{word()}^", lambda: f"*{word()}*", lambda: f"?{word()}="]
+    rules = [url_filter.PatternRule(r.choice(forms)()) for _ in range(1500)] + [url_filter.PatternRule("||É9.example^")]
+    urls = [f"https://{word()}.{word()}.example/{word()}/{word()}?{word()}=1" for _ in range(60)] + ["http://É9.example/", "http://x/" + "y" * 20_000, None, None]
+    index = url_filter.RuleIndex([], rules)
+    plain = [(__import__("re").compile(p.regex, __import__("re").DOTALL), p) for p in dict.fromkeys(rules)]
+    want = {}
+    for u in urls:
+        low = url_filter.lowered(u or "")
+        hit = min((p for x, p in plain if u and x.search(low)), key=lambda p: (not p.allows, p.text), default=None)
+        want[u] = hit and hit.text
+        assert u is None or index.pattern(u) == hit
+    assert sum(v is not None for v in want.values()) > 20 and want["http://É9.example/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for way in (url_filter.judge, url_filter.judge_by_join):
+        assert {r["url"]: r["pattern"] for r in way(pages, [], rules).collect()} == want
+        assert way(pages, [], rules).count() == len(urls) and way(pages.where("false"), [], rules).count() == 0
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -299,6 +321,40 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.identify(df, None).collect()} == {"und"}
 
 
+def test_language_sample_survives_repeated_ids_and_texts(spark):
+    """One doc_id for a whole language, or one text in very many rows, doesn't take it out of the sample."""
+    prepare(spark)
+    rows = [(1, " ".join(random.Random(i).choices("the and of with".split(), k=20)), "en") for i in range(800)] + [(i, " ".join(random.Random(i).choices("der und die mit".split(), k=20)), "de") for i in range(300)]
+    rows += [(2, "le et la avec", "fr")] * 3000 + [(3, None, "fr")] * 100
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == {"germanic": ["de", "en"], "romance": ["fr"]}
+    ask = spark.createDataFrame([(1, "of the with and the"), (2, "und die mit der"), (3, "avec le la")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(ask, model).collect()} == {1: "en", 2: "de", 3: "fr"}
+
+
+def test_language_votes_against_all_pairs_one_by_one():
+    r = np.random.default_rng(8)
+    names, centre = ["da", "de", "en", "nl", "es", "fr", "it", "xx"], r.random((8, 4096)) ** 8
+    x = np.sqrt(centre[np.repeat(np.arange(8), 20)] * r.random((160, 4096))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = language_id.Model.fit(x, list(np.repeat(names, 20)))
+    ask = r.random((60, 4096)).astype(np.float32)
+    ask = np.concatenate([x, ask / np.linalg.norm(ask, axis=1, keepdims=True)])
+    got, score = model.predict(ask)
+    for row, lang, p in zip(ask, got, score, strict=True):
+        family = model.families[int(np.argmax(row @ model.family_w + model.family_b))]
+        votes, margin = Counter(), Counter()
+        for a in model.languages[family]:
+            votes[a], margin[a] = 0, 0.0
+        for (a, b), (w, bias, _) in model.pairs.items():
+            if a in votes:
+                d = float(row @ w + bias)
+                votes[a if d >= 0 else b] += 1
+                margin[a] += d
+                margin[b] -= d
+        assert lang == min(votes, key=lambda s: (-votes[s], -round(margin[s], 4), s)) and 0 <= p <= 1
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -306,7 +362,6 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     one = Tokenizer.from_file(tokenizer_path())
-    one.encode_special_tokens = True
     pieces = packing.pack_documents(docs, tokenizer_path()).collect()
     by, seq = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -353,8 +408,7 @@ def test_word_tokenizer_is_encode():
     from tokenizers import Tokenizer
 
     one = Tokenizer.from_file(tokenizer_path())
-    one.encode_special_tokens = True
-    texts = ["Don't it's WE'LL  he'd x y.", "İstanbul Straße ǅ ﬁ é Å, a.b ...,", "<|endoftext|> hi", "日本語 テスト１２３ 12.5%", "a​b 👍🏽", "", "\x00a\x1cb\n,c", "ΑΣ ΣΑΣ.", "End.\nNext, one. two.", "ÀÉ, ÿ. µ."]
+    texts = ["Don't it's WE'LL  he'd x y.", "İstanbul Straße ǅ ﬁ é Å, a.b ...,", "<|endoftext|> hi", "a<|endoftext|>b <|ENDOFTEXT|> c", "日本語 テスト１２３ 12.5%", "a​b 👍🏽", "", "\x00a\x1cb\n,c", "ΑΣ ΣΑΣ.", "End.\nNext, one. two.", "ÀÉ, ÿ. µ."]
     tok = packing.WordTokenizer(tokenizer_path())
     for _ in range(2):
         assert [x.tolist() for x in tok(texts)] == [one.encode(t, add_special_tokens=False).ids for t in texts]
@@ -465,7 +519,8 @@ def test_near_copies_that_only_their_original_connects(spark, monkeypatch):
 # --- 10 --------------------------------------------------------------------------------------------------------------
 
 
-def test_sharding(spark, docs):
+def test_sharding(spark, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 2)
     got = sharding.shard(docs, 4).collect()
     want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
@@ -477,6 +532,16 @@ def test_sharding(spark, docs):
     assert sharding.shard(empty(spark, docs.schema), 4).count() == 0
 
 
+def test_one_large_group_leaves_no_shard_empty(spark):
+    rows = spark.range(1500).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, F.lit("same")).otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    size = {r["shard"]: r["n"] for r in sharding.shard(rows, 24).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    rest = sorted(size.values())[:-1]
+    assert len(size) == 24 and max(size.values()) == 12_000 and rest[-1] - rest[0] < 8 * 17
+    same = spark.createDataFrame([(None, "")] * 300 + [(1, "x")], "doc_id long, text string")
+    slots = sorted((r["shard"], r["slot"]) for r in sharding.shard(same, 2).collect())
+    assert slots == [(slots[0][0], i) for i in range(300)] + [(slots[-1][0], 0)] or slots == [(slots[0][0], 0)] + [(slots[-1][0], i) for i in range(300)]
+
+
 def test_best_fit_decreasing():
     r = random.Random(2)
     for _ in range(60):
