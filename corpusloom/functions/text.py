@@ -119,13 +119,6 @@ def vote_letter(reply: Column) -> Column:
     return F.regexp_extract(F.upper(F.regexp_replace(reply, r"^(?:\s*@\S+)+", "")), "[AB]", 0)
 
 
-def fenced_json(reply: Column) -> Column:
-    """The body of a fenced block, else from the first brace to the last, else the reply."""
-    fence = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    brace = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    return stripped(F.when(fence != "", fence).when(brace != "", brace).otherwise(reply))
-
-
 def head_mid_tail(text: Column, limit: int) -> Column:
     n = F.length(text)
     mid = F.substring(text, (F.floor(n / 2) - limit // 2 + 1).cast("int"), F.lit(limit))

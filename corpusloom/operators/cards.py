@@ -68,11 +68,14 @@ def segment_chars(lines: Column, profile: Profile) -> Column:
     return F.aggregate(lines, state, step, lambda a: F.when(a["open"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
 
 
-def gate_reason(text: Column, profile: Profile) -> Column:
-    """Why a text isn't taken in, or null: nontext, unextractable or not_scriptlike."""
+def gate_reason(text: Column, profile: Profile, readable: Column | None = None) -> Column:
+    """Why a text isn't taken in, or null: nontext, unextractable or not_scriptlike.
+
+    readable tells whether a file's suffix is one that is read at all; without it every text is.
+    """
     return (
-        F.when(text.isNull(), "unextractable")
-        .when(T.squeezed(text) == "", "nontext")
+        F.when(F.lit(False) if readable is None else ~readable, "nontext")
+        .when(text.isNull(), "unextractable")
         .when((T.solid_length(text) < profile.gate_chars) | (T.letter_ratio(text, profile) < profile.gate_ratio), "not_scriptlike")
     )
 
@@ -91,33 +94,51 @@ def exclusive_quartiles(values: Column) -> list[Column]:
     return [F.round(F.when(n == 0, 0.0).when(n < 4, few[i - 1]).otherwise(at(i)), 6) for i in (1, 2, 3)]
 
 
+#: Values by which a metric of a group is cut into runs.
+RUNS = 256
+
+
 def bands(rows: DataFrame, metrics: dict[str, str], group: str | None = None) -> DataFrame:
     """metric, n, p25, p50, p75 over all rows (group null) and for each group.
 
-    Positions come from ranks in a window of (group, metric), so no group is gathered into an array: only
-    the few rows that an exclusive quartile is made of are kept and combined.
+    Equal values are counted first. Approximate quantiles cut the different values of a metric into RUNS runs;
+    exact counts of the runs tell which few of them hold the places that an exclusive quartile is made of, and
+    only their values are ranked, each run by itself. No task sees a whole metric, and the result is exact.
     """
+    from corpusloom.sources.tables import broadcast_if_small, written
+
     stacked = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("v")) for m, c in metrics.items()]))
-    key = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    long = rows.select(key.alias("g"), stacked.alias("x")).select("g", "x.*").where("v IS NOT NULL")
-    both = long.withColumn("all", F.explode(F.array(F.lit(True), F.lit(False)))) if group else long.withColumn("all", F.lit(True))
-    both = both.withColumn("g", F.when(F.col("all"), F.lit(None).cast("string")).otherwise(F.col("g")))
-    # Equal values are counted first: what is ranked is the distinct values, by running totals.
-    counted = both.groupBy("all", "g", "metric", "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("all", "g", "metric").orderBy("v")
-    run = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("all", "g", "metric")))
-    lo, hi = F.col("upto") - F.col("c") + 1, F.col("upto")
+    own = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    long = rows.select(own.alias("grp"), stacked.alias("x")).select("grp", "x.*").where("v IS NOT NULL")
+    counted = long.groupBy("grp", "metric", "v").agg(F.count("*").alias("c"))
+    # A key that tells the rows of all from those of the group null.
+    each = counted.select(F.concat(F.lit("="), F.coalesce("grp", F.lit("\0"))).alias("key"), "grp", "metric", "v", "c")
+    if group:
+        total = counted.groupBy("metric", "v").agg(F.sum("c").alias("c"))
+        each = each.unionByName(total.select(F.lit("*").alias("key"), F.lit(None).cast("string").alias("grp"), "metric", "v", "c"))
+    each = written(each, "counted")
+    edges = each.groupBy("key", "metric").agg(F.percentile_approx("v", [i / RUNS for i in range(1, RUNS)], 4 * RUNS).alias("edges"))
+    each = each.join(broadcast_if_small(edges), ["key", "metric"]).withColumn("run", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    sizes = each.groupBy("key", "metric", "run").agg(F.sum("c").alias("size"))
+    of = Window.partitionBy("key", "metric")
+    sizes = sizes.withColumn("n", F.sum("size").over(of)).withColumn("before", F.sum("size").over(of.orderBy("run")) - F.col("size"))
+    n = F.col("n")
+    place = {i: F.greatest(F.least(F.floor(i * (n + 1) / 4), n - 1), F.lit(1)) for i in (1, 2, 3)}
+    few = [F.lit(1).cast("long"), F.floor((n + 1) / 2), F.floor((n + 2) / 2), n]
+    wanted = F.when(n < 4, F.array(*few)).otherwise(F.array(*place.values(), *[p + 1 for p in place.values()]))
+    sizes = sizes.where(F.exists(wanted, lambda p: (p > F.col("before")) & (p <= F.col("before") + F.col("size")))).drop("size")
+    ranked = each.join(broadcast_if_small(sizes), ["key", "metric", "run"])
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("key", "metric", "run").orderBy("v"))
+    ranked = ranked.withColumn("upto", upto)
 
     def value_at(pos: Column) -> Column:
-        return F.max(F.when((pos >= lo) & (pos <= hi), F.col("v")))
+        return F.max(F.when((pos > F.col("upto") - F.col("c")) & (pos <= F.col("upto")), F.col("v")))
 
-    n = F.col("n")
     parts, out = [], []
     for i, name in ((1, "p25"), (2, "p50"), (3, "p75")):
-        j = F.greatest(F.least(F.floor(i * (n + 1) / 4), n - 1), F.lit(1))
-        parts += [value_at(j).alias(f"a{i}"), value_at(j + 1).alias(f"b{i}")]
-        rest = i * (n + 1) - 4 * j
-        few = {1: F.col("low"), 2: (F.col("m1") + F.col("m2")) / 2.0, 3: F.col("high")}[i]
-        out.append(F.round(F.when(n < 4, few).otherwise((F.col(f"a{i}") * (4 - rest) + F.col(f"b{i}") * rest) / 4.0), 6).alias(name))
-    parts += [F.min("v").alias("low"), F.max("v").alias("high"), value_at(F.floor((n + 1) / 2)).alias("m1"), value_at(F.floor((n + 2) / 2)).alias("m2")]
-    return run.groupBy("all", "g", "metric", "n").agg(*parts).select(F.col("g").alias("grp"), "metric", "n", *out)
+        parts += [value_at(place[i]).alias(f"a{i}"), value_at(place[i] + 1).alias(f"b{i}")]
+        rest = i * (n + 1) - 4 * place[i]
+        short = {1: F.col("low"), 2: (F.col("m1") + F.col("m2")) / 2.0, 3: F.col("high")}[i]
+        out.append(F.round(F.when(n < 4, short).otherwise((F.col(f"a{i}") * (4 - rest) + F.col(f"b{i}") * rest) / 4.0), 6).alias(name))
+    parts += [value_at(p).alias(x) for p, x in zip(few, ("low", "m1", "m2", "high"), strict=True)]
+    return ranked.groupBy("key", "grp", "metric", "n").agg(*parts).select("grp", "metric", "n", *out)

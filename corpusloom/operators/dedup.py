@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,9 +96,9 @@ def window_index(items: DataFrame, text: str = "text") -> DataFrame:
 
 
 def window_hits(docs: DataFrame, index: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, hits: how many windows of a text, one at each character, are in the index; only texts with hits.
+    """doc_id, hits: how many windows of a text, one at each character, are in the index; a row for each text with hits.
 
-    A small index travels to the tasks; a larger one is joined to the windows' hashes.
+    A small index travels to the tasks; a larger one is joined to the windows. Rows with one doc_id stay apart in both.
     """
     small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     known = frozenset(r["w"] for r in index.collect()) if small else None
@@ -110,15 +111,19 @@ def window_hits(docs: DataFrame, index: DataFrame, doc_id: str = "doc_id", text:
             yield out.filter(pa.array([h > 0 for h in hits]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = [t[i : i + PROBE] for i in range(len(t) - PROBE + 1)] if t else []
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(w), b.schema.field(0).type), pa.array(w, pa.string())], names=["doc_id", "w"])
+                row += 1
+                for a in range(0, len(t or "") - PROBE + 1, 65_536):
+                    w = [t[i : i + PROBE] for i in range(a, min(a + 65_536, len(t) - PROBE + 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(w), b.schema.field(0).type), pa.array([row] * len(w)), pa.array(w, pa.string())], names=["doc_id", "row", "w"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     if small:
         return rows.mapInArrow(count, f"doc_id {kind}, hits long")
-    return rows.mapInArrow(cut, f"doc_id {kind}, w string").join(index, "w", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    windows = rows.mapInArrow(cut, f"doc_id {kind}, row long, w string")
+    return windows.join(index, "w", "left_semi").groupBy("doc_id", "row").agg(F.count("*").alias("hits")).drop("row")
 
 
 def manifest_difference(sealed: DataFrame, now: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def kind_counts(spark, d):
     return cards.cards(documents(spark, d).select("text"), P).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH g AS (SELECT CASE WHEN text IS NULL THEN 'unextractable' WHEN {_Z("text")} = '' THEN 'nontext'
+@query(f"""WITH g AS (SELECT CASE WHEN text IS NULL THEN 'unextractable'
 WHEN length({_Z("text")}) < {P.gate_chars} OR length(regexp_replace({_Z("text")}, '[^{P.letter}]', '', 'g')) / length({_Z("text")}) < {P.gate_ratio} THEN 'not_scriptlike' END r FROM documents)
 SELECT coalesce(r, 'ingested') AS reason, count(*) AS n FROM g GROUP BY 1""")
 def gate_reasons(spark, d):
@@ -147,17 +147,6 @@ def corpus_profile(spark, d):
 _PENALTY = ("dialogue_ratio", "sent_len_mean", "sent_len_cv")
 
 
-@query(f"""WITH {CARD}, {_bands("card", "lang", ", ".join(f"round(CAST({m} AS DOUBLE), 4) AS {m}" for m in _PENALTY)).replace("SELECT grp, metric", ", bd AS (SELECT grp, metric", 1)} WHERE grp IS NULL),
-f AS (UNPIVOT (SELECT doc_id, {", ".join(f"round(CAST({m} AS DOUBLE), 4) AS {m}" for m in _PENALTY)} FROM card) ON {", ".join(_PENALTY)} INTO NAME metric VALUE v),
-z AS (SELECT doc_id, CASE WHEN v BETWEEN p25 AND p75 THEN 0.0 ELSE least(1.0, abs(v - p50) / greatest(p75 - p25, 1e-9)) END z FROM f JOIN bd USING (metric))
-SELECT doc_id, round(greatest(0.0, 1 - 0.7 * avg(z)), 6) AS score FROM z GROUP BY doc_id""")
-def deterministic_score(spark, d):
-    c = cards.cards(documents(spark, d).select("doc_id", "text"), P).select("doc_id", *[F.round(F.col(m).cast("double"), 4).alias(m) for m in _PENALTY])
-    band = F.broadcast(cards.bands(c, {m: m for m in _PENALTY}))  # one row for each metric
-    long = c.select("doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in _PENALTY])).alias("x")).select("doc_id", "x.*").join(band, "metric")
-    z = F.when(F.col("v").between(F.col("p25"), F.col("p75")), 0.0).otherwise(F.least(F.lit(1.0), F.abs(F.col("v") - F.col("p50")) / F.greatest(F.col("p75") - F.col("p25"), F.lit(1e-9))))
-    return long.groupBy("doc_id").agg(F.round(F.greatest(F.lit(0.0), 1 - 0.7 * F.avg(z)), 6).alias("score"))
-
 
 # --- Fingerprints and containment ------------------------------------------------------------------------------
 

@@ -7,6 +7,7 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 #: Fixed value: suffixes that are read.
 SUFFIXES = ("txt", "md", "fountain", "docx", "doc", "wps", "pdf")
 CJK = re.compile("[一-鿿]")
-WIDE_RUN = re.compile("[一-鿿][\\u3000-\\u303f\\uff00-\\uffef一-鿿0-9A-Za-z\\s,.:;!?…—“”‘’、·%()\\[\\]-]{9,}")
+#: Fixed value: a run of wide text, ten characters at least.
+WIDE_RUN = re.compile(r"[\u4e00-\u9fff][\u4e00-\u9fff0-9A-Za-z，。！？：；“”‘’、…—·:;,.!?()\[\]（）【】《》\"'\s-]{9,}")
+#: What a damaged, cut or locked archive raises.
+DAMAGED = (zipfile.BadZipFile, KeyError, RuntimeError, zlib.error, EOFError, OSError, NotImplementedError)
 
 
 def decoded(data: bytes) -> str:
@@ -55,38 +59,42 @@ def docx_text(data: bytes) -> str | None:
     """Text runs of each paragraph, a line each; paragraphs without runs are left out; no zip gives None."""
     try:
         xml = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8", "ignore")
-    except (zipfile.BadZipFile, KeyError):
+    except DAMAGED:
         return None
     found = (re.findall(r"<w:t(?:\s[^>]*)?>(.*?)</w:t>", p, re.DOTALL) for p in re.findall(r"<w:p[ >].*?</w:p>", xml, re.DOTALL))
-    return "\n".join("".join(runs) for runs in found if runs)
+    return "\n".join("".join(runs) for runs in found if runs) or None
 
 
 def docx_flat(data: bytes) -> str | None:
     """Every paragraph end a line break, all tags gone, entities resolved."""
     try:
         xml = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8", "ignore")
-    except (zipfile.BadZipFile, KeyError):
+    except DAMAGED:
         return None
     return html.unescape(re.sub(r"<[^>]+>", "", xml.replace("</w:p>", "\n")))
 
 
-def doc_text(data: bytes) -> str:
-    """Runs of wide text in an old binary document; GBK where that finds more."""
-    text = "\n".join(WIDE_RUN.findall(data.decode("utf-16-le", "ignore")))
+def doc_text(data: bytes) -> str | None:
+    """Runs of wide text in an old binary document, their ends trimmed; GBK where that finds more; None without any."""
+
+    def runs(text: str) -> str:
+        return "\n".join(r.strip() for r in WIDE_RUN.findall(text))
+
+    text = runs(data.decode("utf-16-le", "ignore"))
     if 2 * len(text) < len(data) / 100:
         other = data.decode("gbk", "ignore")
-        text = max(text, "\n".join(WIDE_RUN.findall(other)), key=len)
-    return text
+        text = max(text, runs(other), key=len)
+    return text or None
 
 
 def pdf_text(data: bytes) -> str | None:
-    """Page texts; None if damaged or if no library for it is installed."""
+    """Page texts; None if damaged or empty, or if no library for it is installed."""
     try:
         from pypdf import PdfReader
     except ImportError:
         return None
     try:
-        return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
+        return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages) or None
     except Exception:  # noqa: BLE001 - a damaged file of any kind is unreadable
         return None
 
@@ -148,16 +156,23 @@ def append_ledger(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def _few(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write them as a table")
+    return rows
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small frame as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small frame as a Markdown table; ValueError if it has more rows than `most`."""
+    rows = _few(df, most)
     out = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(out + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 
 
 def yaml_text(df: DataFrame, name: str, most: int = 10_000) -> str:
-    """A small frame as a YAML list under a name; scalars are written as JSON, which YAML reads."""
-    body = [f"  - {{{', '.join(f'{k}: {json.dumps(v, ensure_ascii=False, default=str)}' for k, v in r.asDict().items())}}}" for r in df.limit(most).collect()]
+    """A small frame as a YAML list under a name; scalars are written as JSON, which YAML reads. ValueError beyond `most` rows."""
+    body = [f"  - {{{', '.join(f'{k}: {json.dumps(v, ensure_ascii=False, default=str)}' for k, v in r.asDict().items())}}}" for r in _few(df, most)]
     return "\n".join([f"{name}:", *body]) + "\n"
 
 

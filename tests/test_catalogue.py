@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import catalogue
+from corpusloom.plans import catalogue, judging_queries  # noqa: F401
 from tests.conftest import SF
 
 

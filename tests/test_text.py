@@ -1,5 +1,6 @@
 """Text primitives and cards against plain Python."""
 
+import random
 import statistics
 
 from pyspark.sql import functions as F
@@ -67,7 +68,20 @@ def test_bands_follow_the_exclusive_rule(spark):
 def test_gate(spark):
     rows = _rows(spark, [None, " \n", "短", "字" * 200, "x" * 300])
     got = [r[0] for r in rows.orderBy("id").select(cards.gate_reason(F.col("text"), ZH_DRAMA)).collect()]
-    assert got == ["unextractable", "nontext", "not_scriptlike", None, "not_scriptlike"]
+    assert got == ["unextractable", "not_scriptlike", "not_scriptlike", None, "not_scriptlike"]
+    got = [r[0] for r in rows.orderBy("id").select(cards.gate_reason(F.col("text"), ZH_DRAMA, F.col("id") != 3)).collect()]
+    assert got[3] == "nontext"
+
+
+def test_bands_of_skewed_ties_and_a_null_group(spark):
+    r = random.Random(3)
+    values = [(None if i % 7 == 0 else "ab"[i % 2], float(r.choice([0, 0, 0, 5, r.random(), 1e9 * r.random()]))) for i in range(3001)]
+    got = {x["grp"]: (x["n"], x["p25"], x["p50"], x["p75"]) for x in cards.bands(spark.createDataFrame(values, "g string, v double"), {"v": "v"}, "g").orderBy("n").collect() if x["grp"] or x["n"] > 2000}
+    for g in (None, "a", "b"):
+        of = [v for k, v in values if g is None or k == g]
+        assert got[g] == (len(of), *(round(q, 6) for q in statistics.quantiles(of, n=4)))
+    both = cards.bands(spark.createDataFrame(values, "g string, v double"), {"v": "v"}, "g").where("grp IS NULL")
+    assert sorted(x["n"] for x in both.collect()) == [sum(k is None for k, _ in values), 3001]
 
 
 def test_votes(spark):
