@@ -19,4 +19,5 @@ QUERIES = {
 SQL = {
     "op1_url_filters": q01_url.SQL,
     "op2_decontamination": q02_decontamination.SQL,
+    "op8_suffix_array_dedup": q08_suffix.SQL,
 }
