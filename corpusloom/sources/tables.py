@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AnsiIntervalType, BooleanType, DatetimeType, NumericType
 
-#: Most rows of a side that is broadcast after it was counted. A row is a few short columns.
+#: Most rows of a side that is broadcast after it was counted.
 BROADCAST_ROWS = 200_000
+#: Most bytes of its columns that have no fixed width.
+BROADCAST_BYTES = 48 << 20
 _LOCAL = "/tmp/checkpoints"
 
 
@@ -47,6 +50,13 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves it has at most so many rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is counted to have at most so many rows and bytes, else as it is.
+
+    Rows of fixed width are bounded by their number; of others the written-out width is summed up as well.
+    """
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (NumericType, BooleanType, DatetimeType, AnsiIntervalType))]
+    few = df.limit(most + 1)
+    width = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide])))) if wide else F.lit(0)
+    rows, size = few.agg(F.count("*"), F.coalesce(width, F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and size <= most_bytes else df
