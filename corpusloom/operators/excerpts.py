@@ -48,6 +48,37 @@ def brand_scenes(script: Column, brand: str, chars: int = BRAND) -> Column:
     return F.transform(F.filter(scenes(script), lambda s: s.rlike(brand)), lambda s: F.substring(s, 1, chars))
 
 
+#: Characters of a unit's body at least; shares of a spread sample for the head and the middle.
+UNIT, HEAD, MIDDLE = 200, 0.6, 0.2
+
+
+def units(text: Column, schemes: list[str]) -> Column:
+    """array<struct<title, body>>: what stands between titles, by the scheme that gives most units, the first one on a tie.
+
+    A scheme is a regular expression of a title; `^` and `$` are ends of lines. Short bodies are left out.
+    """
+
+    def by(scheme: str) -> Column:
+        marked = F.split(F.regexp_replace(text, f"(?m){scheme}", "\x01$0\x02"), "\x01")
+        each = F.transform(F.slice(marked, 2, F.greatest(F.size(marked), F.lit(1))), lambda u: F.split(u, "\x02"))
+        made = F.transform(each, lambda u: F.struct(T.stripped(F.get(u, F.lit(0))).alias("title"), T.stripped(F.get(u, F.lit(1))).alias("body")))
+        return F.filter(made, lambda u: F.length(u["body"]) >= UNIT)
+
+    best, *others = map(by, schemes)
+    for other in others:
+        best = F.when(F.size(other) > F.size(best), other).otherwise(best)
+    return best
+
+
+def spread(items: Column, most: int) -> Column:
+    """At most so many elements of an array: three fifths from the head, a fifth from the middle on, the rest from the tail."""
+    head, middle = int(most * HEAD), max(1, int(most * MIDDLE))
+    n = F.size(items)
+    from_middle = F.slice(items, F.floor(n / 2).cast("int") + 1, F.lit(middle))
+    tail = F.greatest(F.lit(1), most - head - F.size(from_middle))
+    return F.when(n > most, F.concat(F.slice(items, 1, head), from_middle, F.slice(items, n - tail + 1, tail))).otherwise(items)
+
+
 def anchor_pool(pairs: DataFrame, axis: str, order: str = "position", least: int = ANCHOR) -> DataFrame:
     """a_text, axis, first, other: different texts of enough characters, each with the axis of its first row.
 

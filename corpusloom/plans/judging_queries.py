@@ -55,6 +55,33 @@ def script_brand_scenes(spark, d):
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s").cast("long")).alias("chars"))
 
 
+_SCHEMES = (P.title, "^[A-Z][a-z]+,.*$")
+
+
+def _scheme_sql(scheme):
+    parts = f"(string_split(regexp_replace(text, '(?m)({scheme})', chr(1) || '\\1' || chr(2), 'g'), chr(1)))[2:]"
+    bodies = f"list_transform({parts}, lambda u: {_STRIP('string_split(u, chr(2))[2]')})"
+    return f"list_filter({bodies}, lambda b: length(b) >= 200)"
+
+
+_BEST = f"u AS (SELECT doc_id, {_scheme_sql(_SCHEMES[0])} a, {_scheme_sql(_SCHEMES[1])} b FROM documents), best AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END x FROM u)"
+
+
+@query(f"WITH {_BEST} SELECT doc_id, CAST(unnest(generate_series(1, len(x))) AS INT) AS unit, md5(unnest(x)) AS digest FROM best")
+def unit_schemes(spark, d):
+    found = documents(spark, d).select("doc_id", F.posexplode(excerpts.units(F.col("text"), list(_SCHEMES))).alias("i", "u"))
+    return found.select("doc_id", (F.col("i") + 1).alias("unit"), F.md5("u.body").alias("digest"))
+
+
+@query(f"""WITH {_BEST}, e AS (SELECT doc_id, len(x) n, unnest(generate_series(1, len(x))) i, unnest(x) b FROM best),
+k AS (SELECT doc_id, i, b FROM e WHERE n <= 5 OR i <= 3 UNION ALL SELECT doc_id, i, b FROM e WHERE n > 5 AND i = n // 2 + 1 UNION ALL SELECT doc_id, i, b FROM e WHERE n > 5 AND i = n)
+SELECT doc_id, md5(b) AS digest, count(*) AS n FROM k GROUP BY 1, 2""")
+def unit_spread(spark, d):
+    """Five of a document's units, spread over it."""
+    found = documents(spark, d).select("doc_id", F.explode(excerpts.spread(excerpts.units(F.col("text"), list(_SCHEMES)), 5)).alias("u"))
+    return found.groupBy("doc_id", F.md5("u.body").alias("digest")).agg(F.count("*").alias("n"))
+
+
 @query("""WITH f AS (SELECT text, min(struct_pack(p := doc_id, a := lang)) x FROM documents WHERE length(text) >= 300 GROUP BY 1)
 SELECT md5(text) AS digest, x.a AS axis, x.p AS first, x.a IS DISTINCT FROM 'de' AS other FROM f""")
 def anchor_pool(spark, d):

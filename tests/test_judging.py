@@ -62,6 +62,19 @@ def test_scenes_and_what_is_cut_from_them(spark):
     assert _one(spark, ["x" * 7000], lambda c: F.length(replies.limited(c, "annotation"))) == [6000]
 
 
+def test_units_by_the_better_scheme_and_their_spread(spark):
+    long = "w" * 250
+    text = f"cover\n第1集 a\n{long}\n第2集\nshort\n第一章\n{long}\n第二章\n {long} \n第三章 c\n{long}"
+    schemes = [r"^第[0-9]+集.*$", r"^第[一二三]+章.*$"]
+    got = _one(spark, [text, "none", None], lambda c: F.transform(excerpts.units(c, schemes), lambda u: F.concat_ws("|", u["title"], F.length(u["body"]))))
+    assert got[0] == ["第一章|250", "第二章|250", "第三章 c|250"] and got[1] == [] and not got[2]
+    for n in (3, 15, 16, 40):
+        want = list(range(n))
+        if n > 15:
+            want = [*want[:9], *want[n // 2 : n // 2 + 3], *want[-3:]]
+        assert spark.range(1).select(excerpts.spread(F.sequence(F.lit(0), F.lit(n - 1)), 15)).first()[0] == want
+
+
 def test_scores(spark):
     votes = spark.createDataFrame([("x", 1, 0, "B"), ("x", 1, 0, ""), ("x", 1, 1, "A"), ("x", 2, 0, "A"), ("y", 1, 1, None)], "axis string, pair int, direction int, letter string")
     got = {r["axis"]: (r["n_pairs"], r["score"], r["winrate"], r["enough"]) for r in judging.artefact_scores(votes).collect()}
