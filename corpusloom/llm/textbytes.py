@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 _rng = np.random.default_rng(20_240_229)
 #: Random odd-free constants: a value for each byte, and the odd base of the polynomial.
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
