@@ -6,8 +6,8 @@ repeated string are removed, in every place. Texts are UTF-8 bytes and strings n
 1. Anchors. In each window of `length` bytes the least hash of a `GRAM`-byte gram (the last of equal ones)
    is its anchor. Equal windows have equal anchors at equal offsets. Runs of windows with the same anchor
    form a string; it is filed under the anchor's hash. There are about two anchors to `length` bytes.
-2. Anchors that occur once are dropped. Equal strings are collapsed: a string with two places is repeated
-   as a whole. What is left are anchors with several different strings, such as the edges of shared passages.
+2. Anchors that occur once are dropped. Strings of equal hashes are collapsed to two of their places, the least
+   and the greatest; a string with one place is taken once.
 3. Column-wise construction. Those strings are laid out in columns by their distance from the anchor and
    worked on from the last column to the first: each round puts one symbol in front of every string's
    suffix, a stable sort by that symbol turns the order of the suffixes into the new one (the symbols in
@@ -23,12 +23,14 @@ their anchors: it is the column-wise method of the collection transform in its p
 whole texts, with as many rounds as the longest text has bytes, it would read and write the collection's
 transform in each of them.
 
-A task gets strings of about `BUCKET` anchors. An anchor with more than `MOST_STRINGS` different strings
+A task gets about `BUCKET` strings, all of an anchor together. An anchor with more than `MOST_STRINGS` of them
 is split by windows instead: each window's hash is counted, with partial aggregation. Texts that occur
 twice as a whole are handled by their hash and are worked on once.
 
-Identity: a whole text is told by 128 bits, a string by the hash of its anchor and that of all its bytes
-(64 bits each), a single window of a crowded anchor by the anchor, its place and 64 bits.
+Identity: a whole text is told by 128 bits. Whether windows of different texts are equal is settled by the
+construction, over the bytes of one or two places of each string; its further places are told by the hash of the
+anchor and that of all its bytes (64 bits each). A single window of a crowded anchor is told by the anchor, its
+place and 64 bits.
 
 Nulls and empty texts have no bytes. Texts shorter than `length` lose nothing. Repeated rows are copies, and
 all of them are removed, as both start somewhere else too; there are no ties to settle. An empty table gives
@@ -52,7 +54,7 @@ from corpusloom.llm.textbytes import blocks, prefix_hashes, span_hashes, text_by
 
 LENGTH, GRAM = 400, 32
 BUCKET = 4096
-#: Different strings of one anchor that one task lays out in columns.
+#: Strings of one anchor that one task lays out in columns.
 MOST_STRINGS = 50_000
 _POSITION_BITS = 21
 SEGMENTS = "array<struct<value:bigint,start:int,n:int,left:int,h:bigint>>"
@@ -133,9 +135,10 @@ def repeated_windows(texts: list[bytes], left: np.ndarray, n: np.ndarray, length
     size = np.array([len(t) for t in texts])
     first = before - left
     width = int((first + size).max(initial=0))
-    out = [np.zeros(k, bool) for k in n.tolist()]
+    ends = np.cumsum(n)
+    begin, found = ends - n, np.zeros(int(n.sum()), bool)
     if not m:
-        return out
+        return []
     table = np.zeros((m, width), np.uint8)
     for i, t in enumerate(texts):
         table[i, first[i] : first[i] + len(t)] = np.frombuffer(t, np.uint8)
@@ -153,26 +156,26 @@ def repeated_windows(texts: list[bytes], left: np.ndarray, n: np.ndarray, length
         order, common = order[place], new
         long = np.flatnonzero(common >= length)
         if len(long):
-            for i in np.unique(np.concatenate([order[long], order[long - 1]])).tolist():
-                if column - first[i] < n[i]:
-                    out[i][column - first[i]] = True
-    return out
+            at = np.concatenate([order[long], order[long - 1]])
+            at = at[column - first[at] < n[at]]
+            found[begin[at] + column - first[at]] = True
+    return np.split(found, ends[:-1])
 
 
 def _construct(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """value, h, spans: the repeated windows of the strings of a bucket."""
-    pdf = pdf.drop_duplicates(["value", "h"]).sort_values(["value", "h"], kind="stable")
+    pdf = pdf.drop_duplicates(["value", "h", "second"]).sort_values(["value", "h", "second"], kind="stable")
     found = repeated_windows(pdf["body"].tolist(), pdf["left"].to_numpy(), pdf["n"].to_numpy(), length)
     rows = []
-    for value, h, whole, windows in zip(pdf["value"], pdf["h"], pdf["whole"], found, strict=True):
-        if not whole and windows.any():
+    for value, h, second, windows in zip(pdf["value"], pdf["h"], pdf["second"], found, strict=True):
+        if not second and windows.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], windows.view(np.int8), [0]])))
             rows.append((value, h, np.stack([edge[::2], edge[1::2] + length - 1], 1).ravel().astype(np.int32)))
     return pd.DataFrame(rows, columns=["value", "h", "spans"])
 
 
 def _cut_strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted strings of texts: text, want array<struct<value, h, start, n, left, whole>>."""
+    """The bytes of the wanted strings of texts: text, want array<struct<value, h, start, n, left, second, crowded>>."""
     for b in batches:
         body, offsets = text_bytes(b.column(0))
         want = b.column(1)
@@ -185,7 +188,7 @@ def _cut_strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             data = body.tobytes() if a == 0 else data
             cut = pa.array([data[p:q] for p, q in zip(base[a : a + 20_000].tolist(), end[a : a + 20_000].tolist(), strict=True)], pa.binary())
             part = flat.slice(a, 20_000)
-            yield pa.RecordBatch.from_arrays([part.field(x) for x in ("value", "h", "n", "left", "whole")] + [cut], names=["value", "h", "n", "left", "whole", "body"])
+            yield pa.RecordBatch.from_arrays([part.field(x) for x in ("value", "h", "n", "left", "second")] + [cut], names=["value", "h", "n", "left", "second", "body"])
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -235,32 +238,33 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
     places = rows.where("segs IS NOT NULL").select("key", F.explode("segs").alias("s")).select("key", "s.*")
     spot = F.struct("key", "start")
-    by_value = places.groupBy("value").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"), F.min("h").alias("h0"), F.max("h").alias("h1"))
-    shared = written(by_value.where("lo <> hi").select("value", (F.col("h0") != F.col("h1")).alias("mixed")), "anchors")
+    by_value = places.groupBy("value").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
+    shared = written(by_value.where("lo <> hi").select("value"), "anchors")
     common = written(places.join(shared, "value"), "places")
-    each = common.groupBy("value", "h").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"), F.max("n").alias("n"), F.max("left").alias("left"), F.max("mixed").alias("mixed"))
-    each = written(each.select("value", "h", "n", "left", "mixed", (F.col("lo") != F.col("hi")).alias("whole"), F.col("lo.key").alias("key"), F.col("lo.start").alias("start")), "each")
+    each = common.groupBy("value", "h").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"), F.max("n").alias("n"), F.max("left").alias("left"))
+    each = written(each, "each")
     drop_written(shared)
-    all_of = F.array(F.lit(0), (F.col("n") + (length - 1)).cast("int"))
-    whole = each.where("whole").select("value", "h", all_of.alias("spans"))
-
-    # Bytes of the different strings under one anchor.
-    want = each.where("mixed")
-    crowd = want.groupBy("value").agg(F.count("*").alias("c"), F.min("whole").alias("open")).where("open = false")
-    want = want.join(crowd, "value")
-    wanted = want.groupBy("key").agg(F.collect_list(F.struct("value", "h", "start", "n", "left", "whole", "c")).alias("want"))
+
+    # Bytes of the strings under shared anchors, at one or two places each.
+    spots = F.when(F.col("lo") != F.col("hi"), F.array("lo", "hi")).otherwise(F.array("lo"))
+    want = each.select("value", "h", "n", "left", F.posexplode(spots).alias("p", "at")).select("value", "h", "n", "left", (F.col("p") == 1).alias("second"), "at.key", "at.start")
+    crowds = want.groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") > MOST_STRINGS).select("value", F.lit(True).alias("crowded"))
+    crowds = broadcast_if_small(written(crowds, "crowds"))
+    want = want.join(crowds, "value", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    wanted = want.groupBy("key").agg(F.collect_list(F.struct("value", "h", "start", "n", "left", "second", "crowded")).alias("want"))
     wanted = written(wanted, "wanted")
     few = source.select("key", "text").join(broadcast_if_small(wanted.select("key")), "key", "left_semi")
     few = few.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")  # copies are worked on once
-    usual = F.filter("want", lambda w: w["c"] <= MOST_STRINGS)
-    bodies = few.select("text", usual.alias("want")).where("size(want) > 0").mapInArrow(lambda it: _cut_strings(it, length), "value long, h long, n int, left int, whole boolean, body binary")
-    count = want.where(F.col("c") <= MOST_STRINGS).count()
+    usual = F.filter("want", lambda w: ~w["crowded"])
+    bodies = few.select("text", usual.alias("want")).where("size(want) > 0").mapInArrow(lambda it: _cut_strings(it, length), "value long, h long, n int, left int, second boolean, body binary")
+    count = wanted.agg(F.coalesce(F.sum(F.size(usual)), F.lit(0))).first()[0]
     buckets = max(1, -(-count // BUCKET))
     bucket = F.pmod(F.hash("value"), F.lit(buckets)).cast("int")
-    partial = bodies.groupBy(bucket.alias("bucket")).applyInPandas(lambda pdf: _construct(pdf, length), "value long, h long, spans array<int>")
-    parts = whole.unionByName(partial)
-    if wanted.where(F.exists("want", lambda w: w["c"] > MOST_STRINGS)).limit(1).count():
-        parts = parts.unionByName(_by_windows(few, length))
+    parts = bodies.groupBy(bucket.alias("bucket")).applyInPandas(lambda pdf: _construct(pdf, length), "value long, h long, spans array<int>")
+    if crowds.limit(1).count():
+        all_of = F.array(F.lit(0), (F.col("n") + (length - 1)).cast("int"))
+        twice = each.where("lo <> hi").join(crowds, "value", "left_semi").select("value", "h", all_of.alias("spans"))
+        parts = parts.unionByName(twice).unionByName(_by_windows(few, length))
     spans = written(parts, "spans")
     placed = common.select("key", "start", "value", "h").join(spans, ["value", "h"]).select("key", F.transform("spans", lambda p: p + F.col("start")).alias("spans"))
     cuts = placed.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -284,7 +288,7 @@ def _by_windows(few: DataFrame, length: int) -> DataFrame:
                 at = np.arange(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, value)), pa.array(np.full(n, h)), pa.array((at - left).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(span_hashes(p, at, at + length).view(np.int64))], names=["value", "h", "col", "at", "w"])
 
-    crowded = few.select("text", F.filter("want", lambda w: w["c"] > MOST_STRINGS).alias("want")).where("size(want) > 0")
+    crowded = few.select("text", F.filter("want", lambda w: w["crowded"] & ~w["second"]).alias("want")).where("size(want) > 0")
     each = written(crowded.mapInArrow(windows, "value long, h long, col int, at int, w long"), "windows")
     twice = each.groupBy("value", "col", "w").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("value", "col", "w")
     hit = each.join(twice, ["value", "col", "w"]).distinct()

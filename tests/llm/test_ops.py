@@ -466,6 +466,14 @@ def _brute_jp(a, b):
     return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in set(a) | set(b)) for i in a if i in b)
 
 
+def test_strings_of_equal_hashes_are_compared_by_their_bytes():
+    rng = np.random.default_rng(5)
+    x, y, z = (rng.integers(97, 123, 30).astype(np.uint8).tobytes() for _ in range(3))
+    rows = [(1, 7, 19, 0, False, x), (1, 7, 19, 0, True, x), (2, 8, 19, 0, False, y), (2, 8, 19, 0, True, z)]
+    got = suffix_dedup._construct(pd.DataFrame(rows, columns=["value", "h", "n", "left", "second", "body"]), 12)
+    assert [(r.value, r.h, r.spans.tolist()) for r in got.itertuples()] == [(1, 7, [0, 30])]
+
+
 def test_probability_jaccard_and_its_estimate():
     a, b = {i: 1 + i % 3 for i in range(60)}, {i: 1 + i % 2 for i in range(12, 70)}
     arrays = lambda d, t: (minhash.mixed(np.array(sorted(d), np.uint64) + np.uint64(1000 * t)), np.array([d[k] for k in sorted(d)]))
