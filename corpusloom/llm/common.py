@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +18,30 @@ from corpusloom.sources.tables import broadcast_if_small, drop_written, written
 #: Most rows and bytes of an Arrow batch; a longer row is a batch of its own.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
-__all__ = ["broadcast_if_small", "drop_written", "prepare", "text_key", "written"]
+__all__ = ["broadcast_if_small", "drop_written", "frugal", "give_back", "prepare", "text_key", "written"]
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a Python worker outlives its task, and would keep what the task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        return
+
+
+def frugal(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """work over a task's batches, with freed memory given back at its end."""
+
+    @wraps(work)
+    def run(*args):
+        try:
+            yield from work(*args)
+        finally:
+            give_back()
+
+    return run
 
 
 def text_key(text: Column) -> Column:

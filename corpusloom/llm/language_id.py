@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import frugal
 from corpusloom.llm.textbytes import LOWER, blocks, text_bytes
 
 UND = "und"
@@ -208,6 +209,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     kept = docs.drop(*[c for c in ("lang_pred", "score") if c != text])
     at = kept.columns.index(text)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score = np.full(len(b), UND, object), np.zeros(len(b))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import broadcast_if_small, drop_written, written
+from corpusloom.llm.common import broadcast_if_small, drop_written, frugal, written
 from corpusloom.llm.textbytes import LOWER, blocks, mixed, pieces, prefix_hashes, span_hashes, text_bytes, word_spans
 
 WIDTH = 5
@@ -161,6 +161,7 @@ def weighted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, count
 
 
+@frugal
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for b in batches:
@@ -270,6 +271,7 @@ def _cross(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"similarity": "float64"})
 
 
+@frugal
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         s = np.array([similarity(*_unpacked(x), *_unpacked(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from corpusloom.llm.common import frugal
+
 LENGTH = 2048
 END_ID = 1
 #: A group of documents is packed when it has so many tokens.
@@ -201,6 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     """One row for each piece (SCHEMA). ids are those of the text and then END_ID."""
     from pyspark.sql import functions as F
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, done = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import broadcast_if_small, drop_written, text_key, written
+from corpusloom.llm.common import broadcast_if_small, drop_written, frugal, give_back, text_key, written
 from corpusloom.llm.textbytes import blocks, prefix_hashes, span_hashes, text_bytes
 
 LENGTH, GRAM = 400, 32
@@ -93,6 +93,7 @@ def strings(x: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
+@frugal
 def _described(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """doc_id, key, n_bytes, segs: segs are the strings of a text, null for a copy in the same task."""
     seen: set[bytes] = set()
@@ -171,9 +172,12 @@ def _construct(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         if not second and windows.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], windows.view(np.int8), [0]])))
             rows.append((value, h, np.stack([edge[::2], edge[1::2] + length - 1], 1).ravel().astype(np.int32)))
+    del found, pdf
+    give_back()
     return pd.DataFrame(rows, columns=["value", "h", "spans"])
 
 
+@frugal
 def _cut_strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted strings of texts: text, want array<struct<value, h, start, n, left, second, crowded>>."""
     for b in batches:
@@ -200,6 +204,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]], 1)
 
 
+@frugal
 def _removed(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     """key, n_removed, n_spans, kept_sha256 and, if asked for, what is left of the text.
 
