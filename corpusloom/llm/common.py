@@ -10,7 +10,7 @@ from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import broadcast_if_small, drop_written, written
@@ -18,7 +18,7 @@ from corpusloom.sources.tables import broadcast_if_small, drop_written, written
 #: Most rows and bytes of an Arrow batch; a longer row is a batch of its own.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
-__all__ = ["broadcast_if_small", "drop_written", "frugal", "give_back", "prepare", "text_key", "written"]
+__all__ = ["again", "broadcast_if_small", "drop_written", "frugal", "give_back", "prepare", "text_key", "written"]
 
 
 def give_back() -> None:
@@ -44,6 +44,11 @@ def frugal(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return run
 
 
+def again(df: DataFrame) -> DataFrame:
+    """A table of written() read once more: for a plan that has it on both sides."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._corpusloom_path)
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a whole text; null is the empty text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import q01_url, q02_decontamination, q03_ann, q04_chat, q05_lm, q06_language, q07_packing, q08_suffix, q09_minhash, q10_sharding
+from corpusloom.llm import (
+    q01_url, q02_decontamination, q03_ann, q04_chat, q05_lm, q06_language, q07_packing, q08_suffix, q09_minhash, q10_sharding,
+    q11_hard_negatives, q12_filter_audit, q13_top_k,
+)
 
 QUERIES = {
     "op1_url_filters": q01_url.op1_url_filters,
@@ -15,9 +18,15 @@ QUERIES = {
     "op8_suffix_array_dedup": q08_suffix.op8_suffix_array_dedup,
     "op9_minhash_near_dedup": q09_minhash.op9_minhash_near_dedup,
     "op10_sharding": q10_sharding.op10_sharding,
+    "op11_hard_negative_mining": q11_hard_negatives.op11_hard_negative_mining,
+    "op12_filter_interaction_audit": q12_filter_audit.op12_filter_interaction_audit,
+    "op13_exact_top_k": q13_top_k.op13_exact_top_k,
 }
 SQL = {
     "op1_url_filters": q01_url.SQL,
     "op2_decontamination": q02_decontamination.SQL,
     "op8_suffix_array_dedup": q08_suffix.SQL,
+    "op11_hard_negative_mining": q11_hard_negatives.SQL,
+    "op12_filter_interaction_audit": q12_filter_audit.SQL,
+    "op13_exact_top_k": q13_top_k.SQL,
 }
