@@ -64,6 +64,17 @@ def _plain(text: str) -> str:
     return _STOP.sub(r" \1", text.lower())
 
 
+#: Tokenizers of this worker process by path, with the words that they know: a worker takes one task after the other.
+_OPEN: dict[str, WordTokenizer] = {}
+
+
+def opened(path: str) -> WordTokenizer:
+    """The worker's tokenizer for a path. What it remembers (at most `WORDS` words) changes no ids, only what they cost."""
+    if path not in _OPEN:
+        _OPEN[path] = WordTokenizer(path)
+    return _OPEN[path]
+
+
 class WordTokenizer:
     """ids of whole texts under a tokenizers file whose pre-tokenizer never joins over white space."""
 
@@ -205,7 +216,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, done = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tokenizer, part, done = opened(tokenizer_path), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
         held, end = 0, np.array([END_ID], "<u4")
