@@ -38,8 +38,8 @@ SEED_NUMBERS = 1 << 19
 BLOCK_ROWS, BLOCK_QUERIES, RUN = 16_384, 2_048, 1_024
 #: Coordinates of a query that are looked at, and queries that set a run's cut.
 FOCUS, TUNING = 4, 24
-#: What looking up an interval costs in rows of a matrix product, and a row that is gathered.
-LOOKUP, GATHER = 96, 6
+#: What looking up an interval costs in rows that are compared, and a row that is gathered to be compared.
+LOOKUP, GATHER = 32, 2
 SLACK = 1e-9
 
 
