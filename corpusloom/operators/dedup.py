@@ -12,9 +12,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators import nearindex
 from corpusloom.sources.tables import BROADCAST_ROWS, broadcast_if_small, drop_written, written
 
-GRAMS, DISTANCE = 8192, 3
+GRAMS = 8192
 PROBE, STRIDE = 50, 25
 
 
@@ -51,15 +52,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def near_pairs(prints: DataFrame) -> DataFrame:
-    """id_a < id_b, distance <= 3, between the first documents of each fingerprint. prints: id, simhash.
-
-    Four bands of 16 bits: at a distance of three at least one is equal, so no pair is missed.
-    """
-    first = prints.groupBy("simhash").agg(F.min("id").alias("id"))
-    bands = first.select("id", "simhash", F.posexplode(F.array(*[F.substring("simhash", 1 + 4 * i, 4) for i in range(4)])).alias("b", "v"))
-    a, b = (bands.select(F.col("id").alias(f"id_{s}"), F.col("simhash").alias(f"s_{s}"), "b", "v") for s in "ab")
-    pairs = a.join(b, ["b", "v"]).where("id_a < id_b").withColumn("distance", hamming(F.col("s_a"), F.col("s_b")).cast("int"))
-    return pairs.where(F.col("distance") <= DISTANCE).select("id_a", "id_b", "distance").distinct()
+    """id_a < id_b, distance <= 3, between the first documents of each fingerprint. prints: id, simhash."""
+    return nearindex.pairs(prints)
 
 
 def keep_first(prints: DataFrame) -> DataFrame:
@@ -88,6 +82,26 @@ def keep_first(prints: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("of", F.when(F.col("id") != F.col("first"), F.col("first"))).alias("duplicate_of"))
 
 
+#: Multiplier of the rolling hash of a window, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def rolling(text: str | None, width: int = PROBE) -> np.ndarray:
+    """64 bits for the window of `width` characters at each place of a text; equal windows have equal ones."""
+    c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(c) < width:
+        return np.zeros(0, np.uint64)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * _powers(_BASE, len(c)), dtype=np.uint64)])
+    return (upto[width:] - upto[:-width]) * _powers(_BACK, len(c) - width + 1)
+
+
 def window_index(items: DataFrame, text: str = "text") -> DataFrame:
     """Distinct PROBE-character windows, STRIDE apart; texts shorter than that have none."""
     t = F.col(text)
@@ -95,35 +109,53 @@ def window_index(items: DataFrame, text: str = "text") -> DataFrame:
     return items.select(F.explode(F.transform(starts, lambda i: F.substring(t, i, F.lit(PROBE)))).alias("w")).distinct()
 
 
-def window_hits(docs: DataFrame, index: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, hits: how many windows of a text, one at each character, are in the index; a row for each text with hits.
+def window_hits(docs: DataFrame, index: DataFrame, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
+    """doc_id, hits: how many windows of a text, one at each character, are in the index (w); a row for each text with hits.
 
-    A small index travels to the tasks; a larger one is joined to the windows. Rows with one doc_id stay apart in both.
+    Windows are told apart by a rolling hash, and those that may be in the index by their text. A small index (counted in
+    rows, each of PROBE characters) travels to the tasks; a larger one is joined to the hashes. Rows with one doc_id stay
+    apart. every: texts without hits have a row as well, and null and short texts count as such.
     """
+    index = written(index.select("w"), "windows")
     small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    known = frozenset(r["w"] for r in index.collect()) if small else None
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    if small:
+        known = frozenset(r["w"] for r in index.collect())  # at most BROADCAST_ROWS * PROBE characters
+        marks = np.unique(np.array([rolling(w)[0] for w in known], np.uint64)) if known else np.zeros(0, np.uint64)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hits = []
+                for t in b.column(1).to_pylist():
+                    h = rolling(t)
+                    at = np.flatnonzero(marks[np.minimum(np.searchsorted(marks, h), len(marks) - 1)] == h) if len(marks) else ()
+                    hits.append(sum(t[i : i + PROBE] in known for i in at))
+                out = pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.int64())], names=["doc_id", "hits"])
+                yield out if every else out.filter(pa.array([h > 0 for h in hits]))
+
+        return rows.mapInArrow(count, f"doc_id {kind}, hits long")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = [sum(map(known.__contains__, [t[i : i + PROBE] for i in range(len(t) - PROBE + 1)])) if t else 0 for t in b.column(1).to_pylist()]
-            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.int64())], names=["doc_id", "hits"])
-            yield out.filter(pa.array([h > 0 for h in hits]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(rolling(w)[0]) for w in b.column(0).to_pylist()], pa.uint64()).view(pa.int64())], names=["w", "h"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 row += 1
-                for a in range(0, len(t or "") - PROBE + 1, 65_536):
-                    w = [t[i : i + PROBE] for i in range(a, min(a + 65_536, len(t) - PROBE + 1))]
-                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(w), b.schema.field(0).type), pa.array([row] * len(w)), pa.array(w, pa.string())], names=["doc_id", "row", "w"])
+                h = rolling(t).view(np.int64)
+                for a in range(0, max(1, len(h)), 65_536):
+                    part = h[a : a + 65_536]
+                    w = [t[i : i + PROBE] for i in range(a, a + len(part))]
+                    lone = [] if len(part) or not every else [None]
+                    yield pa.RecordBatch.from_arrays([pa.array([d] * (len(w) or len(lone)), b.schema.field(0).type), pa.array([row] * (len(w) or len(lone)), pa.int64()), pa.array(w or lone, pa.string()), pa.array(part if len(part) else lone, pa.int64())], names=["doc_id", "row", "w", "h"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    if small:
-        return rows.mapInArrow(count, f"doc_id {kind}, hits long")
-    windows = rows.mapInArrow(cut, f"doc_id {kind}, row long, w string")
-    return windows.join(index, "w", "left_semi").groupBy("doc_id", "row").agg(F.count("*").alias("hits")).drop("row")
+    windows = rows.mapInArrow(cut, f"doc_id {kind}, row long, w string, h long")
+    marked = index.mapInArrow(hashed, "w string, h long").withColumn("found", F.lit(1))
+    met = windows.join(marked, ["h", "w"], "left" if every else "inner")
+    return met.groupBy("doc_id", "row").agg(F.count("found").alias("hits")).drop("row")
 
 
 def manifest_difference(sealed: DataFrame, now: DataFrame) -> DataFrame:
@@ -134,10 +166,11 @@ def manifest_difference(sealed: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def without_known(prints: DataFrame, stored: DataFrame) -> DataFrame:
-    """Incremental removal: new documents (id, simhash) against stored ones and each other; stored ids come first."""
-    old = stored.select((F.col("id") - F.lit(1 << 62)).alias("id"), "simhash")
-    kept = keep_first(old.unionByName(prints.select("id", "simhash")))
-    back = F.when(F.col("duplicate_of") < 0, F.col("duplicate_of") + F.lit(1 << 62)).otherwise(F.col("duplicate_of"))
-    return kept.where("id >= 0").select("id", back.alias("duplicate_of"))
-
+    """id, duplicate_of: new documents (id, simhash) against stored ones (id, simhash) and each other; stored ids come first.
 
+    Stored documents are met by key and not paired among themselves; `NearIndex` keeps their keys.
+    """
+    prints = written(prints.select("id", "simhash"), "batch")
+    known = written(nearindex.near_stored(prints, nearindex.keyed(stored)), "known")
+    fresh = written(prints.join(broadcast_if_small(known), "id", "left_anti"), "fresh")
+    return known.select("id", F.col("of").alias("duplicate_of")).unionByName(keep_first(fresh))
