@@ -26,7 +26,8 @@ def packs(pairs: DataFrame, k: int, size: int) -> DataFrame:
 
 def axis_metrics(votes: DataFrame) -> DataFrame:
     """The exam of each axis from votes (pair_id, axis, op_id, direction, letter); '' abstains and counts below the line."""
-    share = lambda d, letter: F.coalesce(F.avg(F.when(F.col("direction") == d, (F.col("letter") == letter).cast("double"))), F.lit(0.5))
+    got = F.coalesce(F.col("letter"), F.lit(""))  # a missing letter abstains as well
+    share = lambda d, letter: F.coalesce(F.avg(F.when(F.col("direction") == d, (got == letter).cast("double"))), F.lit(0.5))
     by_pair = votes.groupBy("axis", "pair_id", "op_id").agg(share(0, "A").alias("r0"), share(1, "B").alias("r1"))
     ok = ((F.col("r0") + F.col("r1")) / 2 > 0.5).cast("double")
     block = F.col("op_id").isin(*BLOCK_OPS)
@@ -68,11 +69,25 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFr
     return both.agg(F.count("*").alias("n"), F.round(rate, 4).alias("rate"), (rate >= GATES["agreement"]).alias("pass"))
 
 
+def abstentions(votes: DataFrame) -> DataFrame:
+    """axis, n_votes, n_abstain: votes without a letter."""
+    return votes.groupBy("axis").agg(F.count("*").alias("n_votes"), F.count_if(F.coalesce(F.col("letter"), F.lit("")) == "").alias("n_abstain"))
+
+
+def overall(metrics: DataFrame) -> DataFrame:
+    """n_axes, n_passed, pass: an exam is passed when all its axes are, and there is one."""
+    return metrics.agg(F.count("*").alias("n_axes"), F.count_if("pass").alias("n_passed")).withColumn("pass", (F.col("n_axes") > 0) & (F.col("n_passed") == F.col("n_axes")))
+
+
+def outcome(champion: Column, candidate: Column) -> Column:
+    """win, loss, tie or invalid of the candidate."""
+    return F.when(champion.isNull() | candidate.isNull(), "invalid").when(candidate > champion, "win").when(candidate < champion, "loss").otherwise("tie")
+
+
 def paired(champion: DataFrame, candidate: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """keys, outcome: win, loss, tie or invalid of the candidate."""
+    """keys, outcome of every run of the candidate against every run of the champion with its keys."""
     both = champion.select(*keys, F.col(score).alias("c0")).join(candidate.select(*keys, F.col(score).alias("c1")), keys)
-    out = F.when(F.col("c0").isNull() | F.col("c1").isNull(), "invalid").when(F.col("c1") > F.col("c0"), "win").when(F.col("c1") < F.col("c0"), "loss").otherwise("tie")
-    return both.select(*keys, out.alias("outcome"))
+    return both.select(*keys, outcome(F.col("c0"), F.col("c1")).alias("outcome"))
 
 
 def winrate(outcomes: DataFrame) -> DataFrame:
@@ -123,6 +138,24 @@ def quota_ledger(submissions: DataFrame, ts: str = "ts", quota: int = 20) -> Dat
     return submissions.groupBy(T.iso_week(F.col(ts)).alias("round")).agg(F.count("*").alias("used")).withColumn("over_quota", F.col("used") > quota)
 
 
+def admitted(submissions: DataFrame, key: str, ts: str = "ts", quota: int = 20, unit: str = "minute") -> DataFrame:
+    """submissions with round, place, admitted: in each ISO week the first `quota` by time and key are let in, later ones refused.
+
+    place is the running number in the round. It is made of the counts of the time units before, at most some ten thousand a
+    round, and the place within the unit; so no task has a whole round, and a finer unit splits a crowded one. Submissions without a
+    time have no round and are refused.
+    """
+    rows = submissions.withColumn("round", T.iso_week(F.col(ts))).withColumn("__unit", F.date_trunc(unit, F.col(ts)))
+    upto = F.sum("__n").over(Window.partitionBy("round").orderBy("__unit"))
+    before = rows.where("round IS NOT NULL").groupBy("round", "__unit").agg(F.count("*").alias("__n")).select("round", "__unit", (upto - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("round", "__unit").orderBy(ts, key))
+    timed = rows.where("round IS NOT NULL").withColumn("__r", within).join(before, ["round", "__unit"])
+    place = F.col("__before") + F.col("__r")
+    out = timed.select(*[f"`{c}`" for c in submissions.columns], "round", place.alias("place"), (place <= quota).alias("admitted"))
+    late = rows.where("round IS NULL").select(*[f"`{c}`" for c in submissions.columns], "round", F.lit(None).cast("long").alias("place"), F.lit(False).alias("admitted"))
+    return out.unionByName(late)
+
+
 def promoted(ab: DataFrame) -> DataFrame:
     """The declared rule: interval above parity, twelve briefs, a sealed confirmation."""
     return ab.withColumn("promote", F.coalesce((F.col("ci_lo") > 0.5) & (F.col("n_briefs") >= 12) & F.col("sealed_score").isNotNull(), F.lit(False)))
@@ -191,6 +224,40 @@ def stratified(rows: DataFrame, strata: list[str], key: str, n: int) -> DataFram
     return rows.withColumn("__rank", rank).join(broadcast_if_small(give), strata).where("__rank <= __give").drop("__rank", "__size", "__give")
 
 
+def apportioned(sizes: DataFrame, strata: list[str], size: str, n: int) -> DataFrame:
+    """strata, give: n seats over strata (a row each) by largest remainder, with one for each stratum first.
+
+    All n are given where there are as many rows. Of more strata than seats the largest get one. Ties go to the larger stratum, then
+    by name. A stratum never gets more than it has.
+    """
+    one = Window.partitionBy(F.lit(1))  # over strata, not over rows
+    by_size = F.row_number().over(one.orderBy(F.desc(size), *strata))
+    table = sizes.select(*strata, F.col(size).cast("long").alias("__size"), by_size.alias("__by"), F.count("*").over(one).alias("__strata"), F.sum(size).over(one).alias("__total"))
+    seats = F.least(F.lit(n), F.col("__total")) - F.col("__strata")
+    rest = F.greatest(F.col("__total") - F.col("__strata"), F.lit(1))
+    # Whole numbers throughout: the share is seats * (size - 1) / rest.
+    table = table.withColumn("__whole", F.expr(f"(least({n}L, __total) - __strata) * (__size - 1) div greatest(__total - __strata, 1L)"))
+    table = table.withColumn("__over", seats * (F.col("__size") - 1) - F.col("__whole") * rest)
+    left = seats - F.sum("__whole").over(one)
+    place = F.row_number().over(one.orderBy(F.desc("__over"), F.desc("__size"), *strata))
+    give = F.when(F.col("__strata") >= n, (F.col("__by") <= n).cast("int")).otherwise(1 + F.col("__whole") + (place <= left).cast("int"))
+    return table.select(*strata, give.cast("int").alias("give"))
+
+
+def stratified_exact(rows: DataFrame, strata: list[str], key: str, n: int) -> DataFrame:
+    """rows of a sample of exactly n (or all, if fewer), each stratum with its apportioned share; within a stratum by md5 of the key, then the key.
+
+    No stratum is sorted as a whole: each task keeps the n first of a stratum before they meet.
+    """
+    sizes = rows.groupBy(*strata).agg(F.count("*").alias("__n"))
+    give = apportioned(sizes, strata, "__n", n)
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(F.md5(F.col(key).cast("string")), key))
+    few = rows.withColumn("__rank", rank).where(F.col("__rank") <= n)
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"g.{c}")) for c in strata]
+    met = few.alias("s").join(broadcast_if_small(give).alias("g"), same)
+    return met.where("__rank <= give").select("s.*").drop("__rank")
+
+
 def best_of(scores: DataFrame, group: str, item: str) -> DataFrame:
     """group, item: the item with the highest rate of wins in a round of comparisons (group, item, won); ties by item."""
     rate = scores.groupBy(group, item).agg(F.avg(F.col("won").cast("double")).alias("rate"))

@@ -75,9 +75,9 @@ SELECT grp, metric, CAST(n AS BIGINT) n, {cols} FROM q"""
 
 @query(f"WITH {CARD} SELECT doc_id, n_lines, total_chars, CAST(coalesce(list_max(list_transform(ls, lambda s: length(s))), 0) AS INT) AS max_line FROM card")
 def doc_stats(spark, d):
-    longest = F.coalesce(F.array_max(F.transform(T.lines(F.col("text")), F.length)), F.lit(0))
-    ls = T.lines(F.col("text"))
-    return documents(spark, d).select("doc_id", F.size(ls).alias("n_lines"), T.solid_length(F.col("text")).cast("long").alias("total_chars"), longest.alias("max_line"))
+    of = T.let(T.lines(F.col("text")), lambda ls: F.struct(F.size(ls).alias("n"), F.coalesce(F.array_max(F.transform(ls, F.length)), F.lit(0)).alias("longest")))
+    rows = documents(spark, d).select("doc_id", of.alias("x"), T.solid_length(F.col("text")).cast("long").alias("total_chars"))
+    return rows.select("doc_id", F.col("x.n").alias("n_lines"), "total_chars", F.col("x.longest").alias("max_line"))
 
 
 @query(f"WITH {CARD} SELECT doc_id, CAST(len(sl) AS INT) AS n_sent, round(sent_len_mean, 6) AS mean, round(sent_len_cv, 6) AS cv FROM card")
@@ -196,9 +196,9 @@ def contamination_hits(spark, d):
 
 @query(f"WITH {_HITS} SELECT doc_id, coalesce(hits, 0) > 0 AS leaked FROM documents LEFT JOIN ht USING (doc_id) WHERE length(text) >= 50")
 def contamination_verdict(spark, d):
-    docs = documents(spark, d)
-    hits = dedup.window_hits(docs, dedup.window_index(table(spark, d, "benchmark")))
-    return docs.where(F.length("text") >= 50).select("doc_id").join(hits, "doc_id", "left").select("doc_id", (F.coalesce("hits", F.lit(0)) > 0).alias("leaked"))
+    docs = documents(spark, d).where(F.length("text") >= 50)
+    hits = dedup.window_hits(docs, dedup.window_index(table(spark, d, "benchmark")), every=True)
+    return hits.select("doc_id", (F.col("hits") > 0).alias("leaked"))
 
 
 # --- Lexicon ------------------------------------------------------------------------------------------------------
@@ -413,9 +413,7 @@ _AB = "ab AS (SELECT doc_id, lang, CAST('0x' || substr(md5(doc_id || 'x'), 1, 6)
 def _ab(spark, d):
     docs = documents(spark, d)
     h = lambda s, m: F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(s))), 1, 6), 16, 10).cast("long") % m
-    champion = docs.select("doc_id", "lang", h("x", 10).alias("score"))
-    candidate = docs.select("doc_id", "lang", F.when(F.col("doc_id") % 50 != 0, h("y", 11)).alias("score"))
-    return exam.paired(champion, candidate, ["doc_id", "lang"])
+    return docs.select("doc_id", "lang", exam.outcome(h("x", 10), F.when(F.col("doc_id") % 50 != 0, h("y", 11))).alias("outcome"))
 
 
 @query(f"WITH {_AB} SELECT count(c1) AS n_pairs, count(*) FILTER (c1 > c0) AS wins, count(*) FILTER (c1 < c0) AS losses, count(*) FILTER (c1 = c0) AS ties, round((count(*) FILTER (c1 > c0) + 0.5 * count(*) FILTER (c1 = c0)) / count(c1), 4) AS winrate FROM ab")
@@ -435,17 +433,12 @@ def quota_ledger(spark, d):
     return exam.quota_ledger(table(spark, d, "events"))
 
 
-_LEDGER = [
-    (1, 1.0, "ab", "accepted", 0.62, 0.55, 0.70, 0.60),
-    (2, 2.0, "ab", "rejected", 0.48, 0.40, 0.55, 0.30),
-    (3, 3.0, "ab", "promoted", 0.71, 0.61, 0.80, 0.69),
-    (4, 4.0, "blind_corpus", None, 0.40, None, None, None),
-    (5, 5.0, "blind_corpus", None, 0.45, None, None, None),
-    (6, 6.0, "ab", "rejected: noise", 0.51, 0.44, 0.58, None),
-]
-_LCOLS = "round bigint, ts double, kind string, decision string, winrate double, ci_lo double, ci_hi double, sealed_score double"
-_LNAMES = ", ".join(c.split()[0] for c in _LCOLS.split(", "))
-_LSQL = "lg AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v} AS {'BIGINT' if isinstance(v, int) else 'DOUBLE'})" for v in r) + ")" for r in _LEDGER) + f") v({_LNAMES}))"
+#: An experiment ledger of the events: a third of the users' events are comparisons, a third blind trials.
+_LEDGER = """SELECT event_id AS round, CAST(event_id AS DOUBLE) AS ts, CASE user_id % 3 WHEN 0 THEN 'ab' WHEN 1 THEN 'blind_corpus' ELSE 'other' END AS kind,
+CASE event_id % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'promoted' WHEN 3 THEN 'rejected: noise' END AS decision,
+CASE WHEN event_id % 7 <> 0 THEN value / 1000 END AS winrate, CASE WHEN event_id % 7 <> 0 THEN value / 1100 END AS ci_lo, CASE WHEN event_id % 7 <> 0 THEN value / 900 END AS ci_hi,
+CASE WHEN event_id % 4 <> 0 THEN value / 1000 + (event_id % 10) / 25.0E0 END AS sealed_score FROM events"""
+_LSQL = f"lg AS ({_LEDGER})"
 _PANELS = {
     "sealed": "SELECT round, winrate, ci_lo, ci_hi, sealed_score, coalesce(ci_lo, 0) > 0.5 AS ahead FROM lg WHERE kind = 'ab' AND sealed_score IS NOT NULL",
     "divergence": "SELECT round, winrate, sealed_score, abs(sealed_score - winrate) > 0.15 AS alarm FROM lg WHERE kind = 'ab' AND sealed_score IS NOT NULL AND winrate IS NOT NULL",
@@ -455,9 +448,16 @@ _PANELS = {
 }
 
 
+def _columns(line: str) -> list[str]:
+    """The columns of a line of the ledger's SQL; none has a comma of its own."""
+    return line.split(", ")
+
+
 def _panel(name: str):
     def run(spark, d):
-        return exam.panels(spark.createDataFrame(_LEDGER, _LCOLS))[name]
+        events = table(spark, d, "events")
+        columns = _LEDGER.removeprefix("SELECT ").removesuffix(" FROM events")
+        return exam.panels(events.select(*[F.expr(c) for c in columns.split(",\n") for c in _columns(c)]))[name]
 
     run.__name__ = f"panel_{name}"
     return query(f"WITH {_LSQL} {_PANELS[name]}")(run)
@@ -534,13 +534,20 @@ def episode_text(spark, d):
     return rows.groupBy("conv_id").agg(joined.alias("text"))
 
 
-_REPLIES = [(1, "1:A 2:B 3:A"), (2, "A B"), (3, "1:B 3:A"), (4, "@npc hi 2:a 2:B"), (5, "nothing"), (6, "")]
+#: A reply for each conversation: numbered letters, letters alone, or neither. A letter tells whether a turn has an even length.
+_REPLY_LETTERS = "list(CASE WHEN length(text) % 2 = 0 THEN 'A' ELSE 'B' END ORDER BY turn)"
 
 
-@query("SELECT * FROM (VALUES (1, 'A,B,A'), (2, 'A,B,'), (3, 'B,,A'), (4, ',B,'), (5, ',,'), (6, ',,')) v(id, letters)".replace("(1,", "(CAST(1 AS BIGINT),"))
+@query(f"""WITH l AS (SELECT conv_id, {_REPLY_LETTERS} a, list(turn ORDER BY turn) t FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+n AS (SELECT conv_id, a, list_filter(list_zip(list_transform(t, lambda x: x + 1), a), lambda p: p[1] BETWEEN 1 AND 6) p FROM l)
+SELECT conv_id, array_to_string(list_transform([1, 2, 3, 4, 5, 6], lambda i: CASE WHEN conv_id % 3 = 2 THEN '' WHEN conv_id % 3 = 0 AND len(p) > 0 THEN coalesce(list_filter(p, lambda x: x[1] = i)[-1][2], '') ELSE coalesce(a[i], '') END), ',') AS letters FROM n""")
 def packed_vote_parse(spark, d):
-    rows = spark.createDataFrame(_REPLIES, "id bigint, reply string")
-    return rows.select("id", F.array_join(T.packed_votes(F.col("reply"), 3), ",").alias("letters"))
+    letter = F.when(F.length("text") % 2 == 0, "a").otherwise("B")
+    turns = table(spark, d, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", letter.alias("letter")))).alias("x"))
+    numbered = F.array_join(F.transform("x", lambda v: F.concat((v["turn"] + 1).cast("string"), F.lit(": "), v["letter"])), " ")
+    alone = F.array_join(F.transform("x", lambda v: v["letter"]), " ")
+    reply = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("@judge "), numbered)).when(F.col("conv_id") % 3 == 1, alone).otherwise("no vote yet".replace("a", ""))
+    return turns.select("conv_id", F.array_join(T.packed_votes(reply, 6), ",").alias("letters"))
 
 
 @query("""WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda s: regexp_replace(s, '<[^>]*>', '', 'g')), lambda s: s <> '') ps FROM pages)

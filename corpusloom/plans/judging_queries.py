@@ -142,8 +142,7 @@ def deterministic_score(spark, d):
 
     c = cards.cards(documents(spark, d).select("doc_id", "text"), P)
     slop = lexicon.density(F.col("text"), list(_PHRASES)).alias("slop")
-    texts = documents(spark, d).select("doc_id", slop)
-    rows = written(c.select("doc_id", "kind", *[F.round(F.col(m).cast("double"), 4).alias(m) for m in _PENALTY]).join(texts, "doc_id"), "scored")
+    rows = written(c.select("doc_id", "kind", slop, *[F.round(F.col(m).cast("double"), 4).alias(m) for m in _PENALTY]), "scored")
     band = cards.bands(rows.where("kind = 'drama_script'"), {m: m for m in _PENALTY})
     return judging.penalty_score(rows, band, list(_PENALTY), "slop").select("doc_id", "score")
 
