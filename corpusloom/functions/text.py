@@ -94,7 +94,7 @@ def split_of(key: Column) -> Column:
 
 
 def iso_week(ts: Column) -> Column:
-    return F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), ts), F.weekofyear(ts))
+    return F.when(ts.isNotNull(), F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), ts), F.weekofyear(ts)))
 
 
 def last_of_each(pairs: Column) -> Column:
