@@ -42,6 +42,10 @@ COPIES, COPY_RATIO = 6, 1.5
 SPREAD = 0.1
 #: Queries that meet every row to find how many lists must be read, and the share of their neighbours that these must hold.
 CALIBRATION, COVER = 128, 0.97
+#: Up to so many lists a query reads all of them, and the result is exact.
+ALL_LISTS = 64
+#: Vectors beyond k + 1 whose scores are summed up again.
+SPARE = 8
 #: Lists that a query reads first.
 NEAR = 4
 #: Beyond this share of all lists, centroids are compared one by one and not by the graph.
@@ -281,7 +285,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     few = bounded(asking, CALIBRATION, n_queries)[:CALIBRATION]
     if not len(few):
         few = bounded(asking, n_queries, n_queries)[:CALIBRATION]
-    most, ratio = graph.calibrated(asked(few), *_neighbours(classes, few, k, longest), cover)
+    if n_lists <= ALL_LISTS:
+        most, ratio = n_lists, float("inf")
+    else:
+        most, ratio = graph.calibrated(asked(few), *_neighbours(classes, few, k, longest), cover)
 
     def place(it, queried: bool):
         for pdf in it:
@@ -324,7 +331,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     others = probes.where("NOT near").select("list", "i").join(least, "i", "left").select("list", "i", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
     found = near.unionByName(compared(others))
     found = found.groupBy("q", "i").agg(F.max("score").alias("score"), F.first("low").alias("low"))
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "low"))).where(F.col("r") <= k + 1)
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "low"))).where(F.col("r") <= k + 1 + SPARE)
+    # Matrix products differ in their last bits with their shape: what is returned is summed up term by term, in order.
+    term_by_term = F.aggregate(F.zip_with("e", "qe", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    best = best.join(again().select("i", "e"), "i").join(asking.select(F.col("i").alias("q"), F.col("e").alias("qe")), "q").select("q", "i", "low", term_by_term.alias("score"))
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "low"))).where(F.col("r") <= k + 1)
     hits = best.join(again().select("i", "ids"), "i").select("q", "score", F.explode("ids").alias("vec_id"))
     hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     top = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))

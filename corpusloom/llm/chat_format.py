@@ -14,9 +14,9 @@ holds one of them, it is broken by a zero-width space, so that a text can't forg
 by two in the order of conv_id within a salt of the group, the better one (more assistant text, then the
 smaller conv_id) as chosen. No group is ever in one task: first turns are hashed together with the salt.
 A conversation without a partner in its salt meets those left over in other salts. One that stays alone gets a
-rejected conversation that is its own up to its last assistant turn, which is replaced by that of its neighbour
-in a small bucket of such conversations. Only one without an assistant turn, or whose neighbour has none or
-the same, is returned without a rejected one.
+rejected conversation that is its own up to its last assistant turn, which is replaced by that of its next
+neighbour, in a small bucket of such conversations, whose last answer is another one. Only one without an assistant turn, or all of
+whose neighbours have the same answer, is returned without a rejected one.
 
 Nulls: a null text is empty, a null role is `unknown`; turns without conv_id form one conversation;
 turns of equal number follow each other by role, then text. Repeated rows are repeated turns. An empty table
@@ -110,39 +110,51 @@ def pair_up(turns: DataFrame, salts: int = SALTS) -> DataFrame:
     whole = written(conversations(turns), "conversations")  # read by several branches
     good = F.aggregate(F.col("turns"), F.lit(0), lambda n, t: n + F.when(t["role"] == ASSISTANT, F.length(t["text"])).otherwise(0))
     first = F.get(F.col("turns"), F.lit(0))
-    ids = whole.select("conv_id", F.xxhash64(first["role"], first["text"]).alias("f1"), F.hash(first["text"], first["role"]).alias("f2"), good.alias("good"))
+    ids = whole.select("conv_id", F.xxhash64(first["role"], first["text"]).alias("f1"), F.hash(first["text"], first["role"]).alias("f2"), good.alias("good"), F.xxhash64(_answer(F.col("turns"))["text"]).alias("a"), _answer(F.col("turns")).isNotNull().alias("has"))
+    ids = ids.withColumn("a", F.when(F.col("has"), F.col("a"))).drop("has")
     ids = ids.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(salts)).cast("int"))
 
     def two_by_two(rows: DataFrame, *keys: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("conv_id")) - 1
-        return rows.withColumn("pair", F.floor(place / 2)).groupBy(*keys, "pair").agg(F.collect_list(F.struct((-F.col("good")).alias("worse"), "conv_id")).alias("m")).withColumn("m", F.array_sort("m"))
+        return rows.withColumn("pair", F.floor(place / 2)).groupBy(*keys, "pair").agg(F.collect_list(F.struct((-F.col("good")).alias("worse"), "conv_id", "a")).alias("m")).withColumn("m", F.array_sort("m"))
 
     paired = two_by_two(ids, "f1", "f2", "salt")
-    single = paired.where("size(m) = 1").select("f1", "f2", (-F.get("m", F.lit(0))["worse"]).alias("good"), F.get("m", F.lit(0))["conv_id"].alias("conv_id"))
+    single = paired.where("size(m) = 1").select("f1", "f2", (-F.get("m", F.lit(0))["worse"]).alias("good"), F.get("m", F.lit(0))["conv_id"].alias("conv_id"), F.get("m", F.lit(0))["a"].alias("a"))
     # At most one conversation of each salt is left over: at most `salts` rows of a group meet here.
     pairs = paired.where("size(m) = 2").select("m").unionByName(two_by_two(single, "f1", "f2").select("m"))
     side = lambda i: F.get("m", F.lit(i))["conv_id"]
-    pairs = pairs.select(side(0).alias("chosen_id"), side(1).alias("rejected_id"), (F.size("m") == 2).alias("both"))
+    pairs = pairs.select(side(0).alias("chosen_id"), side(1).alias("rejected_id"), (F.size("m") == 2).alias("both"), F.get("m", F.lit(0))["a"].alias("a"))
     c = whole.select(F.col("conv_id").alias("c_id"), F.col("turns").alias("chosen"))
     r = whole.select(F.col("conv_id").alias("r_id"), F.col("turns").alias("rejected"))
     two = pairs.where("both")
     real = two.join(c, F.col("chosen_id").eqNullSafe(F.col("c_id"))).join(r, F.col("rejected_id").eqNullSafe(F.col("r_id"))).select("chosen_id", "chosen", "rejected_id", "rejected")
-    return real.unionByName(_with_neighbours(pairs.where("NOT both").select(F.col("chosen_id").alias("conv_id")), whole))
+    return real.unionByName(_with_neighbours(pairs.where("NOT both").select(F.col("chosen_id").alias("conv_id"), "a"), whole))
+
+
+def _answer(turns: Column) -> Column:
+    """The last assistant turn, or null."""
+    return F.get(F.reverse(F.filter(turns, lambda t: t["role"] == ASSISTANT)), F.lit(0))
 
 
 def _with_neighbours(alone: DataFrame, whole: DataFrame) -> DataFrame:
-    """chosen_id, chosen, rejected_id, rejected for conversations without a partner."""
-    buckets = max(1, alone.count() // BUCKET)
-    rows = alone.withColumn("b", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)))
+    """chosen_id, chosen, rejected_id, rejected for conversations without a partner (conv_id, a: what stands for the last answer)."""
+    alone = written(alone, "alone")
+    buckets = max(1, alone.where("a IS NOT NULL").count() // BUCKET)
+    rows = alone.where("a IS NOT NULL").withColumn("b", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)))
     order = Window.partitionBy("b").orderBy("conv_id")
-    # The next one in the bucket, the first one behind the last.
-    following = F.coalesce(F.lead(F.struct("conv_id")).over(order), F.first(F.struct("conv_id")).over(order))
-    pairs = rows.select("conv_id", following["conv_id"].alias("rejected_id"))
+    # All of the bucket, from the next one on round to the one before: some BUCKET ids and answers, no texts.
+    ring = F.collect_list(F.struct("conv_id", "a")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    place = F.row_number().over(order)
+    rows = rows.select("conv_id", "a", ring.alias("ring"), place.alias("place"))
+    turned = F.concat(F.slice("ring", F.col("place") + 1, F.size("ring")), F.slice("ring", F.lit(1), F.col("place")))
+    next_ = F.get(F.filter(turned, lambda x: x["a"] != F.col("a")), F.lit(0))
+    pairs = rows.select("conv_id", next_.alias("next")).select("conv_id", F.col("next").isNotNull().alias("met"), F.col("next.conv_id").alias("rejected_id"))
     own = whole.select(F.col("conv_id").alias("c_id"), F.col("turns").alias("chosen"))
-    answer = F.get(F.reverse(F.filter("turns", lambda t: t["role"] == ASSISTANT)), F.lit(0))
-    other = whole.select(F.col("conv_id").alias("r_id"), answer.alias("answer"))
-    both = pairs.join(own, F.col("conv_id").eqNullSafe(F.col("c_id"))).join(other, F.col("rejected_id").eqNullSafe(F.col("r_id")))
+    other = whole.select(F.col("conv_id").alias("r_id"), _answer(F.col("turns")).alias("answer"))
+    both = pairs.where("met").join(own, F.col("conv_id").eqNullSafe(F.col("c_id"))).join(other, F.col("rejected_id").eqNullSafe(F.col("r_id")))
     last = F.array_max(F.transform("chosen", lambda t, i: F.when(t["role"] == ASSISTANT, i)))
-    fit = last.isNotNull() & F.col("answer").isNotNull() & (F.get("chosen", last)["text"] != F.col("answer")["text"])
-    rejected = F.when(fit, F.concat(F.slice("chosen", F.lit(1), last), F.array("answer")))
-    return both.select(F.col("conv_id").alias("chosen_id"), "chosen", F.when(fit, F.col("rejected_id")).alias("rejected_id"), rejected.alias("rejected"))
+    rejected = F.concat(F.slice("chosen", F.lit(1), last), F.array("answer"))
+    found = both.select(F.col("conv_id").alias("chosen_id"), "chosen", "rejected_id", rejected.alias("rejected"))
+    lone = alone.where("a IS NULL").select("conv_id").unionByName(pairs.where("NOT met").select("conv_id"))
+    none = lone.join(own, F.col("conv_id").eqNullSafe(F.col("c_id"))).select(F.col("conv_id").alias("chosen_id"), "chosen", F.lit(None).cast(whole.schema["conv_id"].dataType).alias("rejected_id"), F.lit(None).cast(found.schema["rejected"].dataType).alias("rejected"))
+    return found.unionByName(none)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import broadcast_if_small, drop_written, frugal, written
+from corpusloom.llm.common import attach, broadcast_if_small, drop_written, frugal, written
 from corpusloom.llm.textbytes import LOWER, blocks, mixed, pieces, prefix_hashes, span_hashes, text_bytes, word_spans
 
 WIDTH = 5
@@ -374,9 +374,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`") for c in carried])
     schema = StructType([rows.schema["doc_id"], *rows.schema.fields[2:], *_schema("class_key binary, sig binary, shingles binary, n_words long")])
     signed = written(rows.mapInArrow(_signed, schema), "signed")
-    roots = broadcast_if_small(components(links(signed, threshold)))
-    out = signed.join(roots, signed["class_key"] == roots["node"], "left")
-    return out.select("doc_id", *carried, "class_key", F.coalesce("root", "class_key").alias("class_id"), "n_words")
+    roots = components(links(signed, threshold)).withColumnRenamed("node", "class_key")
+    return attach(signed, roots, "class_key").select("doc_id", *carried, "class_key", F.coalesce("root", "class_key").alias("class_id"), "n_words")
 
 
 def _schema(text: str) -> list:

@@ -41,8 +41,8 @@ END_ID = 1
 GROUP_TOKENS = 1 << 20
 #: Cost of a token, and of a pair of tokens; equal at 4096 tokens.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Most words whose ids a worker remembers; beyond that it forgets the later half.
-WORDS = 600_000
+#: Most words whose ids a worker remembers, some 50 MB; beyond that it forgets the later half.
+WORDS = 250_000
 #: Documents that are tokenised together.
 ROWS = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, cost double"

@@ -12,5 +12,5 @@ from corpusloom.llm.minhash import near_duplicates
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    short = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c)
-    return found.select("doc_id", short("class_key"), short("class_id"), "n_words")
+    named = lambda c: F.lower(F.hex(c)).alias(c)  # noqa: E731 - all 128 bits
+    return found.select("doc_id", named("class_key"), named("class_id"), "n_words")

@@ -25,6 +25,7 @@ QUERIES = {
 SQL = {
     "op1_url_filters": q01_url.SQL,
     "op2_decontamination": q02_decontamination.SQL,
+    "op3_nearest_neighbours": q03_ann.SQL,
     "op8_suffix_array_dedup": q08_suffix.SQL,
     "op11_hard_negative_mining": q11_hard_negatives.SQL,
     "op12_filter_interaction_audit": q12_filter_audit.SQL,
