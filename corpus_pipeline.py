@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, language_id, minhash, packing, suffix_dedup
-from corpusloom.llm.common import broadcast_if_small, prepare, text_key, written
+from corpusloom.llm.common import attach, broadcast_if_small, prepare, text_key, written
 from corpusloom.llm.q07_packing import tokenizer_path
 
 KEY = "__loom_key"
@@ -29,7 +29,10 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null, or without a letter) go; a missing lang is filled in."""
+    """Texts without a language (null, or without a letter) go; a missing lang is filled in.
+
+    A text is judged whole however long it is; of equal scores the first language by name is taken; repeated rows all stay or go.
+    """
     prepare(spark)
     model = language_id.fit(docs)
     found = language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UND)
@@ -43,8 +46,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = written(minhash.near_duplicates(rows, carried=(KEY,)), "classes")
     # Ties of doc_id go to the smaller key; a null doc_id comes last.
     least = classes.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    least = written(least.select("class_id", "first"), "least")
     mine = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))
-    others = classes.join(least, "class_id").where(~mine.eqNullSafe(F.col("first"))).select("doc_id", KEY).distinct()
+    others = attach(classes, least, "class_id").where(F.col("first").isNotNull() & ~mine.eqNullSafe(F.col("first"))).select("doc_id", KEY).distinct()
     others = broadcast_if_small(written(others, "others"))
     out = rows.join(others, _same(rows, others), "left_anti")
     if classes.groupBy("doc_id", KEY).count().where("count > 1").limit(1).count():
@@ -82,7 +86,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document in sequences of at most 2048 tokens, as op7: a null text has only its end token."""
+    """The pieces of every document in sequences of at most 2048 tokens, as op7: a null text has only its end token.
+
+    Repeated rows are packed each; of documents of equal length the earlier row goes first, of equally loaded sequences the one of
+    the lower number. A very long text gives full sequences and a rest; no document gives no piece. Other columns aren't read.
+    """
     prepare(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
