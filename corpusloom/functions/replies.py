@@ -49,6 +49,19 @@ def cards(reply: Column, n: Column | int) -> Column:
     return F.when(F.size(each) == n, F.filter(each, lambda x: x.startswith("{")))
 
 
+def labels(reply: Column, n: int, field: str, known: list[str]) -> Column:
+    """array<string> of n labels: field of the n objects of a reply's list, null where it isn't a known label.
+
+    A reply without a list of exactly n elements gives n nulls; mentions in front of it are left out, an element that is no object
+    has no label.
+    """
+    found = F.regexp_extract(F.regexp_replace(reply, r"^(?:\s*@\S+)+", ""), r"(?s)\[.*\]", 0)
+    each = F.when(parses(found), F.from_json(found, "array<string>"))
+    label = F.transform(each, lambda x: F.when(x.startswith("{"), F.trim(F.get_json_object(x, f"$.{field}"))))
+    fine = F.transform(label, lambda v: F.when(v.isin(known), v))
+    return F.when(F.size(each) == n, fine).otherwise(F.array_repeat(F.lit(None).cast("string"), n))
+
+
 def limited(text: Column, purpose: str) -> Column:
     """As much of a text as a prompt of that kind takes."""
     return F.substring(text, 1, LIMITS[purpose])

@@ -120,6 +120,6 @@ def vote_letter(reply: Column) -> Column:
 
 
 def head_mid_tail(text: Column, limit: int) -> Column:
-    n = F.length(text)
-    mid = F.substring(text, (F.floor(n / 2) - limit // 2 + 1).cast("int"), F.lit(limit))
-    return F.when(n <= 3 * limit, text).otherwise(F.concat_ws("……", F.substring(text, 1, limit), mid, F.right(text, F.lit(limit))))
+    """A text of up to 3 * limit characters whole; of a longer one its head, middle and tail, limit characters each."""
+    mid = F.substring(text, (F.floor((F.length(text) - limit) / 2) + 1).cast("int"), F.lit(limit))
+    return F.when(F.length(text) <= 3 * limit, text).otherwise(F.array_join(F.array(F.substring(text, 1, limit), mid, F.right(text, F.lit(limit))), "\n……\n"))

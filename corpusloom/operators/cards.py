@@ -142,3 +142,17 @@ def bands(rows: DataFrame, metrics: dict[str, str], group: str | None = None) ->
         out.append(F.round(F.when(n < 4, short).otherwise((F.col(f"a{i}") * (4 - rest) + F.col(f"b{i}") * rest) / 4.0), 6).alias(name))
     parts += [value_at(p).alias(x) for p, x in zip(few, ("low", "m1", "m2", "high"), strict=True)]
     return ranked.groupBy("key", "grp", "metric", "n").agg(*parts).select("grp", "metric", "n", *out)
+
+
+#: Fixed value: cards that bands need to serve as an anchor.
+LEAST_CARDS = 50
+
+
+def checked_bands(rows: DataFrame, metrics: dict[str, str], group: str | None = None) -> DataFrame:
+    """bands with status: `corpus` where all rows are at least LEAST_CARDS, else `placeholder`; ValueError for no rows at all."""
+    from corpusloom.sources.tables import broadcast_if_small
+
+    if rows.isEmpty():
+        raise ValueError("no cards: bands over nothing would mislead whatever is held against them")
+    n = rows.agg(F.when(F.count("*") >= LEAST_CARDS, "corpus").otherwise("placeholder").alias("status"))
+    return bands(rows, metrics, group).crossJoin(broadcast_if_small(n))  # n is one row

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions import text as T
 from corpusloom.sources.tables import broadcast_if_small
@@ -18,10 +19,21 @@ GATES = {"n": 100, "sensitivity": 0.85, "block": 0.95, "bias": 0.08, "agreement"
 
 
 def packs(pairs: DataFrame, k: int, size: int) -> DataFrame:
-    """pair_id, axis, direction, k_index, pack: vote items of an axis in packs of `size`."""
-    items = pairs.select("pair_id", "axis", F.explode(F.expr(f"flatten(transform(array(0, 1), d -> transform(sequence(0, {k} - 1), i -> struct(d as direction, i as k_index))))")).alias("x")).select("pair_id", "axis", "x.*")
-    rank = F.row_number().over(Window.partitionBy("axis").orderBy("pair_id", "direction", "k_index"))
-    return items.withColumn("pack", F.floor((rank - 1) / size).cast("int"))
+    """pair_id, axis, direction, k_index, pack: vote items of an axis, by pair, direction and k, in packs of `size`.
+
+    The place of a pair is the number of pairs in the runs of ids before its own (first eight characters, or 4,096 whole
+    numbers) and its place in the run, so no task has a whole axis where ids are spread. An id is one pair of an axis.
+    """
+    text = isinstance(pairs.schema["pair_id"].dataType, StringType)
+    rows = pairs.select("pair_id", "axis").withColumn("__run", F.substring("pair_id", 1, 8) if text else F.floor(F.col("pair_id") / 4096))
+    runs = rows.groupBy("axis", "__run").agg(F.count("*").alias("__n"))
+    runs = runs.select(F.col("axis").alias("__axis"), F.col("__run").alias("__of"), (F.sum("__n").over(Window.partitionBy("axis").orderBy("__run")) - F.col("__n")).alias("__before"))
+    placed = rows.withColumn("__r", F.row_number().over(Window.partitionBy("axis", "__run").orderBy("pair_id")) - 1)
+    placed = placed.join(runs, F.col("axis").eqNullSafe(F.col("__axis")) & F.col("__run").eqNullSafe(F.col("__of")))
+    votes = F.explode(F.expr(f"flatten(transform(array(0, 1), d -> transform(sequence(0, {k} - 1), i -> struct(d as direction, i as k_index))))"))
+    items = placed.select("pair_id", "axis", (F.col("__before") + F.col("__r")).alias("__place"), votes.alias("x"))
+    place = F.col("__place") * (2 * k) + F.col("x.direction") * k + F.col("x.k_index")
+    return items.select("pair_id", "axis", "x.*", F.floor(place / size).cast("int").alias("pack"))
 
 
 def axis_metrics(votes: DataFrame) -> DataFrame:
@@ -221,7 +233,8 @@ def stratified(rows: DataFrame, strata: list[str], key: str, n: int) -> DataFram
     total = rows.count()
     give = sizes.withColumn("__give", F.greatest(F.lit(1), F.round(F.lit(float(n)) * F.col("__size") / F.lit(float(max(1, total)))).cast("int")))
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy(h, key))
-    return rows.withColumn("__rank", rank).join(broadcast_if_small(give), strata).where("__rank <= __give").drop("__rank", "__size", "__give")
+    # No stratum gets more than n: with the literal each task keeps the n first of a stratum before they meet.
+    return rows.withColumn("__rank", rank).where(F.col("__rank") <= max(1, n)).join(broadcast_if_small(give), strata).where("__rank <= __give").drop("__rank", "__size", "__give")
 
 
 def apportioned(sizes: DataFrame, strata: list[str], size: str, n: int) -> DataFrame:

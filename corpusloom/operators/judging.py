@@ -38,6 +38,28 @@ def sample_votes(votes: DataFrame) -> DataFrame:
     return share.withColumn("score_b", 1 - F.col("score_a"))
 
 
+def scored_pairs(directed: DataFrame, votes: DataFrame) -> DataFrame:
+    """pair_id, score_a, score_b, engine, calls, reason of every pair of either table.
+
+    directed: pair_id, direction (1: text B is shown first), score_first, score_second, a row for each call of a scorer. A text's score is
+    its mean over both directions. Where a direction is missing or has no score (`missing`), or all scores are a half, as a
+    scorer gives that can't be read (`flat`), votes (pair_id, first_is_a, letter) decide; without these too the scores are null.
+    """
+    at = lambda c, d: F.avg(F.when(F.col("direction") == d, F.col(c)))
+    sides = {"a0": at("score_first", 0), "b0": at("score_second", 0), "b1": at("score_first", 1), "a1": at("score_second", 1)}
+    half = F.bool_and((F.col("score_first") == 0.5) & (F.col("score_second") == 0.5))
+    two = directed.groupBy("pair_id").agg(*[c.alias(k) for k, c in sides.items()], half.alias("flat"), F.count("*").alias("c"))
+    whole = F.col("a0").isNotNull() & F.col("a1").isNotNull() & F.col("b0").isNotNull() & F.col("b1").isNotNull()
+    reason = F.when(~whole, "missing").when(F.col("flat"), "flat")
+    two = two.select("pair_id", "a0", "a1", "b0", "b1", "c", reason.alias("reason"), F.lit(True).alias("met"))
+    by_vote = sample_votes(votes).select("pair_id", F.col("n").alias("v"), F.col("score_a").alias("va"), F.col("score_b").alias("vb"))
+    both = two.join(by_vote, "pair_id", "full").withColumn("reason", F.when(F.col("met").isNull(), "missing").otherwise(F.col("reason")))
+    direct = F.col("reason").isNull()
+    pick = lambda d, v: F.when(direct, d).otherwise(v)
+    engine = F.when(direct, "compare").when(F.col("v").isNotNull(), "votes")
+    return both.select("pair_id", pick((F.col("a0") + F.col("a1")) / 2, F.col("va")).alias("score_a"), pick((F.col("b0") + F.col("b1")) / 2, F.col("vb")).alias("score_b"), engine.alias("engine"), pick(F.col("c"), F.coalesce("v", F.lit(0))).alias("calls"), "reason")
+
+
 def examinable(pairs: DataFrame, kind: str = "kind", verified: str = "verified") -> DataFrame:
     """The pairs of an exam: constructed defects that are verified to be there."""
     return pairs.where((F.coalesce(F.col(kind), F.lit("")) != NOT_EXAMINED) & F.coalesce(F.col(verified), F.lit(False)))

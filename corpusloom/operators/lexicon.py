@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.frequency import by_frequency
 from corpusloom.functions.profile import Profile
 
 SMOOTH, HEAD = 0.5e-6, 200_000
@@ -26,11 +27,12 @@ SEEDS = (
 )
 
 
-def frequencies(docs: DataFrame, profile: Profile, group: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """grp, phrase, n, df: occurrences and documents of each token, counted on the map side first."""
+def frequencies(docs: DataFrame, profile: Profile, group: Column, text: str = "text") -> DataFrame:
+    """grp, phrase, n, df: occurrences and documents of each token. A document is a row: its tokens are counted where it lies, so one
+    shuffle of (group, phrase), partly summed before, gives both."""
     runs = T.tokens(F.substring(F.coalesce(F.col(text), F.lit("")), 1, HEAD), profile)
-    each = docs.select(group.alias("grp"), F.col(doc_id).alias("d"), F.explode_outer(runs).alias("phrase")).where("grp IS NOT NULL AND phrase IS NOT NULL")
-    return each.groupBy("grp", "d", "phrase").agg(F.count("*").alias("c")).groupBy("grp", "phrase").agg(F.sum("c").alias("n"), F.count("*").alias("df"))
+    each = docs.select(group.alias("grp"), F.explode(by_frequency(runs)).alias("x")).where("grp IS NOT NULL")
+    return each.groupBy("grp", F.col("x.item").alias("phrase")).agg(F.sum(F.col("x.n").cast("long")).alias("n"), F.count("*").alias("df"))
 
 
 def lift(p: Column, q: Column) -> Column:
@@ -61,7 +63,8 @@ def mine(freq: DataFrame, profile: Profile, top: int = 150, seeds: tuple[str, ..
     quota = {"drama_vs_novel": top // 5, "our_vs_drama": top - top // 5 - 12, "seed": 12}
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.coalesce("pmi", F.lit(99.0)).desc(), "phrase"))
     limit = F.coalesce(*[F.when(F.col("source") == s, q) for s, q in quota.items()])
-    return everything.withColumn("rank", rank).where(F.col("rank") <= limit)
+    # The literal lets each task keep the first of a source before they meet.
+    return everything.withColumn("rank", rank).where(F.col("rank") <= max(quota.values())).where(F.col("rank") <= limit)
 
 
 def density(text: Column, phrases: list[str]) -> Column:

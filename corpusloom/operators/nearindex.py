@@ -92,10 +92,11 @@ def near_stored(prints: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 class NearIndex:
-    """Keys of the documents kept so far, as a table partitioned by band and batch.
+    """Keys of the documents kept so far, as a table partitioned by band and part.
 
     A band holds the keys of one residue of their hash. A batch reads the bands of its own keys and no others, and adds its
-    kept documents as partitions of its own; a batch that runs again replaces what it wrote.
+    kept documents as partitions of its own; a batch that runs again replaces what it wrote. merge() puts the parts of many
+    batches into one; a key that is in two parts does no harm, so a merge that is cut short loses and doubles nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, bands: int = 256):
@@ -113,7 +114,7 @@ class NearIndex:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
             return None
-        rows = self.spark.read.schema("id long, x long, k long, band int, seq long").parquet(self.path)
+        rows = self.spark.read.schema("id long, x long, k long, seq long, band int, part long").parquet(self.path)
         if only is not None:
             rows = rows.where(F.col("band").isin(only))
         return (rows if before is None else rows.where(F.col("seq") != before)).select("id", "x", "k", "seq")
@@ -137,5 +138,28 @@ class NearIndex:
         return out
 
     def add(self, kept: DataFrame, seq: int) -> None:
-        rows = keyed(kept).select("id", "x", "k", self._band(), F.lit(seq).cast("long").alias("seq"))
-        rows.repartition("band").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("band", "seq").parquet(self.path)
+        self._put(keyed(kept).select("id", "x", "k", F.lit(seq).cast("long").alias("seq"), self._band(), F.lit(seq).cast("long").alias("part")))
+
+    def _put(self, rows: DataFrame) -> None:
+        rows.repartition("band").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("band", "part").parquet(self.path)
+
+    def merge(self, upto: int) -> int:
+        """Put the parts of all batches up to number `upto` into one part of each band; returns how many folders went.
+
+        Not to run beside a batch that reads the index: the folders of the merged parts are removed at the end.
+        """
+        if self.stored() is None:
+            return 0
+        new = -1 - upto  # parts of merges are negative, those of batches are their number
+        rows = self.spark.read.schema("id long, x long, k long, seq long, band int, part long").parquet(self.path)
+        old = rows.where((F.col("part") <= upto) & (F.col("part") != new))
+        again = rows.where(F.col("part") == new)  # of a merge that was cut short
+        self._put(written(old.unionByName(again).select("id", "x", "k", "seq", "band").distinct(), "merged").withColumn("part", F.lit(new).cast("long")))
+        gone = 0
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/band=*/part=*")
+        files = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for folder in files.globStatus(where):  # names only: bands times parts
+            part = int(folder.getPath().getName().removeprefix("part="))
+            if part <= upto and part != new:
+                gone += bool(files.delete(folder.getPath(), True))
+        return gone

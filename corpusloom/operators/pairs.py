@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import degrade
+from corpusloom.functions.profile import Profile
+from corpusloom.operators import cards, degrade
 
 #: Axes and kinds that a pair may have.
 AXES = ("hook_strength", "prose_craft", "naturalness", "transportation", "placement_integration", "producibility", "l0_structure", "l0_fact", "l0_brand", "l0_dialogue")
@@ -103,6 +104,31 @@ def out_of_band(generated: DataFrame, bands: DataFrame, corpus: DataFrame, metri
     return outside.crossJoin(F.broadcast(heads)).select(F.col("id").alias("gen_id"), "axis", "corpus_id")
 
 
+#: The metric that stands for an axis where corpus and generated texts are compared, and the characters compared.
+AXIS_METRICS = {"naturalness": "dialogue_ratio", "l0_dialogue": "dialogue_ratio", "prose_craft": "sent_len_cv", "transportation": "sent_len_mean"}
+
+
+def against_corpus(generated: DataFrame, bands: DataFrame, corpus: DataFrame, profile: Profile, metrics: dict[str, str] | None = None, first: int = 20) -> DataFrame:
+    """The pair table of generated texts (id, text) against corpus texts (id, text): the corpus text wins.
+
+    A generated text is judged by the card of its first BUDGET characters, and paired on every axis whose metric is outside
+    the band (bands: metric, p25, p75) with the `first` corpus texts of least id; inside, nothing can be said. The split is that of the
+    corpus text, so no source is in two splits. The corpus texts, at most `first` of BUDGET characters, are broadcast.
+    """
+    metrics = metrics or AXIS_METRICS
+    piece = F.substring("text", 1, BUDGET)
+    own = cards.cards(generated.where("text IS NOT NULL").select("id", piece.alias("text")), profile)
+    texts = own.select("id", F.col("text").alias("b_text"), *sorted(set(metrics.values())))
+    long = texts.select("id", "b_text", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for a, m in metrics.items()])).alias("x")).select("id", "b_text", "x.*")
+    outside = long.join(F.broadcast(bands.select("metric", "p25", "p75")), "metric").where("v < p25 OR v > p75")
+    heads = corpus.where("text IS NOT NULL").orderBy("id", "text").limit(first).select(F.col("id").cast("string").alias("source"), piece.alias("a_text"))
+    none = F.lit(None)
+    built = F.struct(F.lit("corpus_vs_gen").alias("kind"), none.cast("string").alias("op_id"), none.cast("double").alias("severity"), F.col("source").alias("source_script_id"), F.col("id").cast("string").alias("source_run_id"))
+    rows = outside.crossJoin(F.broadcast(heads)).select("axis", "a_text", "b_text", F.lit("a_win").alias("label"), built.alias("construction"), T.split_of(F.col("source")).alias("split"))
+    named = pair_id(F.col("axis"), F.col("a_text"), F.col("b_text"), F.lit("corpus_vs_gen"), F.lit(""))
+    return rows.select(named.alias("pair_id"), "axis", "a_text", "b_text", "label", "construction", "split")
+
+
 def summary(pairs: DataFrame) -> DataFrame:
     """split, kind, n with subtotals (null)."""
     return pairs.rollup("split", F.col("construction.kind").alias("kind")).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import frequency
 from corpusloom.functions import text as T
 from corpusloom.functions.profile import LATIN as P
 from corpusloom.functions.profile import LINE_BREAK, SPACE
@@ -267,10 +268,7 @@ _HITCOUNT = {g: " + ".join(f"CAST(contains(text, '{w}') AS INT)" for w in ws) fo
     "SELECT doc_id, CASE WHEN greatest(germanic, romance, spam) = 0 THEN 'other' WHEN germanic >= romance AND germanic >= spam THEN 'germanic' WHEN romance >= spam THEN 'romance' ELSE 'spam' END AS genre FROM h"
 )
 def genre_detect(spark, d):
-    hits = {g: sum((F.col("text").contains(w).cast("int") for w in ws), F.lit(0)) for g, ws in _KEYWORDS.items()}
-    ranked = F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(g).alias("g")) for i, (g, n) in enumerate(hits.items())])
-    best = F.array_max(ranked)
-    return documents(spark, d).select("doc_id", F.when(best["n"] == 0, "other").otherwise(best["g"]).alias("genre"))
+    return documents(spark, d).select("doc_id", frequency.genre_of(F.col("text"), _KEYWORDS, "other").alias("genre"))
 
 
 # --- Splits, ids, pairs ---------------------------------------------------------------------------------------------
@@ -320,7 +318,7 @@ def pairs_invalid(spark, d):
 
 @query()
 def degrade_seeded(spark, d):
-    return degrade.degraded(documents(spark, d).select("doc_id", "text")).select("doc_id", "op_id", "severity", F.length("degraded").alias("length"))
+    return degrade.degraded(documents(spark, d).select("doc_id", "text"), original=False).select("doc_id", "op_id", "severity", F.length("degraded").alias("length"))
 
 
 @query()

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import catalogue, corpus_queries, judging_queries  # noqa: F401
+from corpusloom.plans import catalogue, corpus_queries, judging_queries, report_queries  # noqa: F401
 from tests.conftest import SF
 
 
