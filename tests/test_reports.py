@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import frequency, replies
 from corpusloom.functions import text as T
 from corpusloom.functions.profile import LATIN
-from corpusloom.operators import cards, degrade, exam, judging, lexicon, nearindex, pairs, reports
+from corpusloom.operators import cards, degrade, exam, judging, nearindex, pairs, reports
 from corpusloom.sources import readers
 
 LEDGER = "round string, ts double, kind string, decision string, winrate double, ci_lo double, ci_hi double, sealed_score double"
@@ -35,12 +35,6 @@ def test_speakers_tokens_and_genres(spark):
     assert got[2]["s"] is None and got[2]["t"] is None and got[2]["g"] == "none"
 
 
-def test_frequencies_count_rows_as_documents(spark):
-    docs = spark.createDataFrame([(1, "alpha alpha beta"), (1, "Alpha"), (None, "beta gamma"), (2, None)], "doc_id long, text string")
-    got = {r["phrase"]: (r["n"], r["df"]) for r in lexicon.frequencies(docs, LATIN, F.lit("all")).collect()}
-    assert got == {"alpha": (3, 2), "beta": (2, 2), "gamma": (1, 1)}
-
-
 @pytest.mark.parametrize("n", [0, 5, 9, 10, 11, 30])
 def test_fragment(spark, n):
     text = "".join(chr(97 + i % 26) for i in range(n))
