@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.tables import broadcast_if_small, written
+from corpusloom.sources.tables import broadcast_if_small, shuffled, written
 
 DISTANCE = 3
 #: First bit and width of each block.
@@ -63,16 +63,19 @@ def keyed(prints: DataFrame) -> DataFrame:
 
 
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """k, id_a, x_a, id_b, x_b: rows (id, x, k) of a and b that share a key. Keys with over HOT rows of b are met in blocks."""
+    """k, id_a, x_a, id_b, x_b: rows (id, x, k) of a and b that share a key. Keys with over HOT rows of b are met in blocks.
+
+    Spark takes a side for as large as the fingerprints that its 35 keys each come from, so the joins are by shuffle.
+    """
     left, right = (df.select("k", F.col("id").alias(f"id_{s}"), F.col("x").alias(f"x_{s}")) for df, s in ((a, "a"), (b, "b")))
     sizes = written(right.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("k", F.ceil(F.col("n") / HOT).cast("int").alias("nb")), "hot")
     if sizes.isEmpty():
-        return left.join(right, "k")
+        return left.join(shuffled(right), "k")
     hot = broadcast_if_small(sizes)
     dealt = lambda df, i: df.join(hot, "k").withColumn(f"part_{i[-1]}", F.pmod(F.xxhash64(i), F.col("nb")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    met = dealt(left, "id_a").withColumn("part_b", others).drop("nb").join(dealt(right, "id_b").withColumn("part_a", others).drop("nb"), ["k", "part_a", "part_b"])
-    plain = left.join(hot.select("k"), "k", "left_anti").join(right.join(hot.select("k"), "k", "left_anti"), "k")
+    met = dealt(left, "id_a").withColumn("part_b", others).drop("nb").join(shuffled(dealt(right, "id_b").withColumn("part_a", others).drop("nb")), ["k", "part_a", "part_b"])
+    plain = left.join(hot.select("k"), "k", "left_anti").join(shuffled(right.join(hot.select("k"), "k", "left_anti")), "k")
     return plain.unionByName(met.drop("part_a", "part_b"))
 
 
@@ -87,7 +90,7 @@ def pairs(prints: DataFrame) -> DataFrame:
 def near_stored(prints: DataFrame, stored: DataFrame) -> DataFrame:
     """id, of: documents (id, simhash) near a stored one, with the first such (least seq, then id). stored: id, x, k, seq."""
     met = candidates(keyed(prints), stored).where(near(F.col("x_a"), F.col("x_b"), F.col("k")))
-    met = met.join(stored.select(F.col("id").alias("id_b"), "k", "seq"), ["id_b", "k"]) if "seq" in stored.columns else met.withColumn("seq", F.lit(0).cast("long"))
+    met = met.join(shuffled(stored.select(F.col("id").alias("id_b"), "k", "seq")), ["id_b", "k"]) if "seq" in stored.columns else met.withColumn("seq", F.lit(0).cast("long"))
     return met.groupBy(F.col("id_a").alias("id")).agg(F.min(F.struct("seq", F.col("id_b").alias("of"))).alias("m")).select("id", "m.of")
 
 

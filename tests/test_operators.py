@@ -171,3 +171,17 @@ def test_stream_takes_each_document_once(spark, tmp_path):
         spark.createDataFrame(batch, "doc_id long, text string").write.mode("append").parquet(inbox)
         ingest.stream_in(spark, inbox, store, str(tmp_path / "cp"), LATIN).awaitTermination()
     assert {r["doc_id"] for r in spark.read.parquet(store).collect()} == {1, 3}
+
+
+def test_keys_of_fingerprints_are_not_sent_through_the_driver(spark):
+    """A small file of fingerprints has 35 times as many keys; Spark would broadcast them by the size of the file."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import dedup, nearindex
+    from corpusloom.sources.tables import written
+
+    prints = written(spark.range(2000).select("id", F.lower(F.lpad(F.hex(F.xxhash64("id")), 16, "0")).alias("simhash")), "prints")
+    stored = written(nearindex.keyed(prints).withColumn("seq", F.lit(0).cast("long")), "stored")
+    for found in (dedup.near_pairs(prints), nearindex.near_stored(prints, nearindex.keyed(prints)), nearindex.near_stored(prints, stored)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
