@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import nearindex
-from corpusloom.sources.tables import BROADCAST_ROWS, broadcast_if_small, drop_written, written
+from corpusloom.sources.tables import BROADCAST_ROWS, broadcast_if_small, drop_written, shuffled, written
 
 GRAMS = 8192
 PROBE, STRIDE = 50, 25
@@ -64,21 +64,21 @@ def keep_first(prints: DataFrame) -> DataFrame:
     """
     first = prints.groupBy("simhash").agg(F.min("id").alias("first"))
     pairs = written(near_pairs(prints), "pairs")
-    state = written(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")).withColumn("of", F.lit(None).cast("long")), "state")
+    state = written(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "state")
     while state.where("kept IS NULL").limit(1).count():
-        earlier = pairs.join(state.select(F.col("id").alias("id_a"), "kept"), "id_a").groupBy("id_b").agg(F.min(F.when(F.col("kept"), F.col("id_a"))).alias("near"), F.max(F.col("kept").isNull().cast("int")).alias("open"))
+        earlier = pairs.join(shuffled(state.select(F.col("id").alias("id_a"), "kept")), "id_a").groupBy("id_b").agg(F.min(F.when(F.col("kept"), F.col("id_a"))).alias("near"), F.max(F.col("kept").isNull().cast("int")).alias("open"))
         open_ = F.coalesce("open", F.lit(0)) == 1
         new = state.join(earlier, state["id"] == earlier["id_b"], "left").select(
             "id",
             F.when(F.col("kept").isNotNull(), F.col("kept")).when(open_, F.when(F.col("near").isNotNull(), F.lit(False))).otherwise(F.col("near").isNull()).alias("kept"),
-            # The least kept earlier neighbour is known once no earlier neighbour is open.
-            F.when(~open_, F.col("near")).alias("of"),
         )
         new = written(new, "state")
         drop_written(state)
         state = new
-    dropped = broadcast_if_small(state.where("NOT kept").select(F.col("id").alias("first"), "of"))
-    out = prints.join(first, "simhash").join(dropped, "first", "left")
+    # A document can be dropped while earlier neighbours are open; the least kept one is known at the end.
+    kept = shuffled(state.where("kept").select(F.col("id").alias("id_a")))
+    dropped = broadcast_if_small(written(pairs.join(kept, "id_a").groupBy(F.col("id_b").alias("first")).agg(F.min("id_a").alias("of")), "dropped"))
+    out = prints.join(shuffled(first), "simhash").join(dropped, "first", "left")
     return out.select("id", F.coalesce("of", F.when(F.col("id") != F.col("first"), F.col("first"))).alias("duplicate_of"))
 
 

@@ -185,3 +185,10 @@ def test_keys_of_fingerprints_are_not_sent_through_the_driver(spark):
     for found in (dedup.near_pairs(prints), nearindex.near_stored(prints, nearindex.keyed(prints)), nearindex.near_stored(prints, stored)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_a_document_dropped_before_all_its_neighbours_are_settled_names_the_first_kept(spark):
+    """3 is near 1 (kept) and near 2, which is still open in the round that drops 3, the last round."""
+    rows = [(1, "0000000000000000"), (2, "0000000000000007"), (3, "0000000000000003")]
+    got = dedup.keep_first(spark.createDataFrame(rows, "id long, simhash string")).collect()
+    assert sorted((r["id"], r["duplicate_of"]) for r in got) == [(1, None), (2, 1), (3, 1)]
