@@ -94,10 +94,16 @@ def exclusive_quartiles(values: Column) -> list[Column]:
     return [F.round(F.when(n == 0, 0.0).when(n < 4, few[i - 1]).otherwise(at(i)), 6) for i in (1, 2, 3)]
 
 
-#: Values by which a metric of a group is cut into runs.
+#: Runs that the values of a metric of a group are cut into; a power of two.
 RUNS = 256
 
 
+def run_of(v: Column, edges: Column) -> Column:
+    """How many of up to RUNS - 1 ascending edges are less than v, by halving."""
+    steps = F.array(*[F.lit(RUNS >> i) for i in range(1, RUNS.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) < v, at + step).otherwise(at))
+
+
 def bands(rows: DataFrame, metrics: dict[str, str], group: str | None = None) -> DataFrame:
     """metric, n, p25, p50, p75 over all rows (group null) and for each group.
 
@@ -117,8 +123,8 @@ def bands(rows: DataFrame, metrics: dict[str, str], group: str | None = None) ->
         total = counted.groupBy("metric", "v").agg(F.sum("c").alias("c"))
         each = each.unionByName(total.select(F.lit("*").alias("key"), F.lit(None).cast("string").alias("grp"), "metric", "v", "c"))
     each = written(each, "counted")
-    edges = each.groupBy("key", "metric").agg(F.percentile_approx("v", [i / RUNS for i in range(1, RUNS)], 4 * RUNS).alias("edges"))
-    each = each.join(broadcast_if_small(edges), ["key", "metric"]).withColumn("run", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    edges = written(each.groupBy("key", "metric").agg(F.percentile_approx("v", [i / RUNS for i in range(1, RUNS)], 4 * RUNS).alias("edges")), "edges")
+    each = each.join(broadcast_if_small(edges), ["key", "metric"]).withColumn("run", run_of(F.col("v"), F.col("edges"))).drop("edges")
     sizes = each.groupBy("key", "metric", "run").agg(F.sum("c").alias("size"))
     of = Window.partitionBy("key", "metric")
     sizes = sizes.withColumn("n", F.sum("size").over(of)).withColumn("before", F.sum("size").over(of.orderBy("run")) - F.col("size"))
@@ -126,7 +132,7 @@ def bands(rows: DataFrame, metrics: dict[str, str], group: str | None = None) ->
     place = {i: F.greatest(F.least(F.floor(i * (n + 1) / 4), n - 1), F.lit(1)) for i in (1, 2, 3)}
     few = [F.lit(1).cast("long"), F.floor((n + 1) / 2), F.floor((n + 2) / 2), n]
     wanted = F.when(n < 4, F.array(*few)).otherwise(F.array(*place.values(), *[p + 1 for p in place.values()]))
-    sizes = sizes.where(F.exists(wanted, lambda p: (p > F.col("before")) & (p <= F.col("before") + F.col("size")))).drop("size")
+    sizes = written(sizes.where(F.exists(wanted, lambda p: (p > F.col("before")) & (p <= F.col("before") + F.col("size")))).drop("size"), "sizes")
     ranked = each.join(broadcast_if_small(sizes), ["key", "metric", "run"])
     upto = F.col("before") + F.sum("c").over(Window.partitionBy("key", "metric", "run").orderBy("v"))
     ranked = ranked.withColumn("upto", upto)

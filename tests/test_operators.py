@@ -192,3 +192,17 @@ def test_a_document_dropped_before_all_its_neighbours_are_settled_names_the_firs
     rows = [(1, "0000000000000000"), (2, "0000000000000007"), (3, "0000000000000003")]
     got = dedup.keep_first(spark.createDataFrame(rows, "id long, simhash string")).collect()
     assert sorted((r["id"], r["duplicate_of"]) for r in got) == [(1, None), (2, 1), (3, 1)]
+
+
+def test_a_run_is_the_number_of_edges_below(spark):
+    """Found by eight comparisons and not by one with each of 255 edges, which took most of the time of bands."""
+    from bisect import bisect_left
+
+    from corpusloom.operators import cards
+
+    rng = random.Random(5)
+    edges = sorted(rng.choice([rng.random(), rng.randrange(9) / 8]) for _ in range(cards.RUNS - 1))
+    values = [*edges[::7], -1.0, 2.0, *(rng.random() for _ in range(50))]
+    rows = spark.createDataFrame([(v, e) for e in (edges, [0.5] * (cards.RUNS - 1), edges[:3]) for v in values], "v double, e array<double>")
+    got = rows.withColumn("run", cards.run_of(F.col("v"), F.col("e"))).collect()
+    assert [r["run"] for r in got] == [bisect_left(r["e"], r["v"]) for r in got]
