@@ -6,7 +6,11 @@ from dataclasses import dataclass
 
 #: White space as Python's str.split() sees it; spelled out, as no regex engine's \s agrees with it.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The characters of SPACE one by one, for functions that take no pattern.
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+#: Where only lines that aren't empty count, any one of these characters ends a line.
+BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.profile import LINE_BREAK, SPACE, Profile
+from corpusloom.functions.profile import BREAK, LINE_BREAK, SPACES, Profile
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,7 +17,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def squeezed(text: Column) -> Column:
     """text without any white space."""
-    return F.regexp_replace(text, f"[{SPACE}]", "")
+    return F.translate(text, SPACES, "")
 
 
 def solid_length(text: Column) -> Column:
@@ -25,7 +25,7 @@ def solid_length(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def raw_lines(text: Column) -> Column:
@@ -35,11 +35,12 @@ def raw_lines(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Non-empty stripped lines."""
-    return F.filter(F.transform(F.split(text, LINE_BREAK), stripped), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, BREAK), stripped), lambda s: s != "")
 
 
 def sentences(text: Column, profile: Profile) -> Column:
-    return F.filter(F.transform(F.split(text, f"(?<=[{profile.sentence_end}])"), stripped), lambda s: s != "")
+    end = profile.sentence_end
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"[^{end}]*[{end}]|[^{end}]+"), F.lit(0)), stripped), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:

@@ -88,3 +88,23 @@ def test_votes(spark):
     rows = _rows(spark, ["1:A 2:B 3:A", "A B", "1:B 3:A", "@x 2:a 2:B", ""])
     got = [r[0] for r in rows.orderBy("id").select(T.packed_votes(F.col("text"), 3)).collect()]
     assert got == [["A", "B", "A"], ["A", "B", ""], ["B", "", "A"], ["", "B", ""], ["", "", ""]]
+
+
+def test_lists_of_spaces_and_breaks_are_the_patterns(spark):
+    """Texts are trimmed and squeezed by a list of characters, not by a pattern, which took most of the time of cards."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import text as T
+    from corpusloom.functions.profile import LATIN, LINE_BREAK, SPACE, SPACES
+
+    odd = [*SPACES, "\r\n", "", ".", "..", "a", "é", "中", "😀", "​", "﻿", "\x1b", "b c.", "!?"]
+    rng = random.Random(4)
+    texts = ["", " ", SPACES, SPACES + "x" + SPACES, *("".join(rng.choices(odd, k=rng.randrange(1, 30))) for _ in range(500))]
+    t, ends = F.col("t"), f"^[{SPACE}]+|[{SPACE}]+$"
+    cut = lambda parts: F.filter(F.transform(parts, lambda s: F.regexp_replace(s, ends, "")), lambda s: s != "")
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "t string")
+    pairs = [(T.squeezed(t), F.regexp_replace(t, f"[{SPACE}]", "")), (T.stripped(t), F.regexp_replace(t, ends, "")), (T.lines(t), cut(F.split(t, LINE_BREAK))), (T.sentences(t, LATIN), cut(F.split(t, f"(?<=[{LATIN.sentence_end}])")))]
+    differ = rows.select("t", *[(~a.eqNullSafe(b)).alias(f"d{i}") for i, (a, b) in enumerate(pairs)])
+    assert differ.where("d0 OR d1 OR d2 OR d3").collect() == []
