@@ -30,7 +30,8 @@ def _cards(spark, d):
 
 
 def _bands(spark, d):
-    return cards.checked_bands(_cards(spark, d), {m: m for m in cards.METRICS}, "kind")
+    c = written(_cards(spark, d).select("kind", *cards.METRICS), "cards")
+    return cards.checked_bands(c, {m: m for m in cards.METRICS}, "kind")
 
 
 @query(f"WITH {_WITH_BANDS} SELECT *, {_STATUS} AS status FROM bd")
@@ -58,7 +59,7 @@ UNION ALL SELECT 1, kind, 0, '- kind ' || kind || ': ' || count(*) FROM card GRO
 UNION ALL SELECT 3, grp, generate_subscripts(l, 1) - 6, unnest(l) FROM (SELECT grp, ['', '## Bands of ' || grp || ' (n=' || n || ')', '', '| metric | P25 | P50 | P75 |', '|---|---|---|---|'] l FROM k)
 UNION ALL SELECT 3, grp, 0, '| ' || metric || ' | ' || {_N6("p25")} || ' | ' || {_N6("p50")} || ' | ' || {_N6("p75")} || ' |' FROM bd WHERE grp IS NOT NULL""")
 def report_profile(spark, d):
-    c = _cards(spark, d)
+    c = written(_cards(spark, d).select("kind", "lang", "total_chars", *cards.METRICS), "cards")
     return reports.profile_report(c, written(cards.checked_bands(c, {m: m for m in cards.METRICS}, "kind"), "bands"), "lang")
 
 

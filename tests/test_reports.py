@@ -185,3 +185,12 @@ def test_index_merges_its_batches(spark, tmp_path):
     assert parts == {"part=-3", "part=3"}
     again = sorted(map(tuple, merged.admit(cut(30, 45), 2).collect()), key=str)  # a batch that runs again after its merge
     assert again == sorted(map(tuple, plain.admit(cut(30, 45), 2).collect()), key=str)
+
+
+def test_cards_are_computed_once_for_profile_and_bands(spark):
+    """The report read and parsed all documents for its counts and again for its bands."""
+    from corpusloom.plans import catalogue, report_queries  # noqa: F401 - registers the query
+    from tests.conftest import SF
+
+    plan = catalogue.QUERIES["report_profile"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "corpusloom-cards" in plan
