@@ -30,7 +30,8 @@ def stripped(text: Column) -> Column:
 
 def raw_lines(text: Column) -> Column:
     """Lines as Python's splitlines() gives them: no empty line behind a final break."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, f"(?:{LINE_BREAK})$(?!\n)", ""), LINE_BREAK))
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_BREAK), whole)
 
 
 def lines(text: Column) -> Column:

@@ -108,3 +108,18 @@ def test_lists_of_spaces_and_breaks_are_the_patterns(spark):
     pairs = [(T.squeezed(t), F.regexp_replace(t, f"[{SPACE}]", "")), (T.stripped(t), F.regexp_replace(t, ends, "")), (T.lines(t), cut(F.split(t, LINE_BREAK))), (T.sentences(t, LATIN), cut(F.split(t, f"(?<=[{LATIN.sentence_end}])")))]
     differ = rows.select("t", *[(~a.eqNullSafe(b)).alias(f"d{i}") for i, (a, b) in enumerate(pairs)])
     assert differ.where("d0 OR d1 OR d2 OR d3").collect() == []
+
+
+def test_raw_lines_are_those_of_splitlines_without_a_pattern_for_the_end(spark):
+    """The end was found by a pattern that was tried at every character."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import text as T
+
+    rng = random.Random(6)
+    texts = ["", "\n", "\r\n", "\n\r", "a\r\n", "a\n\n", *("".join(rng.choices(["\n", "\r", "\r\n", "\x0b", "\x1c", "\x85", " ", "a", " ", "é"], k=rng.randrange(1, 12))) for _ in range(300))]
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "t string").select("t", T.raw_lines(F.col("t")).alias("x"))
+    assert all(r["x"] == (None if r["t"] is None else r["t"].splitlines()) for r in rows.collect())
+    assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
