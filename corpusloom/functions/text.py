@@ -28,6 +28,16 @@ def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+#: Letters that only Spark's upper() changes: their upper case is two letters or more, or newer than Unicode 15. DuckDB's leaves them.
+UNCASED = "".join(c for c in map(chr, range(0x80, 0xFB18)) if len(c.upper()) > 1 and (len(c.title()) > 1 or c.title() == c) and c != "ß") + "".join(map(chr, (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86))))
+
+
+def uppered(text: Column) -> Column:
+    """text in upper case; one that only letters of UNCASED would change stays as it is, as in DuckDB."""
+    bare = F.translate(text, UNCASED, "")
+    return F.when(~text.rlike("[a-z]") & (F.upper(bare) == bare), text).otherwise(F.upper(text))
+
+
 def raw_lines(text: Column) -> Column:
     """Lines as Python's splitlines() gives them: no empty line behind a final break."""
     whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)

@@ -48,8 +48,8 @@ def pair_id(axis: Column, a: Column, b: Column, kind: Column, op: Column) -> Col
     return F.concat(F.lit("pair:"), T.base32_id(F.concat_ws("|", axis, body, kind, F.coalesce(op, F.lit("")))))
 
 
-def violations(pairs: DataFrame) -> DataFrame:
-    """pair_id, violation: every rule that a pair breaks."""
+def violations(pairs: DataFrame, only: tuple[str, ...] | None = None, unknown: bool = True) -> DataFrame:
+    """pair_id, violation: every rule that a pair breaks, of those named in `only`. unknown: a rule that a null leaves open is broken."""
     rules = {
         "axis": ~F.col("axis").isin(*AXES),
         "label": ~F.col("label").isin("a_win", "b_win"),
@@ -60,7 +60,7 @@ def violations(pairs: DataFrame) -> DataFrame:
         "split": ~F.col("split").isin("exam", "train", "val"),
         "pair_id": ~F.col("pair_id").rlike("^pair:[0-9a-z]{26}$"),
     }
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in rules.items()]))
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(unknown)), F.lit(k)) for k, c in rules.items() if only is None or k in only]))
     return pairs.select("pair_id", F.explode(broken).alias("violation"))
 
 

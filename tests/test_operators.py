@@ -4,8 +4,10 @@ import hashlib
 import random
 import zipfile
 
+import duckdb
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.functions.profile import LATIN, ZH_DRAMA
 from corpusloom.operators import dedup, degrade, exam, lexicon, pairs
 from corpusloom.plans import catalogue
@@ -206,3 +208,15 @@ def test_a_run_is_the_number_of_edges_below(spark):
     rows = spark.createDataFrame([(v, e) for e in (edges, [0.5] * (cards.RUNS - 1), edges[:3]) for v in values], "v double, e array<double>")
     got = rows.withColumn("run", cards.run_of(F.col("v"), F.col("e"))).collect()
     assert [r["run"] for r in got] == [bisect_left(r["e"], r["v"]) for r in got]
+
+
+def test_pairs_invalid_is_its_sql_on_odd_texts(spark, tmp_path):
+    letters = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).upper() != chr(c) or chr(c) in T.UNCASED or chr(c).lower() != chr(c))]
+    texts = [None, "", " \n\t", "A!!", "a!!", "ŉ!!", "ﬁ x", "STRAßE", *letters]
+    rows = [(i, t, ("es", "en", None)[i % 3], ("src3", "src1", None)[i % 4 % 3]) for i, t in enumerate(texts)] + [(None, "B", "en", "src1"), (-7, None, "en", "src1"), (-3, None, "es", "src3")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, catalogue.QUERIES["pairs_invalid"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalogue.SQL["pairs_invalid"]).fetchall()) and [r[0] for r in got] == ["axis", "label", "same_text"]
+    assert {r["violation"] for r in pairs.violations(spark.createDataFrame([("p", None)], "pair_id string, a_text string").selectExpr("pair_id", "'l0_fact' axis", "a_text", "'x' b_text", "'a_win' label", "named_struct('kind', 'corpus_vs_gen', 'op_id', '') construction", "'val' split")).collect()} == {"empty_text", "same_text", "pair_id"}
