@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators import nearindex
 from corpusloom.sources.tables import BROADCAST_ROWS, broadcast_if_small, drop_written, shuffled, written
 
-GRAMS = 8192
+#: Most 3-grams that are told apart and summed up at once.
+AT_ONCE = 1 << 16
 PROBE, STRIDE = 50, 25
 
 
@@ -24,21 +25,28 @@ def _gram(g: str) -> bytes:
     return hashlib.md5(g.encode()).digest()[:8]
 
 
-def simhash_hex(text: str | None) -> str:
-    """64 signs of summed hash bits of the 3-grams of the text without white space, at most about GRAMS of them."""
+def simhash_hex(text: str | None, most: int | None = None) -> str:
+    """64 signs of summed hash bits of all 3-grams of the text without white space; of evenly spaced ones, about `most`, if that is given."""
     z = "".join((text or "").split())
-    grams = [z[i : i + 3] for i in range(0, len(z) - 2, max(1, (len(z) - 2) // GRAMS))] if len(z) >= 3 else [z]
-    bits = np.unpackbits(np.frombuffer(b"".join(map(_gram, grams)), np.uint8).reshape(-1, 8), axis=1)
-    on = bits.sum(0, dtype=np.int64) * 2 > len(grams)
-    return np.packbits(on).tobytes().hex()
-
-
-def with_simhash(docs: DataFrame, text: str = "text", name: str = "simhash") -> DataFrame:
+    if len(z) < 3:
+        return _gram(z).hex()
+    c = np.frombuffer(z.encode("utf-32-le"), "<u4").astype(np.uint64)
+    step = max(1, (len(z) - 2) // most) if most else 1
+    grams = (c[:-2] | c[1:-1] << np.uint64(21) | c[2:] << np.uint64(42))[::step]
+    total = np.zeros(64)
+    for a in range(0, len(grams), AT_ONCE):
+        _, at, times = np.unique(grams[a : a + AT_ONCE], return_index=True, return_counts=True)
+        hashes = b"".join([_gram(z[i : i + 3]) for i in ((at + a) * step).tolist()])
+        total += times @ np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
+    return np.packbits(total * 2 > len(grams)).tobytes().hex()
+
+
+def with_simhash(docs: DataFrame, text: str = "text", name: str = "simhash", most: int | None = None) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([simhash_hex(t) for t in b.column(at).to_pylist()], pa.string())], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([simhash_hex(t, most) for t in b.column(at).to_pylist()], pa.string())], names=[*b.schema.names, name])
 
     from pyspark.sql.types import StringType, StructField, StructType
 

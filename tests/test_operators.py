@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions.profile import LATIN, ZH_DRAMA
 from corpusloom.operators import dedup, degrade, exam, lexicon, pairs
-from corpusloom.plans import catalogue
+from corpusloom.plans import catalogue, corpus_queries  # noqa: F401 - adds to the first
 from corpusloom.sources import readers
 from corpusloom.streaming import ingest
 
@@ -220,3 +220,40 @@ def test_pairs_invalid_is_its_sql_on_odd_texts(spark, tmp_path):
     got = sorted(map(tuple, catalogue.QUERIES["pairs_invalid"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(catalogue.SQL["pairs_invalid"]).fetchall()) and [r[0] for r in got] == ["axis", "label", "same_text"]
     assert {r["violation"] for r in pairs.violations(spark.createDataFrame([("p", None)], "pair_id string, a_text string").selectExpr("pair_id", "'l0_fact' axis", "a_text", "'x' b_text", "'a_win' label", "named_struct('kind', 'corpus_vs_gen', 'op_id', '') construction", "'val' split")).collect()} == {"empty_text", "same_text", "pair_id"}
+
+
+def _sums(text):
+    z = "".join(text.split())
+    hashes = [int.from_bytes(hashlib.md5(z[i : i + 3].encode()).digest()[:8], "big") for i in range(max(len(z) - 2, 1))]
+    return f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)):016x}"
+
+
+def test_fingerprints_have_all_grams_of_a_text(monkeypatch):
+    rng = random.Random(5)
+    texts = ["", "a", "ab", "a b c", *("".join(rng.choices("abcdeé中𝒳 \n", k=k)) for k in (50, 3000, 20_000, 40_000))]
+    assert [dedup.simhash_hex(t) for t in texts] == list(map(_sums, texts))
+    monkeypatch.setattr(dedup, "AT_ONCE", 1000)
+    assert [dedup.simhash_hex(t) for t in texts] == list(map(_sums, texts))
+
+
+def _skipped_by_fours(spark, path):
+    """Documents of which 2 and 3 differ in every fourth letter of 40,000; 5 and 6 have the fingerprint of 4, 7 and 8 that of nothing."""
+    rng = random.Random(6)
+    long = rng.choices("abcdefgh", k=40_000)
+    other = [rng.choice("stuvwxyz") if i % 4 == 3 else c for i, c in enumerate(long)]
+    short = "".join(rng.choices("abcdefgh", k=400))
+    rows = [(2, "".join(long)), (3, "".join(other)), (4, short), (5, short), (6, short[:200] + " " + short[200:]), (7, None), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    return con
+
+
+def _both(spark, con, path, name):
+    got = catalogue.QUERIES[name](spark, str(path)).select(*(c[0] for c in con.execute(catalogue.SQL[name]).description))
+    return sorted(map(tuple, got.collect())), sorted(con.execute(catalogue.SQL[name]).fetchall())
+
+
+def test_dedup_keep_looks_at_whole_texts(spark, tmp_path):
+    got, want = _both(spark, _skipped_by_fours(spark, tmp_path), tmp_path, "dedup_keep")
+    assert got == want == [(2, None), (3, None), (4, None), (5, 4), (6, 4), (7, None), (8, 7)]
