@@ -25,11 +25,11 @@ C.SQL["dedup_keep"] = f"""WITH RECURSIVE {C._SIM_WHOLE}, {_SEQUENCE("doc_id")},
 SELECT sq.doc_id, o.doc_id AS duplicate_of FROM sq LEFT JOIN scan USING (n) LEFT JOIN sq o ON o.n = scan.first_kept"""
 
 
-@query(f"""WITH RECURSIVE {C._SIM}, {_SEQUENCE("doc_id % 2, doc_id")}, {_SCAN}
+@query(f"""WITH RECURSIVE {C._SIM_WHOLE}, {_SEQUENCE("doc_id % 2, doc_id")}, {_SCAN}
 SELECT sq.doc_id, CAST(sq.doc_id % 2 AS INT) AS batch, o.doc_id AS duplicate_of FROM sq LEFT JOIN scan USING (n) LEFT JOIN sq o ON o.n = scan.first_kept""")
 def dedup_two_batches(spark, d):
     """All documents in two batches through the index: the second meets what the first left there."""
-    prints = written(C._prints(spark, d, most=8192), "prints")
+    prints = written(C._prints(spark, d), "prints")
     index = nearindex.NearIndex(spark, f"{shared_dir(spark)}/near-index-{uuid.uuid4().hex}", bands=16)
     parts = [index.admit(prints.where(F.col("id") % 2 == b), b).withColumn("batch", F.lit(b)) for b in (0, 1)]
     return parts[0].unionByName(parts[1]).select(F.col("id").alias("doc_id"), "batch", "duplicate_of")

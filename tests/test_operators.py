@@ -257,3 +257,8 @@ def _both(spark, con, path, name):
 def test_dedup_keep_looks_at_whole_texts(spark, tmp_path):
     got, want = _both(spark, _skipped_by_fours(spark, tmp_path), tmp_path, "dedup_keep")
     assert got == want == [(2, None), (3, None), (4, None), (5, 4), (6, 4), (7, None), (8, 7)]
+
+
+def test_dedup_two_batches_looks_at_whole_texts(spark, tmp_path):
+    got, want = _both(spark, _skipped_by_fours(spark, tmp_path), tmp_path, "dedup_two_batches")
+    assert got == want == [(2, 0, None), (3, 1, None), (4, 0, None), (5, 1, 4), (6, 0, 4), (7, 1, 8), (8, 0, None)]
