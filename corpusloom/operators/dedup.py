@@ -64,6 +64,16 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     return nearindex.pairs(prints)
 
 
+def near_links(prints: DataFrame) -> DataFrame:
+    """id_a, id_b, distance: the near pairs of the first documents of each fingerprint, and at distance 0 each other document behind its first.
+
+    Documents are near if they, or the first ones that they stand behind, are the same or a pair.
+    """
+    firsts = prints.groupBy("simhash").agg(F.min("id").alias("id_a"))
+    behind = prints.select(F.col("id").alias("id_b"), "simhash").join(shuffled(firsts), "simhash").where("id_b != id_a")
+    return near_pairs(prints).unionByName(behind.select("id_a", "id_b", F.lit(0).alias("distance")))
+
+
 def keep_first(prints: DataFrame) -> DataFrame:
     """id, duplicate_of: as if documents were read in the order of id and dropped when near one already kept.
 

@@ -262,3 +262,8 @@ def test_dedup_keep_looks_at_whole_texts(spark, tmp_path):
 def test_dedup_two_batches_looks_at_whole_texts(spark, tmp_path):
     got, want = _both(spark, _skipped_by_fours(spark, tmp_path), tmp_path, "dedup_two_batches")
     assert got == want == [(2, 0, None), (3, 1, None), (4, 0, None), (5, 1, 4), (6, 0, 4), (7, 1, 8), (8, 0, None)]
+
+
+def test_near_dup_pairs_has_every_document_of_a_fingerprint(spark, tmp_path):
+    got, want = _both(spark, _skipped_by_fours(spark, tmp_path), tmp_path, "near_dup_pairs")
+    assert got == want == [(4, 5, 0), (4, 6, 0), (7, 8, 0)]
